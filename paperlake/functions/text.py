@@ -83,5 +83,5 @@ def title_case(col: Column) -> Column:
 
 
 def similarity_pct(distance: Column) -> Column:
-    """Similarity of a cosine distance as a percentage text, one decimal."""
-    return F.format_string("%.1f%%", F.lit(100.0) * (F.lit(1.0) - distance))
+    """Similarity of a cosine distance, to 3 places, as a percentage text."""
+    return F.format_string("%.1f%%", F.lit(100.0) * F.round(F.lit(1.0) - distance, 3))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,11 +81,11 @@ def max_by(items: Column, key: Callable[[Column], Column]) -> Column:
 
 def merge_maps(*maps: Column) -> Column:
     """Maps joined into one; where a key repeats the later map wins."""
-    merged = maps[0]
-    for later in maps[1:]:
-        kept = F.map_filter(merged, lambda k, _, m=later: ~F.map_contains_key(m, k))
-        merged = F.map_concat(kept, later)
-    return merged
+
+    def without(earlier: Column, later: Column) -> Column:
+        return F.map_filter(earlier, lambda k, _: ~F.map_contains_key(later, k))
+
+    return reduce(lambda merged, later: F.map_concat(without(merged, later), later), maps)
 
 
 def json_summaries(df: DataFrame, col: str, prefix: str = "") -> DataFrame:

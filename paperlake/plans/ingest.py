@@ -66,7 +66,9 @@ def ingest(
     )
     sound, broken = quarantine(batch, paper_rules())
     stored_topics = load_table(spark, topics_table, TOPICS)
-    new_topics, _ = upsert_topics(wanted.select(F.col("topic_name").alias("name")), stored_topics)
+    # a request without entries makes no topic
+    names = batch.select(F.col("topic_name").alias("name"))
+    new_topics, _ = upsert_topics(names, stored_topics)
     append_topics(new_topics, topics_table)
     topics = load_table(spark, topics_table, TOPICS).select(
         F.col("name").alias("topic_name"), F.col("id").alias("topic_id")

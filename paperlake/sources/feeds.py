@@ -13,20 +13,21 @@ NO_TITLE = "No title"
 NO_ABSTRACT = "No abstract"
 
 
-def _located(entries: DataFrame) -> DataFrame:
-    # A feed is read by one task from start to end, so the generated id grows
-    # with the position of an entry in its feed.
-    return entries.select(
-        "*",
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("feed"),
-        F.monotonically_increasing_id().alias("position"),
-    )
+def with_position(entries: DataFrame) -> DataFrame:
+    """Add ``position``, which grows with the place of an entry in its feed.
+
+    A feed is read by one task from start to end, so a generated id does that.
+    """
+    return entries.withColumn("position", F.monotonically_increasing_id())
 
 
 def read_feed(
     spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Entries of all feed files under ``path``, with feed name and position."""
+    """Entries of all feed files under ``path``, with feed name and position.
+
+    A stream has no positions; add them to each of its batches.
+    """
     reader = spark.readStream if streaming else spark.read
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -36,8 +37,9 @@ def read_feed(
         .option("rowTag", "entry")
         .option("multiLine", True)
         .load(path)
+        .select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("feed"))
     )
-    return _located(entries)
+    return entries if streaming else with_position(entries)
 
 
 def with_defaults(papers: DataFrame) -> DataFrame:

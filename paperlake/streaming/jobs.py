@@ -17,8 +17,9 @@ from ..operators.embed import Embedder
 from ..plans.chat import chat
 from ..plans.ingest import ingest
 from ..schema import EMBEDDING_DIM, TOPICS
-from ..sources.feeds import read_feed
-from ..sources.requests import read_requests
+from ..session import cut
+from ..sources.feeds import read_feed, with_position
+from ..sources.requests import name_requests, read_requests
 from ..sources.tables import load_table, write_responses
 
 
@@ -39,7 +40,8 @@ def ingest_stream(
     """
 
     def store(entries: DataFrame, batch_id: int) -> None:
-        ingest(requests, entries, papers_table, topics_table, load_embedder, dim)
+        placed = with_position(entries)
+        ingest(requests, placed, papers_table, topics_table, load_embedder, dim)
 
     entries = read_feed(spark, feed_path, streaming=True, files_per_batch=files_per_batch)
     return (
@@ -66,7 +68,7 @@ def chat_stream(
 
     def respond(requests: DataFrame, batch_id: int) -> None:
         answers = chat(
-            requests,
+            cut(name_requests(requests)),
             load_table(spark, papers_table),
             load_table(spark, topics_table, TOPICS),
             load_embedder,
