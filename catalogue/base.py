@@ -144,7 +144,8 @@ def title_case_sql(expr: str) -> str:
     """Title case, character by character."""
     return f"""coalesce(list_aggregate([
       CASE WHEN i = 1 OR NOT regexp_matches(substr({expr}, i - 1, 1), '[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}ªº]')
-           THEN upper(substr({expr}, i, 1)) ELSE lower(substr({expr}, i, 1)) END
+           THEN CASE substr({expr}, i, 1) WHEN 'ß' THEN 'Ss' ELSE upper(substr({expr}, i, 1)) END
+           ELSE lower(substr({expr}, i, 1)) END
       FOR i IN range(1, length({expr}) + 1)], 'string_agg', ''), '')"""
 
 

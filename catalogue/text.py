@@ -90,10 +90,10 @@ def paper_urls(spark, folder):
 
 
 @query("""
-SELECT event_id, printf('%.1f%%', 100 * round(1 - value / 100, 3)) AS similarity FROM events""")
+SELECT event_id, printf('%.1f%%', 100 * round(1 - sqrt(value) / 100, 3)) AS similarity FROM events""")
 def similarity_percent(spark, folder):
     return table(spark, folder, "events").select(
-        "event_id", fn.similarity_pct(F.col("value") / 100).alias("similarity")
+        "event_id", fn.similarity_pct(F.sqrt("value") / 100).alias("similarity")
     )
 
 

@@ -17,7 +17,7 @@ _SQL_FUNCTIONS = {
     "title_case(s STRING) RETURNS STRING": (
         r"array_join(transform(regexp_extract_all(s, "
         r"r'[\p{IsUppercase}\p{IsLowercase}\p{Lt}]+|[^\p{IsUppercase}\p{IsLowercase}\p{Lt}]+', 0), "
-        r"p -> concat(upper(left(p, 1)), lower(substr(p, 2)))), '')"
+        r"p -> initcap(p)), '')"
     ),
 }
 

@@ -70,16 +70,10 @@ def title_case(col: Column) -> Column:
     """First cased letter after each uncased character in upper case, others lower.
 
     Differs from ``initcap``, which only looks at spaces: ``x-ray`` gives
-    ``X-Ray``.
+    ``X-Ray``. So it is given each run of cased letters by itself.
     """
     pieces = F.regexp_extract_all(col, F.lit(f"[{_CASED}]+|[^{_CASED}]+"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substr(p, F.lit(2)))),
-        ),
-        "",
-    )
+    return F.array_join(F.transform(pieces, F.initcap), "")
 
 
 def similarity_pct(distance: Column) -> Column:
