@@ -70,15 +70,14 @@ def answer_sources(spark, folder):
     )
 
 
-@query("""
-SELECT doc_id AS qid, CAST(count(vec_id) AS BIGINT) AS context_chunks
-FROM documents LEFT JOIN embeddings ON label = doc_id % 23 GROUP BY doc_id""")
+@query("WITH " + HITS_SQL + """
+SELECT doc_id AS qid, count(hits.qid) AS context_chunks
+FROM documents LEFT JOIN hits ON hits.qid = doc_id AND distance < 0.5 GROUP BY doc_id""")
 def hit_counts(spark, folder):
-    """Documents as questions; the vectors of the label of that number as hits."""
+    """Documents as questions, with the hits nearer than 0.5; many have none."""
     asked = table(spark, folder, "documents").select(F.col("doc_id").alias("qid"))
-    labels = table(spark, folder, "embeddings").select("label", "vec_id")
-    hits = asked.join(labels, F.col("qid") % 23 == F.col("label"))
-    return an.hit_counts(asked, hits)
+    hits = sr.knn_join(questions(spark, folder), papers(spark, folder), 5)
+    return an.hit_counts(asked, hits.where("distance < 0.5"))
 
 
 @query("WITH " + CONTEXTS_SQL + " SELECT qid, 'user' AS role, prompt FROM prompts")

@@ -105,6 +105,22 @@ def first_per_request(spark, folder):
     return first.select("user_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
+@query("""
+WITH placed AS (
+  SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS place,
+         CASE o_orderstatus WHEN 'P' THEN 5000 ELSE 3 END AS wanted FROM orders)
+SELECT o_orderkey, place FROM placed WHERE place <= wanted""")
+def first_of_large_requests(spark, folder):
+    """The same for few large groups, too large for a window in one task."""
+    orders = table(spark, folder, "orders").withColumn(
+        "wanted", F.when(F.col("o_orderstatus") == "P", 5000).otherwise(3)
+    )
+    first = ing.limit_per_request(
+        orders, "o_orderstatus", "wanted", ("o_orderdate", "o_orderkey")
+    )
+    return first.select("o_orderkey", "place")
+
+
 @query("""
 WITH outcomes AS (
   SELECT user_id AS request_id, event_type FROM events),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..schema import CELL_COUNT
 from ..session import cut, fits
+from ..sources.quarantine import quarantine, vector_rules
 from . import blocks
 from .search import arrow_schema, pair_schema, rank_hits, vector_dim, with_topic_column
 
@@ -27,12 +28,18 @@ QUESTION_ROWS = 100_000
 ANGLE_SLACK = 1e-5
 
 
-def train_cells(papers: DataFrame, n: int = CELL_COUNT, seed: int = 17) -> DataFrame:
-    """Centroids of ``n`` cells (cell, centroid), by k-means on the angle."""
+def train_cells(
+    papers: DataFrame, n: int = CELL_COUNT, seed: int = 17, dim: int | None = None
+) -> DataFrame:
+    """Centroids of ``n`` cells (cell, centroid), by k-means on the angle.
+
+    Only usable vectors of length ``dim`` (default: that of the first row) count.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vectors = papers.where(F.col("embedding").isNotNull()).select(
+    usable, _ = quarantine(papers, vector_rules(dim=dim or vector_dim(papers, "embedding")))
+    vectors = usable.select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
     model = KMeans(k=n, distanceMeasure="cosine", seed=seed, maxIter=10).fit(vectors)
@@ -119,9 +126,10 @@ def probe_cells(questions: DataFrame, centroids: DataFrame, probes: int) -> Data
     return questions.withColumn("cell", F.explode(nearest_cells(F.col("vector"))))
 
 
-def _members(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows per cell and how many parts of about ``limit`` rows that makes."""
-    return rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("n"))
+def _parts(rows: DataFrame, limit: int, name: str) -> DataFrame:
+    """How many parts of about ``limit`` rows each cell makes."""
+    count = F.ceil(F.count("*") / F.lit(limit)).cast("int")
+    return rows.groupBy("cell").agg(count.alias(name))
 
 
 def routed_join(
@@ -136,11 +144,21 @@ def routed_join(
     (cell, block, group) and sorted there, papers first; a task then holds one
     block of papers and streams the questions past it, emitting at most ``k``
     rows per question and block.
+
+    The sizes, one row per cell, are read first: the cells that are asked for
+    then are literals, and papers stored by cell are read from their folders only.
     """
-    blocks_of = _members(papers, block_rows or BLOCK_ROWS).withColumnRenamed("n", "n_blocks")
-    groups_of = _members(routed, question_rows or QUESTION_ROWS).withColumnRenamed("n", "n_groups")
-    # one row per cell, and the cells were checked when they were broadcast
-    plan = F.broadcast(blocks_of.join(groups_of, "cell"))
+    groups_of = _parts(routed, question_rows or QUESTION_ROWS, "n_groups").toPandas()
+    asked_cells = [int(c) for c in groups_of["cell"]]
+    papers = papers.where(F.col("cell").isin(asked_cells))
+    blocks_of = _parts(papers, block_rows or BLOCK_ROWS, "n_blocks").toPandas()
+    sizes = blocks_of.merge(groups_of, on="cell").itertuples(index=False)
+    plan = F.broadcast(
+        papers.sparkSession.createDataFrame(
+            [(int(s.cell), int(s.n_blocks), int(s.n_groups)) for s in sizes],
+            "cell int, n_blocks int, n_groups int",
+        )
+    )
     schema = pair_schema(routed, papers)
     out = arrow_schema(schema)
     null_qid = F.lit(None).cast(schema["qid"].dataType)
@@ -242,7 +260,7 @@ def exact_join(
     its papers to its centroid; the question is sent to those cells alone.
     """
     if centroids is None:
-        centroids = train_cells(known)
+        centroids = train_cells(known, dim=dim)
     # used for the cell sizes, the bounds and both searches
     placed = cut(assign_cells(known, centroids).where(F.col("cell").isNotNull()))
     routed = cut(probe_cells(asked, centroids, 1))

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fits
+from .keys import place_in_group
+
+# Up to this many rows per group, Spark limits each task's groups before a shuffle
+# (the default of spark.sql.optimizer.windowGroupLimitThreshold).
+WINDOW_ROWS = 1000
 
 # Up to this many ids of a batch are broadcast to the stored table.
 BATCH_ROWS = 500_000
@@ -22,18 +27,19 @@ def limit_per_request(
 ) -> DataFrame:
     """The first rows of each request, as many as its ``limit`` column says.
 
-    ``at_most`` is the greatest of the limits (found if not given). As a literal
-    it lets each task drop later rows before the shuffle, so a request with very
-    many rows is not gathered whole.
+    ``at_most`` is the greatest of the limits (found if not given). A small one
+    lets each task drop later rows before the shuffle, so a request with very
+    many rows is not gathered whole. With a greater one rows are numbered by a
+    range sort, which splits such a request over many tasks.
     """
     if at_most is None:
         at_most = rows.agg(F.coalesce(F.max(limit), F.lit(0))).first()[0]
-    place = F.row_number().over(Window.partitionBy(request).orderBy(*order))
-    return (
-        rows.withColumn("place", place)
-        .where(F.col("place") <= int(at_most))
-        .where(F.col("place") <= F.col(limit))
-    )
+    if at_most > WINDOW_ROWS:
+        placed = place_in_group(rows, request, list(order))
+    else:
+        place = F.row_number().over(Window.partitionBy(request).orderBy(*order))
+        placed = rows.withColumn("place", place).where(F.col("place") <= int(at_most))
+    return placed.where(F.col("place") <= F.col(limit))
 
 
 def dedupe_batch(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .lookups import lookup
 
 # Layout of monotonically_increasing_id: partition number above, row number below.
 _ROW_BITS = 33
@@ -23,7 +24,8 @@ def assign_ids(
 
     The rows are range-sorted and materialised once with their partition and
     place in it, so a lost executor cannot shift a key. The rows before each
-    partition are summed over one row per partition and joined back.
+    partition are summed over one row per partition and joined back. No step
+    gathers rows by a key, so the order may begin with a column of few values.
     """
     tagged = cut(new.orderBy(*order_by).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", _ROW_BITS)
@@ -40,3 +42,20 @@ def assign_ids(
         .withColumn(id_col, F.col("_start") + place + F.lit(current_max + 1))
         .drop("_at", "_part", "_start")
     )
+
+
+def place_in_group(
+    rows: DataFrame, group: str, order_by: list[str], out: str = "place"
+) -> DataFrame:
+    """``row_number`` per group that stays distributed inside a hot group.
+
+    Rows are numbered over all groups in order, and the number of the first row
+    of its group is taken off.
+    """
+    numbered = assign_ids(rows, 0, [group, *order_by], out)
+    first = numbered.groupBy(group).agg(F.min(out).alias("_first"))
+    return (
+        lookup(numbered, first, group, "inner")
+        .withColumn(out, F.col(out) - F.col("_first") + 1)
+        .drop("_first")
+    )

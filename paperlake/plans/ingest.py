@@ -49,8 +49,9 @@ def ingest(
 ) -> IngestResult:
     """Store the papers of saved feeds that are not stored yet.
 
-    ``requests`` name in ``feed`` the file that holds their entries, ``entries``
-    come from ``read_feed``. Topics are written before papers and papers are
+    ``requests`` name in ``feed`` the file that holds their entries (a request
+    with several files has a row for each), ``entries`` come from ``read_feed``.
+    Topics are written before papers and papers are
     compared with the stored table, so a run repeated after a failure adds only
     what the first one left out. The model sees only rows that will be stored.
     """
@@ -61,9 +62,9 @@ def ingest(
     )
     wanted = named.select("request_id", "feed", "max_results", "topic_name")
     # positions are fixed here: reading the files again could number them anew
-    batch = cut(
-        limit_per_request(papers_from_feed(entries).join(wanted, "feed"))
-    )
+    most = wanted.agg(F.coalesce(F.max("max_results"), F.lit(0))).first()[0]
+    offered = papers_from_feed(entries).join(wanted, "feed")
+    batch = cut(limit_per_request(offered, at_most=most))
     sound, broken = quarantine(batch, paper_rules())
     stored_topics = load_table(spark, topics_table, TOPICS)
     # a request without entries makes no topic
@@ -109,11 +110,11 @@ def _responses(
     asked: DataFrame, misnamed: DataFrame, batch: DataFrame, outcomes: DataFrame
 ) -> DataFrame:
     rows = (
-        asked.select("request_id", F.col("topic_name").alias("topic"))
+        asked.select("request_id", F.col("topic_name").alias("topic")).distinct()
         .join(ingest_summary(outcomes), "request_id", "left")
         .join(preview(batch, 5), "request_id", "left")
         .join(
-            misnamed.select("request_id", F.array_join("reasons", "; ").alias("error")),
+            misnamed.select("request_id", F.array_join("reasons", "; ").alias("error")).distinct(),
             "request_id",
             "left",
         )

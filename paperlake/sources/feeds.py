@@ -43,10 +43,10 @@ def read_feed(
 
 
 def with_defaults(papers: DataFrame) -> DataFrame:
-    """Replace an absent title or abstract by its fixed text."""
+    """Replace an absent or empty title or abstract by its fixed text."""
     return papers.withColumns({
-        "title": F.coalesce("title", F.lit(NO_TITLE)),
-        "abstract": F.coalesce("abstract", F.lit(NO_ABSTRACT)),
+        "title": F.coalesce(F.nullif("title", F.lit("")), F.lit(NO_TITLE)),
+        "abstract": F.coalesce(F.nullif("abstract", F.lit("")), F.lit(NO_ABSTRACT)),
     })
 
 
