@@ -69,7 +69,7 @@ def hash_embedding(text: Column, dim: int) -> Column:
             F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dim
         ).cast("int"),
     )
-    padded = F.array_sort(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim - 1))))
+    padded = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim - 1))))
 
     def run_ends(b: Column) -> Column:
         # 1-based position of the last entry of each bucket, in bucket order

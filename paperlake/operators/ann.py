@@ -207,18 +207,12 @@ def routed_join(
                 rows, unit = blocks.unit_matrix(part.column("v"), dim)
                 topics = blocks.topic_array(part.column("topic"))[rows]
                 if side == 0:
-                    ids = part.column("arxiv_id").take(pa.array(rows)).to_pylist()
-                    block.append((np.array(ids, dtype=object), unit, topics))
+                    block.append((part.column("arxiv_id").take(pa.array(rows)), unit, topics))
                     continue
-                searches = blocks.strips(k, unit, topics)
+                searches = blocks.Searches(k, unit, topics)
                 for names, matrix, paper_topics in block:
-                    if not len(names):
-                        continue
-                    for _, one in searches:
-                        one.add(names, matrix, paper_topics)
-                found = blocks.found_batch(
-                    searches, part.column("qid").take(pa.array(rows)), out
-                )
+                    searches.add(names, matrix, paper_topics)
+                found = searches.found(part.column("qid").take(pa.array(rows)), out)
                 if found is not None:
                     yield found
 

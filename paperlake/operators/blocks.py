@@ -15,9 +15,15 @@ import pyarrow.compute as pc
 # Distances that agree to this many places count as equal; the id then decides.
 TIE_PLACES = 12
 
-# Questions multiplied at a time: bounds the distance matrix of one step.
+# Questions multiplied at a time: bounds the matrix of one step.
 STRIP = 512
 
+# Papers whose products give a first bound of a search.
+FIRST_LOOK = 1024
+
+# Candidate pairs of one step beyond which the bound is tightened over all papers.
+MANY_PAIRS = 2_000_000
+
 
 def unit_matrix(vectors: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the usable vectors and those vectors at length 1, in double.
@@ -45,63 +51,120 @@ def distances(papers: np.ndarray, questions: np.ndarray) -> np.ndarray:
 
 
 class Nearest:
-    """The ``k`` nearest papers seen so far for each of a strip of questions."""
+    """The ``k`` nearest papers seen so far for each of a strip of questions.
 
-    def __init__(self, k: int, questions: np.ndarray, topics: np.ndarray):
+    Products in single precision, widened by their greatest possible error,
+    leave few candidates; the distances of those are taken in double.
+    """
+
+    def __init__(self, k: int, questions: np.ndarray):
         self.k = k
         self.questions = questions
-        self.topics = topics  # NaN where a question is not limited to a topic
-        self.worst = np.full(len(questions), np.inf)
+        self.single = questions.astype(np.float32)
+        self.slack = 2.5e-7 * (questions.shape[1] + 4)
+        self.least = np.full(len(questions), -np.inf)  # cosine of the k-th hit
         self.kept = None
 
-    def add(self, ids: np.ndarray, papers: np.ndarray, paper_topics: np.ndarray) -> None:
-        found = distances(papers, self.questions)
-        limited = np.flatnonzero(~np.isnan(self.topics))
-        if len(limited):
-            other = paper_topics[:, None] != self.topics[None, limited]
-            found[:, limited] = np.where(other, np.inf, found[:, limited])
-        reach = self.worst
-        if len(ids) > self.k:
-            reach = np.minimum(reach, np.partition(found, self.k - 1, axis=0)[self.k - 1])
-        rows, cols = np.nonzero((found <= reach[None, :]) & np.isfinite(found))
-        if not len(rows):
+    def _kth_cosine(self, cosines: np.ndarray) -> np.ndarray:
+        at = cosines.shape[1] - self.k
+        return np.partition(cosines, at, axis=1)[:, at]
+
+    def add(self, ids: pa.Array, papers: np.ndarray, single: np.ndarray) -> None:
+        cosines = self.single @ single.T
+        least = self.least
+        if np.isneginf(least).any() and len(papers) >= self.k:
+            seen = cosines[:, : max(FIRST_LOOK, self.k)]
+            least = np.maximum(least, self._kth_cosine(seen) - self.slack)
+        near = cosines >= (least - self.slack)[:, None].astype(np.float32)
+        if np.count_nonzero(near) > MANY_PAIRS and len(papers) >= self.k:
+            least = np.maximum(least, self._kth_cosine(cosines) - self.slack)
+            near = cosines >= (least - self.slack)[:, None].astype(np.float32)
+        q, row = np.nonzero(near)
+        if not len(q):
             return
-        new = pd.DataFrame({"q": cols, "distance": found[rows, cols], "id": ids[rows]})
+        away = pair_distances(self.questions, q, papers, row)
+        order = np.lexsort((away, q))
+        q, row, away = q[order], row[order], away[order]
+        wanted = away <= self._kth_distance(q, away)
+        q, row, away = q[wanted], row[wanted], away[wanted]
+        new = pd.DataFrame({"q": q, "distance": away, "id": ids.take(pa.array(row)).to_pylist()})
         both = new if self.kept is None else pd.concat([self.kept, new])
         both = both.sort_values(["q", "distance", "id"], kind="stable")
-        place = both.groupby("q").cumcount()
-        self.kept = both[place < self.k].reset_index(drop=True)
+        self.kept = both[both.groupby("q").cumcount() < self.k].reset_index(drop=True)
         last = self.kept[self.kept.groupby("q").cumcount() == self.k - 1]
-        self.worst[last["q"].to_numpy()] = last["distance"].to_numpy()
+        self.least[last["q"].to_numpy()] = 1.0 - last["distance"].to_numpy()
 
+    def _kth_distance(self, q: np.ndarray, away: np.ndarray) -> np.ndarray:
+        """Per pair, the ``k``-th distance of its question; pairs are in that order."""
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        sizes = np.diff(np.r_[starts, len(q)])
+        kth = away[starts + np.minimum(sizes, self.k) - 1]
+        return np.repeat(np.where(sizes >= self.k, kth, np.inf), sizes)
 
-def strips(k: int, questions: np.ndarray, topics: np.ndarray) -> list[tuple[int, Nearest]]:
-    """Searches for all questions, one per strip, each with its first question's number."""
-    return [
-        (at, Nearest(k, questions[at : at + STRIP], topics[at : at + STRIP]))
-        for at in range(0, len(questions), STRIP)
-    ]
 
+def pair_distances(
+    questions: np.ndarray, q: np.ndarray, papers: np.ndarray, row: np.ndarray
+) -> np.ndarray:
+    """Distances of the given pairs, some at a time."""
+    found = np.empty(len(q))
+    step = max(1, 4_000_000 // papers.shape[1])
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        found[part] = np.einsum("ij,ij->i", questions[q[part]], papers[row[part]])
+    return np.clip(np.round(1.0 - found, TIE_PLACES), 0.0, 2.0)
 
-def topic_array(topics: pa.Array) -> np.ndarray:
-    return pc.fill_null(topics.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
 
+class Searches:
+    """Searches for a set of questions, each in all papers or in those of its topic."""
 
-def found_batch(
-    searches: list[tuple[int, Nearest]], question_ids: pa.Array, schema: pa.Schema
-) -> pa.RecordBatch | None:
-    """What the searches kept, as rows of question id, paper id, distance."""
-    parts = [(at, s.kept) for at, s in searches if s.kept is not None]
-    if not parts:
-        return None
-    numbers = np.concatenate([kept["q"].to_numpy() + at for at, kept in parts])
-    ids = [i for _, kept in parts for i in kept["id"]]
-    away = np.concatenate([kept["distance"].to_numpy() for _, kept in parts])
-    return pa.RecordBatch.from_arrays(
-        [
-            question_ids.take(pa.array(numbers)).cast(schema.field(0).type),
-            pa.array(ids, schema.field(1).type),
-            pa.array(away, pa.float64()),
-        ],
-        schema=schema,
-    )
+    def __init__(self, k: int, questions: np.ndarray, topics: np.ndarray):
+        self.everywhere = self._strips(k, questions, np.flatnonzero(np.isnan(topics)))
+        self.in_topic = {
+            topic: self._strips(k, questions, np.flatnonzero(topics == topic))
+            for topic in np.unique(topics[~np.isnan(topics)])
+        }
+
+    @staticmethod
+    def _strips(k: int, questions: np.ndarray, numbers: np.ndarray):
+        return [
+            (numbers[at : at + STRIP], Nearest(k, questions[numbers[at : at + STRIP]]))
+            for at in range(0, len(numbers), STRIP)
+        ]
+
+    def add(self, ids: pa.Array, papers: np.ndarray, topics: np.ndarray) -> None:
+        if not len(papers):
+            return
+        single = papers.astype(np.float32)
+        for _, search in self.everywhere:
+            search.add(ids, papers, single)
+        if not self.in_topic:
+            return
+        for topic in np.unique(topics[~np.isnan(topics)]):
+            strips = self.in_topic.get(topic)
+            if strips:
+                rows = np.flatnonzero(topics == topic)
+                some = ids.take(pa.array(rows))
+                for _, search in strips:
+                    search.add(some, papers[rows], single[rows])
+
+    def found(self, question_ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch | None:
+        """What was kept, as rows of question id, paper id, distance."""
+        strips = [*self.everywhere, *(s for group in self.in_topic.values() for s in group)]
+        parts = [(numbers, s.kept) for numbers, s in strips if s.kept is not None]
+        if not parts:
+            return None
+        asked = np.concatenate([numbers[kept["q"].to_numpy()] for numbers, kept in parts])
+        ids = [i for _, kept in parts for i in kept["id"]]
+        away = np.concatenate([kept["distance"].to_numpy() for _, kept in parts])
+        return pa.RecordBatch.from_arrays(
+            [
+                question_ids.take(pa.array(asked)).cast(schema.field(0).type),
+                pa.array(ids, schema.field(1).type),
+                pa.array(away, pa.float64()),
+            ],
+            schema=schema,
+        )
+
+
+def topic_array(topics: pa.Array) -> np.ndarray:
+    return pc.fill_null(topics.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)

@@ -113,16 +113,12 @@ def _scan_join(questions: DataFrame, papers: DataFrame, k: int, dim: int) -> Dat
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit, limits = shared.value
-        searches = blocks.strips(k, unit, limits)
+        searches = blocks.Searches(k, unit, limits)
         for batch in batches:
             rows, block = blocks.unit_matrix(batch.column(1), dim)
-            if not len(rows):
-                continue
-            names = np.array(batch.column(0).take(pa.array(rows)).to_pylist(), dtype=object)
-            paper_topics = blocks.topic_array(batch.column(2))[rows]
-            for _, one in searches:
-                one.add(names, block, paper_topics)
-        found = blocks.found_batch(searches, ids, out)
+            names = batch.column(0).take(pa.array(rows))
+            searches.add(names, block, blocks.topic_array(batch.column(2))[rows])
+        found = searches.found(ids, out)
         if found is not None:
             yield found
 
