@@ -8,7 +8,7 @@ from paperlake.operators import ann
 from paperlake.operators import search as sr
 from paperlake.session import fresh_folder
 
-from .base import HITS_SQL, papers, plain_distance, query, questions, table
+from .base import DIM, HITS_SQL, papers, plain_distance, query, questions, table
 
 CELLS_SQL = """numbers AS (
   SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x
@@ -89,7 +89,9 @@ SELECT qid, arxiv_id, CAST(rk AS BIGINT) AS rk, round(distance, 6) + 0.0 AS dist
 def knn_join_by_cells(spark, folder):
     """The exact join as it runs for more questions than fit every task."""
     known = papers(spark, folder).where(F.col("embedding").isNotNull())
-    asked = questions(spark, folder).select("qid", "vector", F.lit(None).cast("long").alias("topic"))
+    asked = questions(spark, folder).select(
+        "qid", "vector", F.lit(None).cast("long").alias("topic"), F.lit(5).alias("k")
+    )
     placed = known.select("arxiv_id", "embedding", F.lit(None).cast("long").alias("topic"))
-    found = ann.exact_join(asked, placed, 5, 64, label_means(spark, folder))
+    found = ann.exact_join(asked, placed, DIM, label_means(spark, folder))
     return found.select("qid", "arxiv_id", F.col("rk").cast("long").alias("rk"), plain_distance())

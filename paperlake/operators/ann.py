@@ -14,7 +14,15 @@ from ..schema import CELL_COUNT
 from ..session import cut, fits
 from ..sources.quarantine import quarantine, vector_rules
 from . import blocks
-from .search import arrow_schema, pair_schema, rank_hits, vector_dim, with_topic_column
+from .search import (
+    arrow_schema,
+    asked_of,
+    greatest_k,
+    pair_schema,
+    rank_hits,
+    vector_dim,
+    with_topic_column,
+)
 
 # The centroids go to every task, so their number is checked against this.
 MAX_CELLS = 65_536
@@ -133,12 +141,12 @@ def _parts(rows: DataFrame, limit: int, name: str) -> DataFrame:
 
 
 def routed_join(
-    routed: DataFrame, papers: DataFrame, k: int, dim: int, block_rows: int | None = None,
+    routed: DataFrame, papers: DataFrame, dim: int, block_rows: int | None = None,
     question_rows: int | None = None,
 ) -> DataFrame:
     """Candidates for questions that were sent to cells.
 
-    ``routed``: qid, vector, topic, cell; ``papers``: arxiv_id, embedding, topic,
+    ``routed``: qid, vector, topic, k, cell; ``papers``: arxiv_id, embedding, topic,
     cell. A cell is cut into blocks of papers and groups of questions, so no
     task gets a cell whole however many rows it has. Rows are shuffled once by
     (cell, block, group) and sorted there, papers first; a task then holds one
@@ -174,7 +182,8 @@ def routed_join(
         F.lit(0).alias("side"),
         null_qid.alias("qid"),
         "arxiv_id",
-        F.col("topic"),
+        "topic",
+        F.lit(None).cast("int").alias("k"),
         F.col("embedding").cast("array<float>").alias("v"),
     )
     question_side = routed.join(plan, "cell").select(
@@ -184,7 +193,8 @@ def routed_join(
         F.lit(1).alias("side"),
         "qid",
         null_id.alias("arxiv_id"),
-        F.col("topic"),
+        "topic",
+        "k",
         F.col("vector").cast("array<float>").alias("v"),
     )
     key = ["cell", "block", "grp"]
@@ -209,7 +219,8 @@ def routed_join(
                 if side == 0:
                     block.append((part.column("arxiv_id").take(pa.array(rows)), unit, topics))
                     continue
-                searches = blocks.Searches(k, unit, topics)
+                wanted = part.column("k").to_numpy()[rows]
+                searches = blocks.Searches(wanted, unit, topics)
                 for names, matrix, paper_topics in block:
                     searches.add(names, matrix, paper_topics)
                 found = searches.found(part.column("qid").take(pa.array(rows)), out)
@@ -223,7 +234,7 @@ def ann_join(
     questions: DataFrame,
     papers: DataFrame,
     centroids: DataFrame,
-    k: int,
+    k: int | str,
     probes: int,
     topic_col: str | None = None,
 ) -> DataFrame:
@@ -233,20 +244,19 @@ def ann_join(
     is missed, and with a topic fewer than ``k`` rows may be found; more probes
     cure both, and probing all cells is exact.
     """
-    asked = questions.select(
-        "qid", "vector", with_topic_column(questions, topic_col).alias("topic")
-    )
+    asked = asked_of(questions, k, topic_col)
     known = papers.where(F.col("cell").isNotNull()).select(
         "arxiv_id", "embedding", with_topic_column(papers, topic_col).alias("topic"), "cell"
     )
     dim = vector_dim(centroids, "centroid")
-    return rank_hits(routed_join(probe_cells(asked, centroids, probes), known, k, dim), k)
+    pairs = routed_join(probe_cells(asked, centroids, probes), known, dim)
+    return rank_hits(pairs, greatest_k(asked))
 
 
 def exact_join(
-    asked: DataFrame, known: DataFrame, k: int, dim: int, centroids: DataFrame | None = None
+    asked: DataFrame, known: DataFrame, dim: int, centroids: DataFrame | None = None
 ) -> DataFrame:
-    """The exact nearest papers of many questions.
+    """The exact nearest papers of many questions (qid, vector, topic, k).
 
     The nearest cell of a question is searched first; the angle of its k-th hit
     there bounds the search. Another cell can hold a nearer paper only if the
@@ -258,11 +268,11 @@ def exact_join(
     # used for the cell sizes, the bounds and both searches
     placed = cut(assign_cells(known, centroids).where(F.col("cell").isNotNull()))
     routed = cut(probe_cells(asked, centroids, 1))
-    first = cut(rank_hits(routed_join(routed, placed, k, dim), k).drop("rk", "similarity"))
-
-    reach = first.groupBy("qid").agg(
-        F.when(F.count("*") >= k, F.max("distance")).alias("reach")
-    )
+    most = greatest_k(asked)
+    ranked = rank_hits(routed_join(routed, placed, dim), most).drop("similarity")
+    first = cut(ranked.join(asked.select("qid", "k"), "qid"))
+    # the distance of the k-th hit, null where the cell had fewer
+    reach = first.where(F.col("rk") == F.col("k")).select("qid", F.col("distance").alias("reach"))
     names, unit = _centroid_arrays(centroids)
     bounds = (
         placed.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
@@ -296,7 +306,7 @@ def exact_join(
         )
         .drop("reach")
     )
-    return rank_hits(first.unionByName(routed_join(rest, placed, k, dim)), k)
+    return rank_hits(first.drop("rk").unionByName(routed_join(rest, placed, dim)), most)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

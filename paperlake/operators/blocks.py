@@ -115,21 +115,28 @@ def pair_distances(
 
 
 class Searches:
-    """Searches for a set of questions, each in all papers or in those of its topic."""
+    """Searches for a set of questions, each in all papers or in those of its topic.
 
-    def __init__(self, k: int, questions: np.ndarray, topics: np.ndarray):
-        self.everywhere = self._strips(k, questions, np.flatnonzero(np.isnan(topics)))
+    ``wanted`` is the number of hits per question; ``topics`` is NaN for all papers.
+    """
+
+    def __init__(self, wanted: np.ndarray, questions: np.ndarray, topics: np.ndarray):
+        self.wanted = wanted
+        self.everywhere = self._strips(questions, np.flatnonzero(np.isnan(topics)))
         self.in_topic = {
-            topic: self._strips(k, questions, np.flatnonzero(topics == topic))
+            topic: self._strips(questions, np.flatnonzero(topics == topic))
             for topic in np.unique(topics[~np.isnan(topics)])
         }
 
-    @staticmethod
-    def _strips(k: int, questions: np.ndarray, numbers: np.ndarray):
-        return [
-            (numbers[at : at + STRIP], Nearest(k, questions[numbers[at : at + STRIP]]))
-            for at in range(0, len(numbers), STRIP)
-        ]
+    def _strips(self, questions: np.ndarray, numbers: np.ndarray):
+        # questions of one strip want equally many hits
+        strips = []
+        for k in np.unique(self.wanted[numbers]):
+            alike = numbers[self.wanted[numbers] == k]
+            for at in range(0, len(alike), STRIP):
+                some = alike[at : at + STRIP]
+                strips.append((some, Nearest(int(k), questions[some])))
+        return strips
 
     def add(self, ids: pa.Array, papers: np.ndarray, topics: np.ndarray) -> None:
         if not len(papers):
@@ -148,7 +155,7 @@ class Searches:
                     search.add(some, papers[rows], single[rows])
 
     def found(self, question_ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch | None:
-        """What was kept, as rows of question id, paper id, distance."""
+        """What was kept, as rows of question id, paper id, distance, hits wanted."""
         strips = [*self.everywhere, *(s for group in self.in_topic.values() for s in group)]
         parts = [(numbers, s.kept) for numbers, s in strips if s.kept is not None]
         if not parts:
@@ -161,6 +168,7 @@ class Searches:
                 question_ids.take(pa.array(asked)).cast(schema.field(0).type),
                 pa.array(ids, schema.field(1).type),
                 pa.array(away, pa.float64()),
+                pa.array(self.wanted[asked], pa.int32()),
             ],
             schema=schema,
         )

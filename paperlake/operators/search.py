@@ -67,12 +67,17 @@ def search(
     )
 
 
-def rank_hits(pairs: DataFrame, k: int) -> DataFrame:
-    """Number the candidates of each question from 1, nearest first, up to ``k``."""
+def rank_hits(pairs: DataFrame, most: int) -> DataFrame:
+    """Number the candidates of each question from 1, nearest first, up to its ``k``.
+
+    ``most`` is the greatest ``k``, as a literal for the limit before the shuffle.
+    """
     order = Window.partitionBy("qid").orderBy(F.asc_nulls_last("distance"), F.asc("arxiv_id"))
     return (
         pairs.withColumn("rk", F.row_number().over(order))
-        .where(F.col("rk") <= k)
+        .where(F.col("rk") <= most)
+        .where(F.col("rk") <= F.col("k"))
+        .drop("k")
         .withColumn("similarity", F.lit(1.0) - F.col("distance"))
     )
 
@@ -82,6 +87,7 @@ def pair_schema(questions: DataFrame, papers: DataFrame) -> T.StructType:
         T.StructField("qid", questions.schema["qid"].dataType),
         T.StructField("arxiv_id", papers.schema["arxiv_id"].dataType),
         T.StructField("distance", T.DoubleType()),
+        T.StructField("k", T.IntegerType()),
     ])
 
 
@@ -95,11 +101,22 @@ def with_topic_column(df: DataFrame, topic_col: str | None) -> Column:
     return F.col(topic_col).cast("long")
 
 
-def _question_rows_allowed(questions: DataFrame, dim: int) -> int:
-    return max(1, QUESTION_BYTES // (8 * dim))
+def asked_of(questions: DataFrame, k: int | str, topic_col: str | None) -> DataFrame:
+    """Questions as qid, vector, topic, k; one that wants no hits is left out."""
+    wanted = F.lit(k) if isinstance(k, int) else F.col(k)
+    return questions.select(
+        "qid",
+        "vector",
+        with_topic_column(questions, topic_col).alias("topic"),
+        wanted.cast("int").alias("k"),
+    ).where(F.col("k") > 0)
+
 
+def greatest_k(asked: DataFrame) -> int:
+    return asked.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
 
-def _scan_join(questions: DataFrame, papers: DataFrame, k: int, dim: int) -> DataFrame:
+
+def _scan_join(questions: DataFrame, papers: DataFrame, dim: int) -> DataFrame:
     """One pass over the papers with all (few) question vectors in every task."""
     spark = papers.sparkSession
     schema = pair_schema(questions, papers)
@@ -108,12 +125,13 @@ def _scan_join(questions: DataFrame, papers: DataFrame, k: int, dim: int) -> Dat
     vectors = table.column("vector").combine_chunks()
     usable, matrix = blocks.unit_matrix(vectors, dim)
     topics = blocks.topic_array(table.column("topic").combine_chunks())[usable]
+    wanted = table.column("k").to_numpy()[usable]
     question_ids = table.column("qid").combine_chunks().take(pa.array(usable))
-    shared = spark.sparkContext.broadcast((question_ids, matrix, topics))
+    shared = spark.sparkContext.broadcast((question_ids, matrix, topics, wanted))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit, limits = shared.value
-        searches = blocks.Searches(k, unit, limits)
+        ids, unit, limits, counts = shared.value
+        searches = blocks.Searches(counts, unit, limits)
         for batch in batches:
             rows, block = blocks.unit_matrix(batch.column(1), dim)
             names = batch.column(0).take(pa.array(rows))
@@ -134,14 +152,14 @@ def vector_dim(df: DataFrame, column: str) -> int | None:
 def knn_join(
     questions: DataFrame,
     papers: DataFrame,
-    k: int,
+    k: int | str,
     topic_col: str | None = None,
     centroids: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` nearest papers of every question: qid, arxiv_id, distance, rk, similarity.
 
     ``questions`` needs ``qid`` and ``vector``, ``papers`` needs ``arxiv_id`` and
-    ``embedding``. With ``topic_col`` (present in both) a question sees only the
+    ``embedding``. ``k`` is a number or the column of ``questions`` that holds it. With ``topic_col`` (present in both) a question sees only the
     papers of its topic; where it is null, all papers.
 
     Where the question vectors are proven to be few they go to the paper scan,
@@ -150,9 +168,7 @@ def knn_join(
     papers that can hold one of their neighbours; see ``ann.exact_join``. Both
     ways give the same, exact rows.
     """
-    asked = questions.select(
-        "qid", "vector", with_topic_column(questions, topic_col).alias("topic")
-    )
+    asked = asked_of(questions, k, topic_col)
     known = papers.select(
         "arxiv_id",
         "embedding",
@@ -162,13 +178,13 @@ def knn_join(
     dim = vector_dim(asked, "vector")
     if dim is None:
         nothing = papers.sparkSession.createDataFrame([], pair_schema(questions, papers))
-        return rank_hits(nothing, k)
-    if fits(asked, _question_rows_allowed(asked, dim)):
-        pairs = _scan_join(asked, known.select("arxiv_id", "embedding", "topic"), k, dim)
-        return rank_hits(pairs, k)
+        return rank_hits(nothing, 1)
+    if fits(asked, QUESTION_BYTES // (8 * dim)):
+        pairs = _scan_join(asked, known.select("arxiv_id", "embedding", "topic"), dim)
+        return rank_hits(pairs, greatest_k(asked))
     from .ann import exact_join
 
-    return exact_join(asked, known, k, dim, centroids)
+    return exact_join(asked, known, dim, centroids)
 
 
 def with_text(hits: DataFrame, papers: DataFrame, hit_rows: int = HIT_ROWS) -> DataFrame:

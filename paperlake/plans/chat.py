@@ -23,12 +23,7 @@ def hits_for(
 
     ``questions``: qid, vector, topic_id, top_k.
     """
-    most = questions.agg(F.coalesce(F.max("top_k"), F.lit(0))).first()[0]
-    if most < 1:
-        most = 1
-    ranked = knn_join(questions, papers, int(most), "topic_id", centroids)
-    wanted = ranked.join(questions.select("qid", "top_k"), "qid").where(F.col("rk") <= F.col("top_k"))
-    return with_text(cut(wanted.drop("top_k")), papers)
+    return with_text(cut(knn_join(questions, papers, "top_k", "topic_id", centroids)), papers)
 
 
 def chat(
