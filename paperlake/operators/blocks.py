@@ -50,6 +50,29 @@ def distances(papers: np.ndarray, questions: np.ndarray) -> np.ndarray:
     return np.clip(np.round(1.0 - papers @ questions.T, TIE_PLACES), 0.0, 2.0)
 
 
+def without_spare_copies(
+    ids: pa.Array, papers: np.ndarray, topics: np.ndarray, most: int
+) -> np.ndarray:
+    """Row numbers of a block without the copies that cannot be among ``most`` hits.
+
+    Papers with the same vector and topic are equally far from every question, so
+    of more than ``most`` of them only those with the least ids can be hits.
+    """
+    rows = np.ascontiguousarray(papers).view(np.dtype((np.void, papers.shape[1] * 8))).ravel()
+    _, group, sizes = np.unique(rows, return_inverse=True, return_counts=True)
+    copied = np.flatnonzero(sizes[group] > most)
+    if not len(copied):
+        return np.arange(len(papers))
+    copies = pd.DataFrame({
+        "row": copied,
+        "group": group[copied],
+        "topic": topics[copied],
+        "id": ids.take(pa.array(copied)).to_pylist(),
+    }).sort_values("id")
+    spare = copies.groupby(["group", "topic"], dropna=False).cumcount() >= most
+    return np.setdiff1d(np.arange(len(papers)), copies["row"][spare].to_numpy())
+
+
 class Nearest:
     """The ``k`` nearest papers seen so far for each of a strip of questions.
 
@@ -139,8 +162,11 @@ class Searches:
         return strips
 
     def add(self, ids: pa.Array, papers: np.ndarray, topics: np.ndarray) -> None:
-        if not len(papers):
+        if not len(papers) or not len(self.wanted):
             return
+        rows = without_spare_copies(ids, papers, topics, int(self.wanted.max()))
+        if len(rows) < len(papers):
+            ids, papers, topics = ids.take(pa.array(rows)), papers[rows], topics[rows]
         single = papers.astype(np.float32)
         for _, search in self.everywhere:
             search.add(ids, papers, single)
