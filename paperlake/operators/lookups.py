@@ -1,4 +1,4 @@
-"""Joins with a table of unique keys, safe against hot and null keys."""
+"""Joins with a table of keys, safe against hot and null keys."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ SALTS = 16
 def lookup(
     rows: DataFrame, table: DataFrame, key: str, how: str = "left", most: int | None = None
 ) -> DataFrame:
-    """Join ``rows`` with ``table``, whose ``key`` is unique.
+    """Join ``rows`` with ``table``, whose ``key`` has few rows per value, mostly one.
 
     A table proven small is broadcast and ``rows`` are not shuffled. Otherwise
     the join is salted: a key or a null shared by a third of the rows does not

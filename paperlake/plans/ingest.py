@@ -63,7 +63,7 @@ def ingest(
     wanted = named.select("request_id", "feed", "max_results", "topic_name")
     # positions are fixed here: reading the files again could number them anew
     most = wanted.agg(F.coalesce(F.max("max_results"), F.lit(0))).first()[0]
-    offered = papers_from_feed(entries).join(wanted, "feed")
+    offered = lookup(papers_from_feed(entries), wanted, "feed", "inner")
     batch = cut(limit_per_request(offered, at_most=most))
     sound, broken = quarantine(batch, paper_rules())
     stored_topics = load_table(spark, topics_table, TOPICS)
