@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperlake.operators import ann
 from paperlake.operators import search as sr
-from paperlake.session import fresh_folder
+from paperlake.session import cut, fresh_folder
 
 from .base import DIM, HITS_SQL, papers, plain_distance, query, questions, table
 
@@ -32,7 +32,7 @@ near AS (
 
 
 def label_means(spark, folder):
-    return (
+    return cut(
         table(spark, folder, "embeddings")
         .select("label", F.posexplode("embedding").alias("i", "x"))
         .groupBy("label", "i")

@@ -33,7 +33,7 @@ ENTRIES_SQL = """entries AS (
   SELECT doc_id, doc_id || 'v1' AS arxiv_id, CAST(doc_id AS VARCHAR) AS base_id,
          'On ' || source || '  and ' || doc_id AS title, source || '; ' || lang AS authors,
          replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10), ' ') AS abstract,
-         CAST(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER) AS DATE) AS published_date,
+         strftime(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') AS published_date,
          lang AS categories, source
   FROM documents)"""
 
@@ -49,7 +49,8 @@ def papers_of_feeds(spark, folder):
     """All documents written as Atom files, read back as papers."""
     path = fresh_folder(spark, "feed")
     write_feed(atom_entries(spark, folder), path)
-    return papers_from_feed(read_feed(spark, path)).drop("feed", "position")
+    found = papers_from_feed(read_feed(spark, path)).drop("feed", "position")
+    return found.withColumn("published_date", F.col("published_date").cast("string"))
 
 
 @query("""
@@ -256,7 +257,7 @@ def ingested_papers(spark, folder):
         "title",
         "authors",
         "abstract",
-        "published_date",
+        F.col("published_date").cast("string"),
         "categories",
         F.round(weight, 4).alias("weight"),
     )

@@ -95,7 +95,7 @@ def json_maps(spark, folder):
 
 
 @query("""
-SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS parsed FROM events WHERE event_type <> 'error'""")
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed FROM events WHERE event_type <> 'error'""")
 def normalized_dates(spark, folder):
     """Event times written in four ways, one of them unreadable."""
     kind = F.col("event_type")
@@ -109,7 +109,7 @@ def normalized_dates(spark, folder):
     good, _ = normalize_dates(
         rows, "written", ["yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MMM d, yyyy HH:mm:ss"]
     )
-    return good.select("event_id", "parsed")
+    return good.select("event_id", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
 @query("""

@@ -44,17 +44,17 @@ def paper_ids(spark, folder):
 
 
 @query("""
-SELECT o_orderkey, CAST(o_orderdate AS DATE) AS placed,
-       CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS shown
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS placed,
+       CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS shown
 FROM orders""")
 def published_dates(spark, folder):
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return table(spark, folder, "orders").select(
         "o_orderkey",
-        fn.published_date(stamp).alias("placed"),
-        fn.published_date(F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(stamp)).alias(
-            "shown"
-        ),
+        fn.published_date(stamp).cast("string").alias("placed"),
+        fn.published_date(F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(stamp))
+        .cast("string")
+        .alias("shown"),
     )
 
 
