@@ -220,12 +220,15 @@ def routed_join(
                     block.append((part.column("arxiv_id").take(pa.array(rows)), unit, topics))
                     continue
                 wanted = part.column("k").to_numpy()[rows]
-                searches = blocks.Searches(wanted, unit, topics)
-                for names, matrix, paper_topics in block:
-                    searches.add(names, matrix, paper_topics)
-                found = searches.found(part.column("qid").take(pa.array(rows)), out)
-                if found is not None:
-                    yield found
+                asked = part.column("qid").take(pa.array(rows))
+                for at in range(0, len(rows), blocks.STRIP):
+                    some = slice(at, at + blocks.STRIP)
+                    searches = blocks.Searches(wanted[some], unit[some], topics[some])
+                    for names, matrix, paper_topics in block:
+                        searches.add(names, matrix, paper_topics)
+                    found = searches.found(asked.slice(at, blocks.STRIP), out)
+                    if found is not None:
+                        yield found
 
     return together.mapInArrow(nearest, schema)
 

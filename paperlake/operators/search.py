@@ -20,6 +20,9 @@ from .topics import filter_topic
 # questions are routed to the papers near them instead.
 QUESTION_BYTES = 64 * 1024 * 1024
 
+# A task of that scan holds the hits of all questions, at most this many.
+TASK_HITS = 5_000_000
+
 # Up to this many hits are broadcast to fetch their texts.
 HIT_ROWS = 200_000
 
@@ -179,9 +182,12 @@ def knn_join(
     if dim is None:
         nothing = papers.sparkSession.createDataFrame([], pair_schema(questions, papers))
         return rank_hits(nothing, 1)
-    if fits(asked, QUESTION_BYTES // (8 * dim)):
+    size = asked.agg(
+        F.count("*").alias("rows"), F.sum("k").alias("hits"), F.max("k").alias("most")
+    ).first()
+    if size["rows"] * 8 * dim <= QUESTION_BYTES and size["hits"] <= TASK_HITS:
         pairs = _scan_join(asked, known.select("arxiv_id", "embedding", "topic"), dim)
-        return rank_hits(pairs, greatest_k(asked))
+        return rank_hits(pairs, size["most"])
     from .ann import exact_join
 
     return exact_join(asked, known, dim, centroids)

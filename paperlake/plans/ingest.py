@@ -56,7 +56,7 @@ def ingest(
     what the first one left out. The model sees only rows that will be stored.
     """
     spark = entries.sparkSession
-    asked = normalize_requests(requests, "ingest")
+    asked = cut(normalize_requests(requests, "ingest"))
     named, misnamed = quarantine(
         asked.withColumn("name", F.col("topic_name")), topic_rules()
     )

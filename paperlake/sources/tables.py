@@ -31,9 +31,15 @@ def load_table(
 
 
 def _append(df: DataFrame, target: str, schema: T.StructType) -> DataFrame:
-    rows = df.withColumn("created_at", F.current_timestamp()).select(
+    # a repeated run adds nothing, and then should leave no empty files
+    empty = df.isEmpty()
+    # one time for all rows, and the same in the returned frame
+    now = df.sparkSession.range(1).select(F.current_timestamp()).first()[0]
+    rows = df.withColumn("created_at", F.lit(now)).select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)
     )
+    if empty:
+        return rows
     if _is_path(target):
         rows.write.mode("append").parquet(target)
     else:
