@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,10 +134,10 @@ def probe_cells(questions: DataFrame, centroids: DataFrame, probes: int) -> Data
     return questions.withColumn("cell", F.explode(nearest_cells(F.col("vector"))))
 
 
-def _parts(rows: DataFrame, limit: int, name: str) -> DataFrame:
+def _parts(rows: DataFrame, limit: int, name: str, *more: Column) -> DataFrame:
     """How many parts of about ``limit`` rows each cell makes."""
     count = F.ceil(F.count("*") / F.lit(limit)).cast("int")
-    return rows.groupBy("cell").agg(count.alias(name))
+    return rows.groupBy("cell").agg(count.alias(name), *more)
 
 
 def routed_join(
@@ -156,7 +156,10 @@ def routed_join(
     The sizes, one row per cell, are read first: the cells that are asked for
     then are literals, and papers stored by cell are read from their folders only.
     """
-    groups_of = _parts(routed, question_rows or QUESTION_ROWS, "n_groups").toPandas()
+    groups_of = _parts(
+        routed, question_rows or QUESTION_ROWS, "n_groups", F.max("k").alias("most")
+    ).toPandas()
+    most = int(groups_of["most"].max()) if len(groups_of) else 1
     asked_cells = [int(c) for c in groups_of["cell"]]
     papers = papers.where(F.col("cell").isin(asked_cells))
     blocks_of = _parts(papers, block_rows or BLOCK_ROWS, "n_blocks").toPandas()
@@ -214,18 +217,19 @@ def routed_join(
                 part = batch.slice(int(start), int(stop - start))
                 if group != current:
                     current, block = group, []
-                rows, unit = blocks.unit_matrix(part.column("v"), dim)
-                topics = blocks.topic_array(part.column("topic"))[rows]
                 if side == 0:
-                    block.append((part.column("arxiv_id").take(pa.array(rows)), unit, topics))
+                    columns = (part.column(c) for c in ("arxiv_id", "v", "topic"))
+                    block.append(blocks.paper_block(*columns, dim, most))
                     continue
+                rows, unit = blocks.unit_matrix(part.column("v"), dim)
+                topics = blocks.topic_array(part.column("topic"))[rows]
                 wanted = part.column("k").to_numpy()[rows]
                 asked = part.column("qid").take(pa.array(rows))
                 for at in range(0, len(rows), blocks.STRIP):
                     some = slice(at, at + blocks.STRIP)
                     searches = blocks.Searches(wanted[some], unit[some], topics[some])
-                    for names, matrix, paper_topics in block:
-                        searches.add(names, matrix, paper_topics)
+                    for papers_of_block in block:
+                        searches.add(*papers_of_block)
                     found = searches.found(asked.slice(at, blocks.STRIP), out)
                     if found is not None:
                         yield found

@@ -73,6 +73,18 @@ def without_spare_copies(
     return np.setdiff1d(np.arange(len(papers)), copies["row"][spare].to_numpy())
 
 
+def paper_block(
+    ids: pa.Array, vectors: pa.Array, topics: pa.Array, dim: int, most: int
+) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, unit vectors and topics of the papers that can be among ``most`` hits."""
+    rows, unit = unit_matrix(vectors, dim)
+    ids, numbers = ids.take(pa.array(rows)), topic_array(topics)[rows]
+    if len(rows) <= most:
+        return ids, unit, numbers
+    kept = without_spare_copies(ids, unit, numbers, most)
+    return ids.take(pa.array(kept)), unit[kept], numbers[kept]
+
+
 class Nearest:
     """The ``k`` nearest papers seen so far for each of a strip of questions.
 
@@ -164,9 +176,6 @@ class Searches:
     def add(self, ids: pa.Array, papers: np.ndarray, topics: np.ndarray) -> None:
         if not len(papers) or not len(self.wanted):
             return
-        rows = without_spare_copies(ids, papers, topics, int(self.wanted.max()))
-        if len(rows) < len(papers):
-            ids, papers, topics = ids.take(pa.array(rows)), papers[rows], topics[rows]
         single = papers.astype(np.float32)
         for _, search in self.everywhere:
             search.add(ids, papers, single)

@@ -135,10 +135,9 @@ def _scan_join(questions: DataFrame, papers: DataFrame, dim: int) -> DataFrame:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit, limits, counts = shared.value
         searches = blocks.Searches(counts, unit, limits)
+        most = int(counts.max(initial=1))
         for batch in batches:
-            rows, block = blocks.unit_matrix(batch.column(1), dim)
-            names = batch.column(0).take(pa.array(rows))
-            searches.add(names, block, blocks.topic_array(batch.column(2))[rows])
+            searches.add(*blocks.paper_block(*batch.columns, dim, most))
         found = searches.found(ids, out)
         if found is not None:
             yield found
