@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperlake.operators import search as sr
+from paperlake.session import cut
 
 from .base import (
     HITS_SQL,
@@ -99,7 +100,7 @@ SELECT qid, CAST(rk AS BIGINT) AS rk, title AS paper_title, arxiv_id, round(dist
        'https://arxiv.org/abs/' || arxiv_id AS url FROM hits""")
 def hit_sources(spark, folder):
     known = papers(spark, folder)
-    found = sr.with_text(sr.knn_join(questions(spark, folder), known, 5), known)
+    found = sr.with_text(cut(sr.knn_join(questions(spark, folder), known, 5)), known)
     return sr.sources(found).withColumns({
         "rk": F.col("rk").cast("long"),
         "distance": F.col("distance") + 0.0,

@@ -14,6 +14,10 @@ from .ingest import ARRIVAL
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
+# The report of a failed text, and how much of a title it shows.
+FAILED = "Embedding failed for %s...: %s"
+TITLE_SHOWN = 30
+
 # Texts handed to a model in one call.
 CALL_ROWS = 64
 
@@ -88,9 +92,8 @@ def embed_only(
         .withColumn("_text", embed_text(F.col("title"), F.col("abstract")))
     )
     tried = embed(first, "_text", load_model, dim)
-    failure = F.concat(
-        F.lit("Embedding failed for "), F.left("title", F.lit(30)), F.lit("...: "), "embed_error"
-    )
+    report = F.format_string(FAILED, F.left("title", F.lit(TITLE_SHOWN)), F.col("embed_error"))
+    failure = F.when(F.col("embed_error").isNotNull(), report)
     fields = ("title", "authors", "arxiv_id", "published_date")
     samples = F.array_sort(F.collect_list(F.struct("_place", *fields)))
     # at most n rows per request

@@ -12,6 +12,7 @@ from ..schema import BATCH_BOUNDS, DEFAULT_MAX_RESULTS, DEFAULT_QUERY, DEFAULT_T
 QUERY_REQUIRED = "Query is required"
 NO_PAPERS = "No papers found"
 NO_HITS = "I could not find relevant information to answer your query."
+PROCESSED = "Successfully processed %d papers"
 
 
 def normalize_requests(requests: DataFrame, kind: str) -> DataFrame:
@@ -72,7 +73,7 @@ def with_status(requests: DataFrame, kind: str) -> DataFrame:
             "message",
             F.when(F.col("status") == 404, NO_PAPERS)
             .when(F.col("status") == 500, F.col("error"))
-            .otherwise(F.format_string("Successfully processed %d papers", F.col("processed"))),
+            .otherwise(F.format_string(PROCESSED, F.col("processed"))),
         )
     status = chat_status(F.coalesce("query", F.lit("")), F.col("error"))
     return requests.withColumn("status", status).withColumn(

@@ -196,7 +196,8 @@ def with_text(hits: DataFrame, papers: DataFrame, hit_rows: int = HIT_ROWS) -> D
     """Add title and abstract (``content``) of each hit.
 
     Only ids travel through the ranking; texts are fetched for the winners.
-    Hits proven few are broadcast, so the paper texts are not shuffled.
+    Hits proven few are broadcast, so the paper texts are not shuffled. Hand in
+    materialised hits: they are counted first.
     """
     texts = papers.select("arxiv_id", "title", F.col("abstract").alias("content"))
     few = F.broadcast(hits) if fits(hits, hit_rows) else hits

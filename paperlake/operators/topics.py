@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ALL_TOPICS, BUILT_IN_TOPICS
@@ -10,9 +10,13 @@ from .keys import assign_ids, greatest_id
 from .lookups import lookup
 
 
-def describe(name):
+# Fixed value: how the description of a new topic begins.
+DESCRIPTION = "Research papers about "
+
+
+def describe(name: Column) -> Column:
     """Description given to a new topic."""
-    return F.concat(F.lit("Research papers about "), name)
+    return F.concat(F.lit(DESCRIPTION), name)
 
 
 def resolve_topics(
