@@ -25,6 +25,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns under names of our own, and the columns that bring the old names back.
+
+    Whatever names an operator then makes can't clash with the caller's.
+    """
+    names = df.columns
+    aside = df.toDF(*[f"_in{i}" for i in range(len(names))])
+    return aside, [F.col(f"_in{i}").alias(name) for i, name in enumerate(names)]
+
+
 def id_bucket(column: Column | str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; null for a null id."""
     column = F.col(column) if isinstance(column, str) else column

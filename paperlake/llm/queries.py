@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import language, nearest, packing, quality
+from paperlake.llm import decontaminate, language, nearest, packing, quality, secrets, sharding
 from paperlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,21 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_exact_top_k(spark, sf_dir):
     return nearest.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
