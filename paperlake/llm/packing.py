@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 from zlib import crc32
 
@@ -31,14 +32,16 @@ from paperlake.llm.common import stored
 
 CAPACITY = 2048
 END = 0
+#: White space that the vocabulary does not split at as str.split() does,
+#: signs that lower-case or compose in other ways, and the opening of a special token.
+_NOT_PLAIN = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]|<\\|")
 _BLANKS = re.compile(r"[ \t\r\n]+")
-#: White space beyond that, which str.split() would split at too.
-_OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: What the vocabulary's splitting rule takes as one word of letters
+#: Fixed value: what the vocabulary's splitting rule takes as one word of letters
 #: and one run of signs. Anything else between blanks goes through the whole tokenizer.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?|()\"-]*)")
-#: Most words and runs between blanks whose ids a Python worker keeps; rarer ones are encoded each time.
-WORDS_KEPT, RUNS_KEPT = 500_000, 600_000
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]*)([.,;:!?|()\"-]*)")
+#: Most runs whose ids a Python worker keeps: words, and words with a sign after them.
+#: Rarer ones are encoded each time.
+WORDS_KEPT, SIGNED_KEPT = 700_000, 150_000
 
 
 def _byte_signs() -> dict[int, str]:
@@ -48,11 +51,47 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
 
 
+class Runs(dict):
+    """Ids by lower-case run (what stands between two blanks); frequent ones are kept."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.signs = _byte_signs()
+        self.signed = 0
+
+    def __missing__(self, run: str) -> bytes:
+        if run[-1] in ".," and run[-2:-1].isalpha():
+            word = self.get(run[:-1])
+            if word is not None:
+                ids = word + self[run[-1]]
+                if self.signed < SIGNED_KEPT:
+                    self.signed += 1
+                    self[run] = ids
+                return ids
+        plain = _PLAIN.fullmatch(run)
+        if plain is None:
+            ids = _as_bytes(self.tokenizer.encode(run, add_special_tokens=False).ids)
+        elif plain[1] and plain[2]:
+            return self[plain[1]] + self[plain[2]]
+        else:
+            shown = run if run.isascii() else "".join(map(self.signs.__getitem__, run.encode()))
+            ids = _as_bytes([token.id for token in self.model.tokenize(shown)])
+        if len(self) < WORDS_KEPT + self.signed and len(run) < 64:
+            self[run] = ids
+        return ids
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids of a text, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and splits at it, so what stands between
-    blanks can be encoded for itself, and what is frequent once a worker.
+    The vocabulary drops white space and case and splits at blanks, so what
+    stands between two blanks can be encoded for itself, and once if frequent.
     """
 
     def __init__(self, path: str):
@@ -60,37 +99,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.signs = _byte_signs()
-        self.words: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.runs = Runs(self.tokenizer)
 
     def __call__(self, text: str) -> bytes:
-        runs = _BLANKS.split(text) if _OTHER_BLANKS.search(text) else text.split()
-        try:
-            return b"".join(map(self.runs.__getitem__, runs))
-        except KeyError:
-            return b"".join([self.runs.get(run) or self.run(run) for run in runs])
-
-    def run(self, run: str) -> bytes:
-        """Ids of what stands between two blanks."""
-        if plain := _PLAIN.fullmatch(run):
-            ids = self.word(plain[1].lower()) + self.word(plain[2])
-        else:
-            ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.runs) < RUNS_KEPT and len(run) < 64:
-            self.runs[run] = ids
-        return ids
-
-    def word(self, word: str) -> bytes:
-        """Ids of a lower-case word of letters, or of a run of signs."""
-        ids = self.words.get(word)
-        if ids is None:
-            shown = word if word.isascii() else "".join(map(self.signs.__getitem__, word.encode()))
-            ids = np.array([token.id for token in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.words) < WORDS_KEPT and len(word) < 64:
-                self.words[word] = ids
-        return ids
+        if _NOT_PLAIN.search(text) is None:
+            return b"".join(map(self.runs.__getitem__, text.lower().split()))
+        return b"".join(map(self.other, filter(None, _BLANKS.split(text))))
+
+    def other(self, run: str) -> bytes:
+        """Ids of a run of a text that has unusual characters somewhere."""
+        if _NOT_PLAIN.search(run) is None:
+            return self.runs[run.lower()]
+        return _as_bytes(self.tokenizer.encode(run, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
