@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import decontaminate, language, nearest, packing, quality, secrets, sharding
+from paperlake.llm import decontaminate, language, nearest, packing, quality, secrets, sharding, urls
 from paperlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
