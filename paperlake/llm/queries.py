@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import decontaminate, language, nearest, packing, quality, secrets, sharding, urls
+from paperlake.llm import (
+    decontaminate,
+    jaccard,
+    language,
+    nearest,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    suffixes,
+    urls,
+)
 from paperlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +42,11 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffixes.measure(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
@@ -56,6 +72,11 @@ def op7_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.joined(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @query
 def op9_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
