@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import id_bucket
+from paperlake.llm.common import id_bucket, set_aside
 
 WORDS = 4096
 BINS = 10
@@ -255,6 +255,14 @@ def with_score(docs: DataFrame, machine: Machine, column: str = "score") -> Data
     return docs.withColumn(column, scored(F.col("text"), stated))
 
 
+def keep(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is ``least`` or more."""
+    rows, names = set_aside(docs)
+    inputs = [F.col(f"_in{docs.columns.index(name)}").alias(name) for name in ("text", "n_chars") if name in docs.columns]
+    scored = with_score(rows.select(*rows.columns, *inputs), machine, "score")
+    return scored.where(F.col("score") >= least).select(*names)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
