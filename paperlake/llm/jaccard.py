@@ -4,8 +4,9 @@
 2. Shingles are ordered, common ones last. Two sets that link share a shingle
    among the first n - ceil(t * n) + 1 of each (n: size, t: threshold). Only
    representatives that share such a shingle with another go on.
-3. Each goes to a group: that of the most shared of its first shingles, divided
-   into parts of about ``GROUP_ROWS``, so that similar sets are together.
+3. Each goes to a group: that of the most shared of its first shingles and of its
+   size, divided into parts of at most about ``GROUP_ROWS``, so that similar sets
+   are together.
 4. The token-group matrix holds, for each group, the union of its members' first
    shingles, once each, and the least and largest size.
 5. A representative meets the matrix by its first shingles. The number that it
@@ -40,6 +41,8 @@ from paperlake.llm.hashing import mixed, shingles
 from paperlake.session import fits
 
 GROUP_ROWS = 256
+#: Sizes in a group differ by about one in so many; the bounds on a group are the better for it.
+BANDS = 100
 #: Queries that meet a group in one task.
 QUERY_ROWS = 1024
 #: Buckets in which the frequency of shingles is counted; only their order depends on it.
@@ -238,48 +241,57 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple[DataFra
         homes.join(representatives.drop("first"), "id").select(
             "id", "n", "doc_id", "s1", "s2",
             F.xxhash64(
-                "home.token", F.pmod(F.xxhash64("id"), F.ceil(F.col("home.sharing") / GROUP_ROWS))
+                "home.token",
+                F.floor(F.log("n") * BANDS),
+                F.pmod(F.xxhash64("id"), F.ceil(F.col("home.sharing") / GROUP_ROWS)),
             ).alias("group"),
         ),
         "groups",
     )
     placed = shared.select("token", "id").join(grouped.select("id", "n", "group"), "id")
-    matrix = placed.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.select(F.col("token").alias("of_token"), F.col("group").alias("of_group"), "least", "most")
+    matrix = placed.groupBy("token", "group").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("holders")
+    )
+    matrix = matrix.select(F.col("token").alias("of_token"), F.col("group").alias("of_group"), "least", "most", "holders")
     met = placed.join(
         matrix,
         (F.col("token") == F.col("of_token"))
-        & (F.col("group") > F.col("of_group"))
+        & ((F.col("group") > F.col("of_group")) | ((F.col("group") == F.col("of_group")) & (F.col("holders") > 1)))
         & (100 * F.col("most") >= percent * F.col("n"))
         & (100 * F.col("n") >= percent * F.col("least")),
     )
     met = met.groupBy("id", "of_group").agg(
-        F.count("*").alias("common"), F.first("n").alias("n"), F.min("least").alias("least")
-    )
-    beyond = F.ceil(F.col("n") * percent / 100).cast("long") - 1
-    needed = F.ceil((F.col("n") + F.col("least")) * percent / (100.0 + percent) - 1e-9)
+        F.count("*").alias("common"), F.first("n").alias("n"), F.first("group").alias("group"),
+        F.min("least").alias("least"), F.max("most").alias("most"),
+    )
+    # Of two sets, all that the one with the lower last first shingle has among its
+    # first ones and shares is counted; so its others bound the rest.
+    beyond = F.ceil(F.greatest("n", F.least(F.col("most"), 100 * F.col("n") / percent)) * percent / 100 - 1e-9).cast("long") - 1
+    needed = F.ceil((F.col("n") + F.greatest(F.col("least"), percent * F.col("n") / 100)) * percent / (100.0 + percent) - 1e-9)
     opened = stored(
-        met.where(F.col("common") + beyond >= needed).select(F.col("id").alias("query"), "of_group"), "opened"
+        met.where(F.col("common") + beyond >= needed).select(
+            F.col("id").alias("query"), "of_group", (F.col("group") != F.col("of_group")).alias("from_outside")
+        ),
+        "opened",
     )
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("members"))
-    busy = opened.groupBy("of_group").agg(F.count("*").alias("queries"))
-    parts = sizes.join(busy, F.col("group") == F.col("of_group"), "left").where(
-        (F.col("members") > 1) | F.col("queries").isNotNull()
-    ).select(
-        F.col("group").alias("part_group"),
-        F.ceil(F.coalesce("queries", F.lit(1)) / QUERY_ROWS).alias("parts"),
-    )
-    sets = stored(_whole_sets(docs, grouped, words), "sets")
-    members = (
-        grouped.select("id", "group")
-        .join(parts, F.col("group") == F.col("part_group"))
+    busy = opened.groupBy("of_group").agg(F.count_if("from_outside").alias("queries"))
+    parts = busy.select(
+        F.col("of_group").alias("part_group"),
+        F.greatest(F.ceil(F.col("queries") / QUERY_ROWS), F.lit(1).cast("long")).alias("parts"),
+    )
+    placing = (
+        grouped.join(parts, F.col("group") == F.col("part_group"))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         .select(F.col("id").alias("member"), F.col("group").alias("in_group"), F.col("part").alias("in_part"))
-        .join(sets, F.col("member") == F.col("id"))
-        .select("member", "in_group", "in_part", F.col("tokens").alias("own"))
+    )
+    wanted = placing.select(F.col("member").alias("id")).unionByName(opened.select(F.col("query").alias("id"))).distinct()
+    sets = stored(_whole_sets(docs, grouped.join(wanted, "id", "left_semi"), words), "sets")
+    members = placing.join(sets, F.col("member") == F.col("id")).select(
+        "member", "in_group", "in_part", F.col("tokens").alias("own")
     )
     asking = (
-        opened.join(parts, F.col("of_group") == F.col("part_group"))
+        opened.where("from_outside")
+        .join(parts, F.col("of_group") == F.col("part_group"))
         .withColumn("of_part", F.pmod(F.xxhash64("query"), F.col("parts")))
         .join(sets, F.col("query") == F.col("id"))
         .select("query", F.col("of_group").alias("to_group"), F.col("of_part").alias("to_part"), F.col("tokens").alias("theirs"))
