@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.llm.common import stored
+
 DEPTH = 4
 #: A segment is variable if it has so many values at least, none above this share.
 VALUES, TOP_SHARE = 8, 0.5
@@ -65,7 +67,8 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``paths`` (host, path, n, ...) with its template, level by level down the tree of each host.
 
     A level groups by host and the template so far, so a host with a third of
-    all addresses is counted in every task before its counts meet.
+    all addresses is counted in every task before its counts meet. A level is
+    written out, as the next one reads it more than once.
     """
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = paths.withColumn("parts", parts).withColumn("template", F.lit(""))
@@ -94,7 +97,7 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
             F.concat(F.lit("/"), F.when(F.col("variable"), F.lit("*")).otherwise(F.col("segment")))
         )
-        rows = rows.withColumn("template", F.concat("template", step)).drop("segment", "variable")
+        rows = stored(rows.withColumn("template", F.concat("template", step)).drop("segment", "variable"), "tree")
     rest = F.when(F.size("parts") > depth, F.lit("/**")).otherwise(F.lit(""))
     return rows.withColumn("template", F.concat("template", rest)).drop("parts")
 
@@ -103,12 +106,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
-    paths = paths.withColumn("says", says)
+    paths = stored(rows.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("says", says), "paths")
     shaped = templates(paths)
     known = F.when(F.col("says").isNotNull(), F.col("n")).otherwise(0)
     bad = F.when(F.col("says") == "block", F.col("n")).otherwise(0)
-    branches = shaped.groupBy("host", "template").agg(F.sum(known).alias("known"), F.sum(bad).alias("bad"))
+    branches = stored(
+        shaped.groupBy("host", "template").agg(F.sum(known).alias("known"), F.sum(bad).alias("bad")), "branches"
+    )
     total = branches.agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")).first()
     share = (total["bad"] or 0) / total["known"] if total["known"] else 0.0
     # Branches of one shape merge where their purity falls in the same fifth;
