@@ -11,7 +11,8 @@ Cases: rows without an id, a vector, or with a null or non-finite component take
 no part; an id that occurs more than once counts as one row, with the least of
 its vectors; vectors of another length than the query's are no candidates; ties
 go to the smaller id, also between a box and the kth score, as a node knows its
-least id; fewer than k candidates are all returned.
+least id; fewer than k candidates are all returned; scores beyond 64 bits are ranked as they
+are and shown as the largest number.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from paperlake.llm.common import stored
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 2_048
 LEAF_ROWS = 256
+LARGEST = 2**63 - 1
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -127,7 +129,7 @@ def _search_all(tree: Tree, ids, vectors, kths, k: int) -> pd.DataFrame:
         part = slice(start, start + 256)
         bounds = tree.bounds(asked[part])
         for own, query, bound, kth in zip(ids[part].tolist(), asked[part], bounds, kths[part]):
-            found += [(own, -i, int(s)) for s, i in tree.search(own, query, bound, k, kth)]
+            found += [(own, -i, min(max(int(s), -LARGEST), LARGEST)) for s, i in tree.search(own, query, bound, k, kth)]
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
