@@ -17,11 +17,10 @@ table gives no rows.
 
 from __future__ import annotations
 
-import json
 import os
 import re
+import struct
 from functools import lru_cache
-from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -29,22 +28,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import chunks, stored
+from paperlake.llm.common import stored
 
 CAPACITY = 2048
 END = 0
 #: White space that the vocabulary does not split at as str.split() does,
 #: signs that lower-case or compose in other ways, and the opening of a special token.
 _NOT_PLAIN = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]|<\\|")
+_CONTROLS = "\x0b\x0c\x1c\x1d\x1e\x1f"
 _BLANKS = re.compile(r"[ \t\r\n]+")
 #: Fixed value: signs after a word that the vocabulary's splitting rule takes as one run;
 #: anything else between blanks but letters and these goes through the whole tokenizer.
 _SIGNS = '.,;:!?|()"-'
 _PLAIN = re.compile(r"[^\W\d_]*[" + re.escape(_SIGNS) + "]+")
-#: Most runs whose ids a Python worker keeps, and the longest that are looked at as words.
-RUNS_KEPT, LONGEST = 400_000, 40
-#: Characters of text that a task encodes at a time.
-CHARS = 1_500_000
+#: Words and other runs whose ids a Python worker keeps at most, and the longest of them.
+WORDS_KEPT, SIGNED_KEPT, LONGEST = 250_000, 100_000, 40
 
 
 def _byte_signs() -> dict[int, str]:
@@ -54,88 +52,8 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
 
 
-class Merges:
-    """The merges of a BPE vocabulary with word ends, applied to many words at a time.
-
-    All words advance together: a round joins, in each word, the leftmost of its
-    pairs with the least rank, until no word has a pair that merges.
-    """
-
-    END = "</w>"
-
-    def __init__(self, path: str):
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
-        ids = model["vocab"]
-        signs = _byte_signs()
-        self.single = np.array([ids[signs[b]] for b in range(256)], np.int64)
-        self.last = np.array([ids[signs[b] + self.END] for b in range(256)], np.int64)
-        self.size = max(ids.values()) + 1
-        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
-        keys = np.array([ids[a] * self.size + ids[b] for a, b in pairs], np.int64)
-        made = np.array([ids[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order, made[order]
-        self.none = len(pairs)
-
-    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of each pair; rank ``none`` if it doesn't merge. Ids below 0 stand for nothing."""
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        fits = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(fits, self.ranks[at], self.none), self.made[at]
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (its UTF-8 bytes), as little-endian unsigned 32-bit bytes."""
-        out: list[bytes] = [b""] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths, kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 8192)):
-            if len(part):
-                for i, ids in zip(part.tolist(), self._encode([words[i] for i in part], lengths[part])):
-                    out[i] = ids
-        return out
-
-    def _encode(self, words: list[bytes], lengths: np.ndarray) -> list[bytes]:
-        data = np.frombuffer(b"".join(words), np.uint8)
-        width = int(lengths.max())
-        column = np.arange(width)
-        inside = column < lengths[:, None]
-        symbols = np.full((len(words), width + 1), -1, np.int64)
-        symbols[:, :width][inside] = self.single[data]
-        rows = np.arange(len(words))
-        symbols[rows, lengths - 1] = self.last[data[np.cumsum(lengths) - 1]]
-        lengths = lengths.copy()
-        ranks, made = self._look(symbols[:, :-1], symbols[:, 1:])
-        active = rows
-        while len(active):
-            here = ranks[active]
-            at = here.argmin(1)
-            some = here[np.arange(len(active)), at] < self.none
-            active, at = active[some], at[some]
-            if not len(active):
-                break
-            new = made[active, at]
-            # Close the gap that the right half leaves, then look up the two new pairs.
-            shift = column[None, :] + (column[None, :] > at[:, None])
-            now = np.take_along_axis(symbols[active], np.minimum(shift, width), 1)
-            now[np.arange(len(active)), at] = new
-            symbols[active, :width] = now
-            symbols[active, width] = -1
-            ranks[active] = np.take_along_axis(ranks[active], np.minimum(shift, width - 1), 1)
-            made[active] = np.take_along_axis(made[active], np.minimum(shift, width - 1), 1)
-            lengths[active] -= 1
-            ranks[active, width - 1] = self.none
-            for place in (at - 1, at):
-                ok = place >= 0
-                r, p = active[ok], place[ok]
-                ranks[r, p], made[r, p] = self._look(symbols[r, p], symbols[r, p + 1])
-        whole = symbols[:, :width][column < lengths[:, None]].astype("<u4").tobytes()
-        ends = np.cumsum(4 * lengths).tolist()
-        return [whole[a:b] for a, b in zip([0, *ends], ends)]
-
-
 class Runs(dict):
-    """Ids by lower-case run (what stands between two blanks); frequent ones are kept."""
+    """Ids by lower-case run (what stands between two blanks); the first ones met are kept."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -143,72 +61,62 @@ class Runs(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = Merges(path)
-        self.passing: dict[str, bytes] = {}
-
-    def learn(self, runs: set[str]) -> None:
-        """Have the ids of all of these; beyond what is kept they stay until the next call."""
-        self.passing.clear()
-        todo, signed = [], []
-        for run in runs:
-            if run in self:
-                continue
-            if run.isalpha() and len(run) <= LONGEST:
-                todo.append(run)
-            elif len(run) <= LONGEST and _PLAIN.fullmatch(run):
-                signed.append(run)
-            else:
-                self._keep(run, self.whole(run))
-        parts = {part for run in signed for part in _parted(run)}
-        todo = list({part for part in parts if part not in self}.union(todo))
-        for run, ids in zip(todo, self.merges.encode([run.encode() for run in todo])):
-            self._keep(run, ids)
-        for run in signed:
-            self._keep(run, b"".join(map(self.__getitem__, _parted(run))))
-
-    def _keep(self, run: str, ids: bytes) -> None:
-        (self if len(self) < RUNS_KEPT and len(run) <= LONGEST else self.passing)[run] = ids
+        self.pieces = self.tokenizer.model.tokenize
+        self.bytes = _byte_signs()
+        self.signed = 0
 
     def __missing__(self, run: str) -> bytes:
-        return self.passing[run]
+        if run.isalpha():
+            shown = run if run.isascii() else "".join(map(self.bytes.__getitem__, run.encode()))
+            ids = _as_bytes([piece.id for piece in self.pieces(shown)])
+            if len(self) - self.signed < WORDS_KEPT and len(run) <= LONGEST:
+                self[run] = ids
+        elif _PLAIN.fullmatch(run):
+            word = run.rstrip(_SIGNS)
+            signs = run[len(word) :]
+            ids = self[word] + self[signs] if word else _as_bytes([piece.id for piece in self.pieces(run)])
+            if self.signed < SIGNED_KEPT and len(run) <= LONGEST:
+                self.signed += 1
+                self[run] = ids
+        else:
+            ids = self.whole(run)
+            if self.signed < SIGNED_KEPT and len(run) <= LONGEST:
+                self.signed += 1
+                self[run] = ids
+        return ids
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+_FORMATS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    return _FORMATS[len(ids)](*ids) if len(ids) < len(_FORMATS) else struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _parted(run: str) -> list[str]:
-    """A word and the signs after it."""
-    word = run.rstrip(_SIGNS)
-    return [word, run[len(word) :]] if word else [run]
+def _is_plain(text: str) -> bool:
+    """No character that splits, lower-cases or composes in another way than str does it."""
+    if text.isascii():
+        return "<|" not in text and not any(sign in text for sign in _CONTROLS)
+    return _NOT_PLAIN.search(text) is None
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes.
+    """Ids of a text, as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and case and splits at blanks, so what
-    stands between two blanks can be encoded for itself: words of letters, and
-    signs after them, through the vocabulary's merges for all that are new in a
-    stretch of texts at once; everything else through the whole tokenizer.
+    stands between two blanks can be encoded for itself: words of letters and
+    signs after them by the tokenizer's model, anything else by all of it.
     """
 
     def __init__(self, path: str):
         self.runs = Runs(path)
 
     def __call__(self, text: str) -> bytes:
-        return self.all([text])[0]
-
-    def all(self, texts: list[str]) -> list[bytes]:
-        split = [text.lower().split() if _NOT_PLAIN.search(text) is None else None for text in texts]
-        self.runs.learn(set().union(*(runs for runs in split if runs)))
-        found = self.runs.__getitem__
-        return [
-            b"".join(map(found, runs)) if runs is not None else self.unusual(text)
-            for text, runs in zip(texts, split)
-        ]
-
-    def unusual(self, text: str) -> bytes:
-        """Ids of a text with characters that only the tokenizer itself treats right."""
+        if _is_plain(text):
+            return b"".join(map(self.runs.__getitem__, text.lower().split()))
         return b"".join(map(self.runs.whole, filter(None, _BLANKS.split(text))))
 
 
@@ -224,13 +132,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def cut(text: pd.Series) -> pd.Series:
         encode, step, end = encoder(tokenizer), 4 * capacity, np.array([END], "<u4").tobytes()
         made = []
-        for some in chunks((t or "" for t in text), len, CHARS):
-            for ids in encode.all(some):
-                ids += end
-                made.append([
-                    {"length": min(step, len(ids) - at) // 4, "crc": crc32(ids[at : at + step])}
-                    for at in range(0, len(ids), step)
-                ])
+        for t in text:
+            ids = (encode(t) if t else b"") + end
+            made.append([
+                {"length": min(step, len(ids) - at) // 4, "crc": crc32(ids[at : at + step])}
+                for at in range(0, len(ids), step)
+            ])
         return pd.Series(made)
 
     return (

@@ -72,12 +72,13 @@ ODD = [
 def test_ids_are_the_tokenizers(small):
     whole, mine = Tokenizer.from_file(PATH), packing.Encoder(PATH)
     texts = ODD + small["text"].tolist()
-    for text, ids in zip(texts, mine.all(texts)):
+    for text, ids in zip(texts, map(mine, texts)):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
 def test_ids_beyond_the_kept_words(small, monkeypatch):
-    monkeypatch.setattr(packing, "RUNS_KEPT", 50)
+    monkeypatch.setattr(packing, "WORDS_KEPT", 50)
+    monkeypatch.setattr(packing, "SIGNED_KEPT", 20)
     whole, mine = Tokenizer.from_file(PATH), packing.Encoder(PATH)
     for text in small["text"].tolist()[:20]:
         assert np.frombuffer(mine(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
