@@ -32,6 +32,9 @@ MAX_CELLS = 65_536
 BLOCK_ROWS = 20_000
 QUESTION_ROWS = 100_000
 
+# Such groups that a task of the join takes one after the other, about.
+GROUPS_IN_TASK = 8
+
 # Added to an angle bound, for the rounding of distances.
 ANGLE_SLACK = 1e-5
 
@@ -41,7 +44,7 @@ def train_cells(
 ) -> DataFrame:
     """Centroids of ``n`` cells (cell, centroid), by k-means on the angle.
 
-    Only usable vectors of length ``dim`` (default: that of the first row) count.
+    Only usable vectors of length ``dim`` (default: the commonest length) count.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -163,7 +166,7 @@ def routed_join(
     asked_cells = [int(c) for c in groups_of["cell"]]
     papers = papers.where(F.col("cell").isin(asked_cells))
     blocks_of = _parts(papers, block_rows or BLOCK_ROWS, "n_blocks").toPandas()
-    sizes = blocks_of.merge(groups_of, on="cell").itertuples(index=False)
+    sizes = list(blocks_of.merge(groups_of, on="cell").itertuples(index=False))
     plan = F.broadcast(
         papers.sparkSession.createDataFrame(
             [(int(s.cell), int(s.n_blocks), int(s.n_groups)) for s in sizes],
@@ -187,7 +190,7 @@ def routed_join(
         "arxiv_id",
         "topic",
         F.lit(None).cast("int").alias("k"),
-        F.col("embedding").cast("array<float>").alias("v"),
+        F.col("embedding").cast("array<double>").alias("v"),
     )
     question_side = routed.join(plan, "cell").select(
         "cell",
@@ -198,12 +201,15 @@ def routed_join(
         null_id.alias("arxiv_id"),
         "topic",
         "k",
-        F.col("vector").cast("array<float>").alias("v"),
+        F.col("vector").cast("array<double>").alias("v"),
     )
     key = ["cell", "block", "grp"]
+    # the number of groups is known, so no task has to sort very many of them
+    groups = sum(int(s.n_blocks) * int(s.n_groups) for s in sizes)
+    usual = int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = (
         paper_side.unionByName(question_side)
-        .repartition(*key)
+        .repartition(max(usual, groups // GROUPS_IN_TASK), *key)
         .sortWithinPartitions(*key, "side")
     )
 

@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 # Distances that agree to this many places count as equal; the id then decides.
 TIE_PLACES = 12
 
+# Stands for a null topic; no id is the least 64-bit number.
+NO_TOPIC = -(2**63)
+
 # Questions multiplied at a time: bounds the matrix of one step.
 STRIP = 512
 
@@ -152,15 +155,15 @@ def pair_distances(
 class Searches:
     """Searches for a set of questions, each in all papers or in those of its topic.
 
-    ``wanted`` is the number of hits per question; ``topics`` is NaN for all papers.
+    ``wanted`` is the number of hits per question; ``topics`` is NO_TOPIC for all papers.
     """
 
     def __init__(self, wanted: np.ndarray, questions: np.ndarray, topics: np.ndarray):
         self.wanted = wanted
-        self.everywhere = self._strips(questions, np.flatnonzero(np.isnan(topics)))
+        self.everywhere = self._strips(questions, np.flatnonzero(topics == NO_TOPIC))
         self.in_topic = {
             topic: self._strips(questions, np.flatnonzero(topics == topic))
-            for topic in np.unique(topics[~np.isnan(topics)])
+            for topic in np.unique(topics[topics != NO_TOPIC])
         }
 
     def _strips(self, questions: np.ndarray, numbers: np.ndarray):
@@ -181,7 +184,7 @@ class Searches:
             search.add(ids, papers, single)
         if not self.in_topic:
             return
-        for topic in np.unique(topics[~np.isnan(topics)]):
+        for topic in np.unique(topics[topics != NO_TOPIC]):
             strips = self.in_topic.get(topic)
             if strips:
                 rows = np.flatnonzero(topics == topic)
@@ -210,4 +213,5 @@ class Searches:
 
 
 def topic_array(topics: pa.Array) -> np.ndarray:
-    return pc.fill_null(topics.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    """Topic ids as 64-bit integers, NO_TOPIC for null."""
+    return pc.fill_null(topics.cast(pa.int64()), NO_TOPIC).to_numpy(zero_copy_only=False)

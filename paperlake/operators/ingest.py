@@ -30,7 +30,8 @@ def limit_per_request(
     ``at_most`` is the greatest of the limits (found if not given). A small one
     lets each task drop later rows before the shuffle, so a request with very
     many rows is not gathered whole. With a greater one rows are numbered by a
-    range sort, which splits such a request over many tasks.
+    range sort, which splits such a request over many tasks. Both ways keep the
+    same rows, those without a request included, and ``place`` is a long.
     """
     if at_most is None:
         at_most = rows.agg(F.coalesce(F.max(limit), F.lit(0))).first()[0]
@@ -38,7 +39,8 @@ def limit_per_request(
         placed = place_in_group(rows, request, list(order))
     else:
         place = F.row_number().over(Window.partitionBy(request).orderBy(*order))
-        placed = rows.withColumn("place", place).where(F.col("place") <= int(at_most))
+        first = rows.withColumn("place", place).where(F.col("place") <= int(at_most))
+        placed = first.withColumn("place", F.col("place").cast("long"))
     return placed.where(F.col("place") <= F.col(limit))
 
 

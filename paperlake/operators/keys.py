@@ -50,12 +50,13 @@ def place_in_group(
     """``row_number`` per group that stays distributed inside a hot group.
 
     Rows are numbered over all groups in order, and the number of the first row
-    of its group is taken off.
+    of its group is taken off. Rows with a null group are a group too.
     """
-    numbered = assign_ids(rows, 0, [group, *order_by], out)
-    first = numbered.groupBy(group).agg(F.min(out).alias("_first"))
+    # a struct of a null is not null, so the join keeps that group
+    numbered = assign_ids(rows, 0, [group, *order_by], out).withColumn("_group", F.struct(group))
+    first = numbered.groupBy("_group").agg(F.min(out).alias("_first"))
     return (
-        lookup(numbered, first, group, "inner")
+        lookup(numbered, first, "_group", "inner")
         .withColumn(out, F.col(out) - F.col("_first") + 1)
-        .drop("_first")
+        .drop("_group", "_first")
     )

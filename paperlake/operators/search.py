@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import paper_url
-from ..session import fits
+from ..session import cut, fits
 from . import blocks
 from .topics import filter_topic
 
@@ -146,9 +147,20 @@ def _scan_join(questions: DataFrame, papers: DataFrame, dim: int) -> DataFrame:
 
 
 def vector_dim(df: DataFrame, column: str) -> int | None:
-    """Length of the vectors of a column, read off one row."""
-    row = df.where(F.size(column) > 0).select(F.size(column)).first()
-    return row[0] if row else None
+    """The commonest length of the vectors of a column, the greater one of equally common.
+
+    Vectors of another length can't be compared; that there are some is warned of.
+    """
+    sizes = (
+        df.where(F.size(column) > 0)
+        .groupBy(F.size(column).alias("dim"))
+        .agg(F.count("*").alias("n"))
+        .orderBy(F.desc("n"), F.desc("dim"))
+        .take(2)
+    )
+    if len(sizes) > 1:
+        warnings.warn(f"{column}: not all vectors have length {sizes[0]['dim']}; others have no hits", stacklevel=2)
+    return sizes[0]["dim"] if sizes else None
 
 
 def knn_join(
@@ -157,27 +169,33 @@ def knn_join(
     k: int | str,
     topic_col: str | None = None,
     centroids: DataFrame | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest papers of every question: qid, arxiv_id, distance, rk, similarity.
 
     ``questions`` needs ``qid`` and ``vector``, ``papers`` needs ``arxiv_id`` and
     ``embedding``. ``k`` is a number or the column of ``questions`` that holds it. With ``topic_col`` (present in both) a question sees only the
-    papers of its topic; where it is null, all papers.
+    papers of its topic; where it is null, all papers. ``dim`` is the length of
+    the vectors (default: the commonest of the questions'); a question of another
+    length has no hits. Questions are ranked each for itself, also where a
+    ``qid`` repeats.
 
     Where the question vectors are proven to be few they go to the paper scan,
     and papers are neither shuffled nor paired one by one: a task emits at most
     ``k`` rows per question. Otherwise questions are routed to the cells of
     papers that can hold one of their neighbours; see ``ann.exact_join``. Both
-    ways give the same, exact rows.
+    ways give the same, exact rows, as both take vectors in double precision.
+    The questions are materialised once.
     """
-    asked = asked_of(questions, k, topic_col)
+    named = cut(asked_of(questions, k, topic_col).withColumn("_key", F.monotonically_increasing_id()))
+    asked = named.withColumn("qid", F.col("_key")).drop("_key")
     known = papers.select(
         "arxiv_id",
         "embedding",
         with_topic_column(papers, topic_col).alias("topic"),
         *(c for c in ("cell",) if c in papers.columns),
     ).where(F.col("embedding").isNotNull())
-    dim = vector_dim(asked, "vector")
+    dim = dim or vector_dim(asked, "vector")
     if dim is None:
         nothing = papers.sparkSession.createDataFrame([], pair_schema(questions, papers))
         return rank_hits(nothing, 1)
@@ -186,10 +204,17 @@ def knn_join(
     ).first()
     if size["rows"] * 8 * dim <= QUESTION_BYTES and size["hits"] <= TASK_HITS:
         pairs = _scan_join(asked, known.select("arxiv_id", "embedding", "topic"), dim)
-        return rank_hits(pairs, size["most"])
-    from .ann import exact_join
-
-    return exact_join(asked, known, dim, centroids)
+        ranked = rank_hits(pairs, size["most"])
+    else:
+        from .ann import exact_join
+
+        ranked = exact_join(asked, known, dim, centroids)
+    names = named.select("_key", F.col("qid").alias("_qid"))
+    if size["rows"] <= HIT_ROWS:
+        names = F.broadcast(names)
+    return ranked.join(names, F.col("qid") == F.col("_key")).select(
+        F.col("_qid").alias("qid"), *(c for c in ranked.columns if c != "qid")
+    )
 
 
 def with_text(hits: DataFrame, papers: DataFrame, hit_rows: int = HIT_ROWS) -> DataFrame:

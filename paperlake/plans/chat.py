@@ -41,9 +41,13 @@ def chat(
 
     The models see only requests that can be answered: the embedder those with a
     query, the chat model those with hits. Both results are materialised, so
-    neither model is called twice for a row.
+    neither model is called twice for a row. Each request is answered for itself,
+    also where two have one id.
     """
-    asked = normalize_requests(requests, "chat").withColumnRenamed("request_id", "qid")
+    named = cut(
+        normalize_requests(requests, "chat").withColumn("_qid", F.monotonically_increasing_id())
+    )
+    asked = named.withColumn("qid", F.col("_qid")).drop("request_id", "_qid")
     valid, empty = validate_requests(asked)
     resolved = resolve_topics(valid, topics, on_unknown)
     vectors = cut(embed(resolved, "query", load_embedder, dim, out="vector"))
@@ -53,4 +57,7 @@ def chat(
     rows = vectors.select("qid", "query", F.col("embed_error").alias("error")).unionByName(
         empty.select("qid", F.lit("").alias("query"), F.lit(None).cast("string").alias("error"))
     )
-    return chat_responses(rows, answered)
+    answers = chat_responses(rows, answered)
+    return answers.join(named.select("_qid", "request_id"), F.col("qid") == F.col("_qid")).select(
+        F.col("request_id").alias("qid"), *(c for c in answers.columns if c != "qid")
+    )

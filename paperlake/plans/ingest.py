@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import embed_text
 from ..operators.embed import Embedder, embed
 from ..operators.ingest import (
+    ARRIVAL,
     dedupe_batch,
     ingest_summary,
     limit_per_request,
@@ -76,12 +77,14 @@ def ingest(
     )
 
     stored = load_table(spark, papers_table, PAPERS)
-    fresh = cut(new_papers(dedupe_batch(sound), stored))
+    # two requests may name one feed; the lesser id then has the paper
+    order = (*ARRIVAL, "request_id")
+    fresh = cut(new_papers(dedupe_batch(sound, order=order), stored))
     with_text = fresh.withColumn("_text", embed_text(F.col("title"), F.col("abstract")))
     embedded = cut(embed(with_text, "_text", load_embedder, dim).drop("_text"))
     made, unmade = quarantine(embedded, vector_rules(dim=dim))
     keyed = assign_ids(
-        lookup(made, topics, "topic_name"), greatest_id(stored), ["feed", "position"]
+        lookup(made, topics, "topic_name"), greatest_id(stored), list(order)
     )
     written = cut(keyed)
     append_papers(written, papers_table)
