@@ -107,16 +107,16 @@ def _read(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _ranks(read: DataFrame) -> np.ndarray:
-    """For each bucket 0, or how many times (as a power of 2) it is above four times the mean."""
+    """The place of each bucket among all, by its count, in 256 classes: common shingles come last."""
     counts = np.zeros(BUCKETS)
     found = read.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts[found["bucket"].to_numpy(int)] = found["n"].to_numpy()
-    mean = max(1.0, counts.mean())
-    return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / (4 * mean))) + 1).astype(np.uint8)
+    edges = np.quantile(counts, np.linspace(0, 1, 257)[1:-1])
+    return np.searchsorted(edges, counts, side="left").astype(np.uint8)
 
 
 def _representatives(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
-    """id, doc_id (the least), signature, size and first shingles of each distinct set."""
+    """id, signature, size and first shingles of each distinct set; doc_id and text_hash of its first row."""
 
     def run(batches):
         for batch in batches:
@@ -132,26 +132,34 @@ def _representatives(docs: DataFrame, ranks: np.ndarray, words: int, percent: in
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(first))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, count), pa.array(s1), pa.array(s2), pa.array(n.astype(np.int64)), lists],
-                    ["doc_id", "s1", "s2", "n", "first"],
-                ).filter(pa.array(n > 0))
+                    [ids.slice(start, count), batch.column("text_hash").slice(start, count),
+                     pa.array(s1), pa.array(s2), pa.array(n.astype(np.int64)), lists],
+                    ["doc_id", "text_hash", "s1", "s2", "n", "first"],
+                ).filter(pa.array(n > 0))
 
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    rows = narrow.mapInArrow(run, f"doc_id {kind}, s1 long, s2 long, n long, first array<long>")
+    rows = narrow.mapInArrow(run, f"doc_id {kind}, text_hash long, s1 long, s2 long, n long, first array<long>")
     one = rows.groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first")
+        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("first").alias("first")
     )
-    return stored(one.withColumn("id", F.monotonically_increasing_id()), "representatives")
+    named = one.select("row.doc_id", "row.text_hash", "s1", "s2", "n", "first", F.monotonically_increasing_id().alias("id"))
+    return stored(named, "representatives")
+
 
+def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
+    """id and whole set of each representative in ``wanted``, from its text.
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id and whole set of each representative in ``wanted`` (id, doc_id, s1, s2), from its text."""
-    wanted = wanted.select(F.col("doc_id").alias("of_id"), "id", F.col("s1").alias("of_s1"), F.col("s2").alias("of_s2"))
+    ``repeats`` says that equal rows occur, of which one is then taken.
+    """
+    wanted = wanted.select(
+        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "id",
+        F.col("s1").alias("of_s1"), F.col("s2").alias("of_s2"),
+    )
     if fits(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("of_id"))
+        wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
     )
 
     def run(batches):
@@ -164,7 +172,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(start, count), lists], ["id", "tokens"]).filter(pa.array(same))
 
-    return rows.select("id", "of_s1", "of_s2", "text").mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])
+    made = rows.select("id", "of_s1", "of_s2", "text").mapInArrow(run, "id long, tokens array<long>")
+    return made.dropDuplicates(["id"]) if repeats else made
 
 
 def _linked(sizes_a, sizes_b, shared, percent: int):
@@ -239,7 +248,7 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple[DataFra
     homes = shared.groupBy("id").agg(F.max(F.struct("sharing", "token")).alias("home"))
     grouped = stored(
         homes.join(representatives.drop("first"), "id").select(
-            "id", "n", "doc_id", "s1", "s2",
+            "id", "n", "doc_id", "text_hash", "s1", "s2",
             F.xxhash64(
                 "home.token",
                 F.floor(F.log("n") * BANDS),
@@ -285,7 +294,9 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple[DataFra
         .select(F.col("id").alias("member"), F.col("group").alias("in_group"), F.col("part").alias("in_part"))
     )
     wanted = placing.select(F.col("member").alias("id")).unionByName(opened.select(F.col("query").alias("id"))).distinct()
-    sets = stored(_whole_sets(docs, grouped.join(wanted, "id", "left_semi"), words), "sets")
+    known = read.where(F.col("bucket").isNull()).groupBy("doc_id", "s1", "s2").agg(F.count("*").alias("rows"))
+    repeats = not known.where("rows > 1").isEmpty()
+    sets = stored(_whole_sets(docs, grouped.join(wanted, "id", "left_semi"), words, repeats), "sets")
     members = placing.join(sets, F.col("member") == F.col("id")).select(
         "member", "in_group", "in_part", F.col("tokens").alias("own")
     )
