@@ -43,12 +43,33 @@ def label_means(spark, folder):
     )
 
 
-@query()
+@query("""
+SELECT count(*) AS papers, true AS at_most_20, true AS in_nearest, true AS tighter_than_one
+FROM documents JOIN embeddings ON doc_id = vec_id""")
 def trained_cells(spark, folder):
-    """K-means cells and how many vectors each holds; rows only, as it is iterative."""
-    known = papers(spark, folder).where(F.col("embedding").isNotNull())
-    centroids = ann.train_cells(known, 20)
-    return ann.assign_cells(known, centroids).groupBy("cell").agg(F.count("*").alias("papers"))
+    """What is certain of k-means cells: each paper is in one, its nearest; they beat one cell for all."""
+    known = cut(papers(spark, folder).where(F.col("embedding").isNotNull()))
+    centroids = cut(ann.train_cells(known, 20))
+    placed = ann.assign_cells(known, centroids).select("arxiv_id", "embedding", "cell", "angle")
+    away = F.aggregate(
+        F.zip_with("embedding", "centroid", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x
+    ) / F.sqrt(
+        F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x)
+        * F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    )
+    named = F.broadcast(centroids.withColumnRenamed("cell", "other"))  # twenty rows
+    best = placed.join(named).groupBy("arxiv_id", "cell", "angle").agg(F.max(away).alias("most"))
+    numbers = known.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    middle = numbers.agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("numbers")).select(
+        F.lit(0).alias("cell"), F.col("numbers.x").alias("centroid")
+    )
+    whole = ann.assign_cells(known, middle).agg(F.avg(1 - F.cos("angle")).alias("one"))
+    return best.agg(
+        F.count("*").alias("papers"),
+        (F.count_distinct("cell") <= 20).alias("at_most_20"),
+        (F.max(F.col("most") - F.cos("angle")) <= 1e-6).alias("in_nearest"),
+        F.avg(1 - F.cos("angle")).alias("mean"),
+    ).join(whole).select("papers", "at_most_20", "in_nearest", (F.col("mean") < F.col("one")).alias("tighter_than_one"))
 
 
 @query("WITH " + HITS_SQL + ", " + CELLS_SQL + """

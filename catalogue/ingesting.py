@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from paperlake.operators import ingest as ing
@@ -9,7 +11,7 @@ from paperlake.operators.embed import embed, embed_only
 from paperlake.operators.keys import assign_ids, greatest_id
 from paperlake.plans import ingest
 from paperlake.session import cut, fresh_folder
-from paperlake.sources import append_papers, load_table, papers_from_feed, read_feed
+from paperlake.sources import append_papers, ensure_tables, load_table, papers_from_feed, read_feed
 from paperlake.schema import PAPERS
 
 from .base import DIM, hash_embed_sql, papers, query, table 
@@ -29,6 +31,13 @@ def atom_entries(spark, folder):
     )
 
 
+def broken_entries(spark, folder):
+    """The same, every tenth with a date that can't be read."""
+    entries = atom_entries(spark, folder)
+    third = F.col("id").rlike("3v1$")
+    return entries.withColumn("published", F.when(third, F.lit("soon")).otherwise(F.col("published")))
+
+
 ENTRIES_SQL = """entries AS (
   SELECT doc_id, doc_id || 'v1' AS arxiv_id, CAST(doc_id AS VARCHAR) AS base_id,
          'On ' || source || '  and ' || doc_id AS title, source || '; ' || lang AS authors,
@@ -261,3 +270,65 @@ def ingested_papers(spark, folder):
         "categories",
         F.round(weight, 4).alias("weight"),
     )
+
+
+def _with_failures(spark, folder):
+    """The whole job over feeds with bad dates and a model that fails on some texts."""
+    feed, stored, names = (fresh_folder(spark, x) for x in ("feed", "papers", "topics"))
+    write_feed(broken_entries(spark, folder).repartition(4), feed)
+    entries = read_feed(spark, feed)
+    asked = entries.select("feed").distinct().select(
+        F.lit("all").alias("request_id"),
+        F.lit("documents").alias("query"),
+        F.lit(2**31 - 1).alias("max_results"),
+        F.lit(None).cast("string").alias("topic_name"),
+        "feed",
+    )
+    return ingest(asked, entries, stored, names, lambda: failing_hash_model(DIM), DIM)
+
+
+FAILURES_SQL = f"""outcomes AS (
+  SELECT arxiv_id, CASE WHEN doc_id % 10 = 3 THEN 'bad date'
+                        WHEN contains(title || chr(10) || chr(10) || abstract, '{FAILING_MARK}')
+                        THEN 'cannot embed this text' END AS reason
+  FROM entries)"""
+
+
+@query(f"""
+WITH {ENTRIES_SQL}, {FAILURES_SQL},
+counted AS (SELECT reason || '=' || count(*) AS failure FROM outcomes WHERE reason IS NOT NULL GROUP BY reason)
+SELECT 'all' AS request_id, 200 AS status, count(*) AS fetched, count(*) FILTER (reason IS NULL) AS processed,
+       count(*) FILTER (reason IS NOT NULL) AS failed,
+       (SELECT string_agg(failure, ', ' ORDER BY failure) FROM counted) AS failures
+FROM outcomes""")
+def ingest_responses(spark, folder):
+    """The account of the ingest job, with the model's own words for what it could not embed."""
+    listed = F.transform("failures", lambda f: F.concat_ws("=", f["reason"], f["n"]))
+    return _with_failures(spark, folder).responses.select(
+        "request_id", "status", F.col("total_papers_fetched").alias("fetched"),
+        F.col("processed_count").alias("processed"), "failed", F.array_join(listed, ", ").alias("failures"),
+    )
+
+
+@query(f"""
+WITH {ENTRIES_SQL}, {FAILURES_SQL}
+SELECT arxiv_id, CASE reason WHEN 'bad date' THEN reason ELSE 'missing vector' END AS reason,
+       CASE reason WHEN 'bad date' THEN NULL ELSE reason END AS embed_error
+FROM outcomes WHERE reason IS NOT NULL""")
+def ingest_rejects(spark, folder):
+    """The rows that the ingest job set aside."""
+    return _with_failures(spark, folder).rejected.select(
+        "arxiv_id", F.array_join("reasons", "; ").alias("reason"), "embed_error"
+    )
+
+
+@query("""SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS arxiv_id, source || ' no. ' || doc_id AS title FROM documents""")
+def ensured_tables(spark, folder):
+    """Catalog tables made in a database of their own, made again, appended to and read by name."""
+    database = f"lake_{uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    for _ in range(2):
+        stored, _ = ensure_tables(spark, database)
+    rows = papers(spark, folder).withColumn("published_date", F.lit(None).cast("date"))
+    append_papers(cut(rows), stored)
+    return load_table(spark, stored).select("id", "arxiv_id", "title")

@@ -47,6 +47,7 @@ def ingest(
     topics_table: str,
     load_embedder: Callable[[], Embedder],
     dim: int = EMBEDDING_DIM,
+    used: DataFrame | None = None,
 ) -> IngestResult:
     """Store the papers of saved feeds that are not stored yet.
 
@@ -55,6 +56,8 @@ def ingest(
     Topics are written before papers and papers are
     compared with the stored table, so a run repeated after a failure adds only
     what the first one left out. The model sees only rows that will be stored.
+    ``used`` (request_id, used) says how many entries of a request earlier runs
+    took; they count towards its ``max_results``.
     """
     spark = entries.sparkSession
     asked = cut(normalize_requests(requests, "ingest"))
@@ -62,6 +65,11 @@ def ingest(
         asked.withColumn("name", F.col("topic_name")), topic_rules()
     )
     wanted = named.select("request_id", "feed", "max_results", "topic_name")
+    if used is not None:
+        left = F.col("max_results") - F.coalesce("used", F.lit(0))
+        wanted = lookup(wanted, used, "request_id").select(
+            "request_id", "feed", F.greatest(left, F.lit(0)).cast("int").alias("max_results"), "topic_name"
+        )
     # positions are fixed here: reading the files again could number them anew
     most = wanted.agg(F.coalesce(F.max("max_results"), F.lit(0))).first()[0]
     offered = lookup(papers_from_feed(entries), wanted, "feed", "inner")
@@ -91,7 +99,7 @@ def ingest(
 
     reason = F.array_join("reasons", "; ")
     failed = broken.select(*_entry_key(), reason.alias("reason")).unionByName(
-        unmade.select(*_entry_key(), reason.alias("reason"))
+        unmade.select(*_entry_key(), F.coalesce("embed_error", reason).alias("reason"))
     )
     marks = failed.withColumn("outcome", F.lit("failed")).unionByName(
         written.select(*_entry_key())

@@ -15,7 +15,7 @@ def _is_path(target: str) -> bool:
 
 
 def load_table(
-    spark: SparkSession, target: str, schema: T.StructType | None = None
+    spark: SparkSession, target: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
     """A stored table. With a schema, a path that holds nothing yet is empty."""
     if not _is_path(target):

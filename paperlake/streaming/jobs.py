@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.answer import Completer
@@ -22,6 +23,8 @@ from ..sources.feeds import read_feed, with_position
 from ..sources.requests import name_requests, read_requests
 from ..sources.tables import load_table, write_responses
 
+USED = "request_id string, used long, batch int"
+
 
 def ingest_stream(
     spark: SparkSession,
@@ -33,15 +36,28 @@ def ingest_stream(
     load_embedder: Callable[[], Embedder],
     dim: int = EMBEDDING_DIM,
     files_per_batch: int | None = None,
+    account_path: str | None = None,
 ) -> StreamingQuery:
     """Ingest the feed files that are new under ``feed_path``, then stop.
 
     ``requests`` say which feeds belong to which topic, as in ``plans.ingest``.
+    Each micro-batch writes under ``account_path`` (default: beside the state)
+    its responses, the rows it set aside, and the entries it took of each
+    request, which count towards ``max_results`` in the batches after it. A
+    repeated micro-batch replaces what it wrote.
     """
+    account = (account_path or f"{state_path.rstrip('/')}-account").rstrip("/")
 
     def store(entries: DataFrame, batch_id: int) -> None:
         placed = with_position(entries)
-        ingest(requests, placed, papers_table, topics_table, load_embedder, dim)
+        before = load_table(spark, f"{account}/used", USED).where(F.col("batch") < batch_id)
+        used = before.groupBy("request_id").agg(F.sum("used").alias("used"))
+        result = ingest(requests, placed, papers_table, topics_table, load_embedder, dim, used)
+        responses = cut(result.responses)
+        write_responses(responses, f"{account}/responses/batch={batch_id}", mode="overwrite")
+        write_responses(result.rejected, f"{account}/rejected/batch={batch_id}", mode="overwrite")
+        took = responses.select("request_id", F.col("total_papers_fetched").cast("long").alias("used"))
+        took.write.mode("overwrite").parquet(f"{account}/used/batch={batch_id}")
 
     entries = read_feed(spark, feed_path, streaming=True, files_per_batch=files_per_batch)
     return (

@@ -5,12 +5,13 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalogue import QUERIES
 from compare import compare
 
 FOLDER = os.environ.get("COMPARE_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
     same, note = compare(spark, FOLDER, name)
     assert same, note

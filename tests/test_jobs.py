@@ -64,7 +64,7 @@ def test_ingest_twice(spark, feeds, tmp_path):
     first = by_request["r1"]
     assert (first["status"], first["message"]) == (200, "Successfully processed 2 papers")
     assert (first["total_papers_fetched"], first["skipped"], first["failed"]) == (5, 1, 2)
-    assert [tuple(f) for f in first["failures"]] == [("bad date", 1), ("missing vector", 1)]
+    assert [tuple(f) for f in first["failures"]] == [("bad date", 1), ("cannot embed this text", 1)]
     assert [p["arxiv_id"] for p in first["papers"]] == ["1", "2", "3", "1", "4"]
     second = by_request["r2"]
     assert (second["processed_count"], second["skipped"], second["total_papers_fetched"]) == (1, 1, 2)
@@ -239,3 +239,15 @@ def test_chat_stream(spark, library, tmp_path):
     assert first["x"]["sources"][0]["arxiv_id"] == "b"
     second = put("2.json", {"query": "stars", "topic": "Space", "top_k": 1}, {"request_id": "y"})
     assert len(second) == 3 and second["y"]["status"] == 400
+
+
+def test_stream_counts_entries_of_all_files(spark, feeds, tmp_path):
+    asked = feed_requests(spark, ("r1", "deep nets", 2, None, "a.xml"), ("r1", "deep nets", 2, None, "b.xml"))
+    for state in ("state", "lost"):
+        ingest_stream(
+            spark, feeds, asked, str(tmp_path / "p"), str(tmp_path / "t"), str(tmp_path / state),
+            lambda: hash_model(DIM), DIM, files_per_batch=1, account_path=str(tmp_path / "account"),
+        ).awaitTermination()
+        account = spark.read.json(str(tmp_path / "account" / "responses"))
+        assert account.where("request_id = 'r1'").agg({"total_papers_fetched": "sum"}).first()[0] == 2
+    assert load_table(spark, str(tmp_path / "p"), PAPERS).count() <= 2
