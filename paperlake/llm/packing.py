@@ -25,6 +25,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,9 @@ _BLANKS = re.compile(r"[ \t\r\n]+")
 _SIGNS = '.,;:!?|()"-'
 _PLAIN = re.compile(r"[^\W\d_]*[" + re.escape(_SIGNS) + "]+")
 #: Words and other runs whose ids a Python worker keeps at most, and the longest of them.
-WORDS_KEPT, SIGNED_KEPT, LONGEST = 250_000, 100_000, 40
+WORDS_KEPT, SIGNED_KEPT, LONGEST = 600_000, 150_000, 40
+#: Texts that a task turns into Python strings at a time.
+TEXTS = 256
 
 
 def _byte_signs() -> dict[int, str]:
@@ -128,17 +131,21 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
 
-    @F.pandas_udf("array<struct<length: int, crc: long>>")
-    def cut(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<struct<length: int, crc: long>>")
+    def cut(text: pa.Array) -> pa.Array:
         encode, step, end = encoder(tokenizer), 4 * capacity, np.array([END], "<u4").tobytes()
-        made = []
-        for t in text:
-            ids = (encode(t) if t else b"") + end
-            made.append([
-                {"length": min(step, len(ids) - at) // 4, "crc": crc32(ids[at : at + step])}
-                for at in range(0, len(ids), step)
-            ])
-        return pd.Series(made)
+        sizes, lengths, sums = [0], [], []
+        for first in range(0, len(text), TEXTS):
+            for t in text.slice(first, TEXTS).to_pylist():
+                ids = (encode(t) if t else b"") + end
+                for at in range(0, len(ids), step):
+                    lengths.append(min(step, len(ids) - at) // 4)
+                    sums.append(crc32(ids[at : at + step]))
+                sizes.append(len(lengths))
+        pieces = pa.StructArray.from_arrays(
+            [pa.array(lengths, pa.int32()), pa.array(sums, pa.int64())], ["length", "crc"]
+        )
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pieces)
 
     return (
         docs.select("doc_id", cut(F.col("text")).alias("cut"))
