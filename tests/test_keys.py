@@ -80,3 +80,19 @@ def test_summary(spark):
     assert tuple(got["a"])[1:5] == (4, 1, 1, 2)
     assert [tuple(f) for f in got["a"]["failures"]] == [("bad date", 2)]
     assert tuple(got["b"])[1:] == (1, 0, 1, 0, [])
+
+
+def test_limits_below_and_above_the_window_keep_the_same_rows(spark, monkeypatch):
+    from paperlake.operators import ingest as ing
+
+    rows = spark.createDataFrame(
+        [(g, i, 2) for i, g in enumerate(["r", None, "r", None, "s", None, "r"])],
+        "request_id string, position long, max_results int",
+    )
+    found = []
+    for limit in (1000, 0):
+        monkeypatch.setattr(ing, "WINDOW_ROWS", limit)
+        kept = ing.limit_per_request(rows, order=("position",))
+        assert dict(kept.dtypes)["place"] == "bigint"
+        found.append(sorted(map(str, kept.select("request_id", "position", "place").collect())))
+    assert found[0] == found[1] and len(found[0]) == 5

@@ -160,3 +160,31 @@ def test_plans(frames):
     assert "MapInArrow" in many and "WindowGroupLimit" in many
     for plan in (one, many):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _both_ways(spark, questions, papers, monkeypatch, **options):
+    """knn_join by the scan, and routed to cells."""
+    scan = sorted(map(tuple, sr.knn_join(questions, papers, 3, **options).collect()))
+    monkeypatch.setattr(sr, "QUESTION_BYTES", -1)
+    routed = sorted(map(tuple, sr.knn_join(questions, papers, 3, **options).collect()))
+    monkeypatch.undo()
+    return scan, routed
+
+
+def test_both_ways_agree_on_odd_vectors(spark, monkeypatch):
+    big = 2**53 + 1
+    papers = spark.createDataFrame(
+        [("a", [1e-50, 0.0], big), ("b", [1.0, 1e-7], big), ("c", [0.0, 1.0], big - 1), ("d", [1.0, 0.5], big)],
+        "arxiv_id string, embedding array<double>, topic_id long",
+    )
+    questions = spark.createDataFrame(
+        [("x", [1.0, 2.0, 3.0], None), ("q", [1.0, 0.0], None), ("q", [0.0, 1.0], None), ("t", [0.0, 1.0], big)],
+        "qid string, vector array<double>, topic_id long",
+    )
+    centroids = spark.createDataFrame([(0, [1.0, 0.1]), (1, [0.1, 1.0])], "cell int, centroid array<double>")
+    scan, routed = _both_ways(spark, questions, papers, monkeypatch, topic_col="topic_id", centroids=centroids)
+    assert scan == routed
+    assert [r[1] for r in sorted(scan, key=lambda r: r[3]) if r[0] == "t"] == ["d", "b", "a"]
+    assert sum(r[0] == "q" for r in scan) == 6 and not any(r[0] == "x" for r in scan)
+    assert {r[1] for r in scan if r[0] == "q" and r[3] == 1} == {"a", "c"}
+    assert all(r[1] != "c" for r in scan if r[0] == "t")
