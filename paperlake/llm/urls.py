@@ -71,7 +71,7 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     written out, as the next one reads it more than once.
     """
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = paths.withColumn("parts", parts).withColumn("template", F.lit(""))
+    rows = paths.withColumn("parts", parts).withColumn("template", F.substring("path", 1, 0))  # empty, yet no literal
     for level in range(depth):
         segment = F.get("parts", F.lit(level))
         rows = rows.withColumn("segment", segment)
