@@ -7,11 +7,13 @@ capacity checked greedily, cuts where the greedy fill of the least feasible one
 makes them.
 
 The driver never holds all groups. It starts from the byte sums of 4,096 ranges
-of the order, from which follow a lower and an upper bound of the capacity and,
-for each cut, the stretch it must lie in; only ranges in such a stretch are
-split further, by 256, until they are single groups. That is some ten thousand
-numbers a round, whatever the corpus, and the result is that of the search over
-all groups.
+of the order. Taking a range as divisible anywhere, and a single group as not,
+gives a capacity that is never above the least one, and places for its cuts.
+Only ranges in which such a cut lies, and the ones beside them, are split
+further, by 256, and the capacity is taken anew, until no cut lies inside a
+range: the cuts are then those of the search over all groups. That is at most
+three ranges a cut, some ten thousand numbers a round, whatever the corpus and
+however large a group.
 
 Cases: a null text has size 1 and CRC 0, and is a group of its own (it sorts
 first); repeated rows and ids each get a slot; fewer groups than shards leave
@@ -23,7 +25,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.llm.common import byte_length, stored
@@ -32,34 +34,36 @@ SHARDS = 16
 FIRST_DIGITS, MORE_DIGITS = 3, 2
 
 
-def greedy(ends: list[int], capacity: int, shards: int) -> list[int] | None:
-    """How many units each of the shards ends after, or None if they don't hold all."""
-    cuts, at = [], 0
+def greedy(ends: list[int], single: list[bool], capacity: int, shards: int) -> list[tuple[int, int]] | None:
+    """(place in bytes, unit it lies in) of each cut if only single groups are indivisible, or None if the shards don't hold all."""
+    cuts, place = [], 0
     for _ in range(shards):
-        at = bisect_right(ends, (ends[at - 1] if at else 0) + capacity)
-        cuts.append(at)
-        if at == len(ends):
+        place += capacity
+        if place >= ends[-1]:
             return cuts
+        at = bisect_right(ends, place)
+        if single[at]:
+            place = ends[at - 1] if at else 0
+        cuts.append((place, at))
     return None
 
 
-def least_capacity(sizes: list[int], shards: int, low: int) -> int:
+def least_capacity(ends: list[int], single: list[bool], shards: int, low: int) -> int:
     """The least capacity from ``low`` on with which the units fill at most ``shards`` shards."""
-    ends = list(accumulate(sizes))
     high = max(low, ends[-1])
     while low < high:
         middle = (low + high) // 2
-        if greedy(ends, middle, shards) is None:
+        if greedy(ends, single, middle, shards) is None:
             low = middle + 1
         else:
             high = middle
     return low
 
 
-def _units(groups: DataFrame, digits: int) -> list[tuple[str, int, bool, str]]:
-    """(first key, bytes, is a single group, digits) of each range of keys with equal first digits."""
+def _units(groups: DataFrame, prefix: Column) -> list[tuple[str, int, bool, str]]:
+    """(first key, bytes, is a single group, prefix) of each range of keys with an equal prefix."""
     found = (
-        groups.groupBy(F.substring("key", 1, digits).alias("prefix"))
+        groups.groupBy(prefix.alias("prefix"))
         .agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("size").alias("size"))
         .collect()
     )
@@ -68,33 +72,25 @@ def _units(groups: DataFrame, digits: int) -> list[tuple[str, int, bool, str]]:
 
 def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> list[str]:
     """The first key of each shard after the first; ``groups`` has key (hex text) and size."""
-    digits = FIRST_DIGITS
-    units = sorted(_units(groups, digits))
+    units = sorted(_units(groups, F.substring("key", 1, FIRST_DIGITS)))
     if not units:
         return []
     total = sum(unit[1] for unit in units)
     while True:
-        sizes = [unit[1] for unit in units]
-        ends = list(accumulate(sizes))
+        ends = list(accumulate(unit[1] for unit in units))
+        single = [unit[2] for unit in units]
         low = max(-(-total // shards), max((unit[1] for unit in units if unit[2]), default=1))
-        high = least_capacity(sizes, shards, low)
-        open_units: set[int] = set()
-        least, most = 0, 0
-        for _ in range(shards - 1):
-            at = bisect_right(ends, least + low)
-            least = ends[at - 1] if at else 0
-            most = min(total, most + high)
-            first, last = bisect_right(ends, least), bisect_right(ends, most)
-            open_units.update(i for i in range(first, min(last + 1, len(units))) if not units[i][2])
-        if not open_units:
-            cuts = greedy(ends, high, shards)
-            return [units[i][0] for i in cuts if i < len(units)]
-        part = F.lit(False)
-        for length in {len(units[i][3]) for i in open_units}:
-            prefixes = [units[i][3] for i in sorted(open_units) if len(units[i][3]) == length]
-            part = part | F.substring("key", 1, length).isin(prefixes)
-        digits += MORE_DIGITS
-        units = sorted([u for i, u in enumerate(units) if i not in open_units] + _units(groups.where(part), digits))
+        cuts = greedy(ends, single, least_capacity(ends, single, shards, low), shards)
+        inside = [at for place, at in cuts if place > (ends[at - 1] if at else 0)]
+        if not inside:
+            return [units[at][0] for _, at in cuts]
+        near = {i for at in inside for i in (at - 1, at, at + 1) if 0 <= i < len(units) and not single[i]}
+        part, prefix = F.lit(False), F.lit(None).cast("string")
+        for length in {len(units[i][3]) for i in near}:
+            within = F.substring("key", 1, length).isin([units[i][3] for i in near if len(units[i][3]) == length])
+            part = part | within
+            prefix = F.when(within, F.substring("key", 1, length + MORE_DIGITS)).otherwise(prefix)
+        units = sorted([u for i, u in enumerate(units) if i not in near] + _units(groups.where(part), prefix))
 
 
 def shard_of(key, cuts: list[str]):

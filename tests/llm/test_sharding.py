@@ -58,6 +58,35 @@ def test_one_group_with_a_third_of_all(spark):
     assert checked(rows, docs, 16) == optimum(docs, 16)
 
 
+@pytest.mark.parametrize("part", [3, 20])
+def test_few_rows_to_the_driver_with_a_large_group(spark, monkeypatch, part):
+    """``part``: the group's share of all bytes, as a divisor."""
+    n = 60_000
+    groups = spark.range(n).selectExpr(
+        "md5(cast(id AS string)) AS key", f"CASE WHEN id = 5 THEN {n * 100 // (part - 1)} ELSE 50 + id % 101 END AS size"
+    ).localCheckpoint()
+    taken, units = [], sharding._units
+    monkeypatch.setattr(sharding, "_units", lambda *of: [taken.append(len(found := units(*of))), found][1])
+    cuts = sharding.minimax_cuts(groups, 16)
+    assert max(taken) <= 12_000 and sum(taken) <= 16_000
+    rows = sorted(map(tuple, groups.collect()))
+
+    def filled(capacity):
+        starts, held = [], 0
+        for key, size in rows:
+            if held + size > capacity:
+                starts.append(key)
+                held = 0
+            held += size
+        return starts
+
+    low, high = max(size for _, size in rows), sum(size for _, size in rows)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if len(filled(middle)) < 16 else (middle + 1, high)
+    assert cuts == filled(low)
+
+
 def test_production_query(spark, small):
     docs = list(small.itertuples(index=False, name=None))
     rows = QUERIES["op9_sharding"](spark, SMALL).collect()
