@@ -6,7 +6,10 @@ alphabets; a window of 20 characters slides over it, and each step adds one
 character and takes one away, so the sum of c * log2(c) over the character
 counts, and the counts by character class, change by what these two contribute.
 Windows of few enough classes and high enough entropy are joined to spans;
-candidates on the allow-list and spans inside a pattern's span are left out.
+candidates on the allow-list and spans inside a pattern's span are left out. A
+span is a sample, and left out too, if each of its windows has a character of a
+sample word or of a repetition that begins the candidate; one window clear of
+them keeps the whole span.
 
 Cases: a null or empty text has no spans; places are in code points, ends
 exclusive; overlaps between kinds stay, except as said; repeated rows get equal
@@ -34,13 +37,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 # Candidates that are known not to be secrets: UUIDs, paths of
-# plain words, names of words or numbers joined by signs, repetitions, samples.
+# plain words, names of words or numbers joined by signs.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^/*([a-z]+|[0-9]+)([/_=-]+([a-z]+|[0-9]+))*[/_=-]*$",
-    r"^(.{1,4})\1{4,}",
-    r"(?i)(example|sample|dummy|placeholder|xxxx|abcdefgh|01234567|12345678)",
 )
+# Fixed value: parts of candidates that are known not to be secrets, a repetition at the beginning and samples.
+SAMPLE = r"^(.{1,4})\1{4,}|(?i:example|sample|dummy|placeholder|x{4,}|abcdefgh|012345678?|12345678)"
 
 
 def _matches(text: Column, pattern: str, may: Column) -> Column:
@@ -85,24 +88,33 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _masked(candidate: Column) -> Column:
+    """``candidate`` with a blank for each character of a sample."""
+    parts = _matches(candidate, SAMPLE, candidate.rlike(SAMPLE))
+    blank = lambda x: F.concat(x["p"], F.repeat(F.lit(" "), F.coalesce(F.length(x["m"]), F.lit(0))))
+    return F.coalesce(F.array_join(F.transform(parts, blank), ""), candidate)
+
+
 def _entropy_spans(candidate: Column) -> Column:
-    """array<struct<s, e>> of the windows of one candidate that count, joined where they touch."""
+    """array<struct<s, e>> of the windows of one candidate that count, joined where they touch, if one is clear of samples."""
     # What the count of a character going from n - 1 to n adds to the sum.
     grow = F.array(F.lit(0.0), *[
         F.lit((c * log2(c)) - ((c - 1) * log2(c - 1) if c > 1 else 0.0)) for c in range(1, WINDOW + 2)
     ])
-    described = lambda c: F.struct(
+    described = lambda c, shown: F.struct(
         c.alias("c"),
+        (shown == " ").alias("sample"),
         c.between("0", "9").cast("int").alias("digit"),
         (c.between("a", "z") | c.between("A", "Z")).cast("int").alias("letter"),
         (~(c.between("0", "9") | c.between("a", "f") | c.between("A", "F"))).cast("int").alias("other"),
     )
     start = F.struct(
         F.lit(0.0).alias("sum"), F.lit(0).alias("digits"), F.lit(0).alias("letters"), F.lit(0).alias("others"),
-        F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"),
+        F.lit(-1).alias("sample"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(False).alias("clear"),
+        F.array().cast("array<struct<s:int,e:int>>").alias("spans"),
     )
     gone = F.struct(
-        F.lit(None).cast("string").alias("c"), F.lit(0).alias("digit"), F.lit(0).alias("letter"), F.lit(0).alias("other")
+        F.lit(None).cast("string").alias("c"), F.lit(False).alias("sample"), F.lit(0).alias("digit"), F.lit(0).alias("letter"), F.lit(0).alias("other")
     )
 
     def moved(state: Column, m: Column, i: Column) -> Column:
@@ -114,6 +126,7 @@ def _entropy_spans(candidate: Column) -> Column:
         return F.struct(
             (state["sum"] - grow[n_out] + grow[n_in]).alias("sum"),
             count("digits", "digit"), count("letters", "letter"), count("others", "other"),
+            F.when(m["now"]["sample"], i).otherwise(state["sample"]).alias("sample"),
         )
 
     def judged(state: Column, now: Column, i: Column) -> Column:
@@ -124,6 +137,7 @@ def _entropy_spans(candidate: Column) -> Column:
         )
         return F.struct(
             counts.alias("counts"), (i - (WINDOW - 1)).alias("first"),
+            (counts & (now["sample"] < i - (WINDOW - 1))).alias("clear"),
             ((state["e"] >= 0) & (i - (WINDOW - 1) <= state["e"])).alias("joins"),
         )
 
@@ -132,10 +146,11 @@ def _entropy_spans(candidate: Column) -> Column:
         closed = F.array(F.struct(state["s"].alias("s"), state["e"].alias("e")))
         return F.struct(
             now["sum"].alias("sum"), now["digits"].alias("digits"),
-            now["letters"].alias("letters"), now["others"].alias("others"),
+            now["letters"].alias("letters"), now["others"].alias("others"), now["sample"].alias("sample"),
             F.when(begins, j["first"]).otherwise(state["s"]).alias("s"),
             F.when(j["counts"], i + 1).otherwise(state["e"]).alias("e"),
-            F.when(begins & (state["e"] >= 0), F.concat(state["spans"], closed)).otherwise(state["spans"]).alias("spans"),
+            F.when(begins, j["clear"]).otherwise(state["clear"] | j["clear"]).alias("clear"),
+            F.when(begins & state["clear"], F.concat(state["spans"], closed)).otherwise(state["spans"]).alias("spans"),
         )
 
     def advance(chars: Column, state: Column, i: Column) -> Column:
@@ -151,10 +166,10 @@ def _entropy_spans(candidate: Column) -> Column:
 
     def finish(state: Column) -> Column:
         last = F.array(F.struct(state["s"].alias("s"), state["e"].alias("e")))
-        return F.when(state["e"] >= 0, F.concat(state["spans"], last)).otherwise(state["spans"])
+        return F.when(state["clear"], F.concat(state["spans"], last)).otherwise(state["spans"])
 
     return _let(
-        F.transform(F.split(candidate, ""), described),
+        F.zip_with(F.split(candidate, ""), F.split(_masked(candidate), ""), described),
         lambda chars: F.aggregate(
             F.sequence(F.lit(0), F.size(chars) - 1), start, lambda state, i: advance(chars, state, i), finish
         ),

@@ -82,6 +82,26 @@ def test_against_brute_force(spark):
     assert any("entropy" in r.spans for r in rows)
 
 
+def test_secrets_beside_samples(spark):
+    """Samples and repetitions in a run hide nothing but themselves."""
+    draw = random.Random(7)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(draw.choice(alphabet[:52]) + draw.choice(alphabet[52:]) for _ in range(n // 2))
+    before = ["example_conn=", "-----", "=====", "path/sample/", "xxXX", "ab" * 9 + "=", "dummy/abcdefgh-012345678_"]
+    planted = [(start, key(40), end) for start in before for end in ("", "/Placeholder", "=12345678")]
+    planted += [("", key(200) + "xxxx" + key(200), ""), ("sample" * 500, key(30), "")]
+    docs = [(i, f"see {a}{k}{b} there") for i, (a, k, b) in enumerate(planted)]
+    rows = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+    for row, (a, k, _) in zip(rows, planted):
+        places = [tuple(map(int, span.split(":")[1:])) for span in row.spans.split(",") if span.startswith("entropy")]
+        assert any(s <= 4 + len(a) and 4 + len(a) + len(k) <= e for s, e in places), (a, k, row.spans)
+    clean = secrets.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert not any(k in row.text for row, (_, k, _) in zip(sorted(clean), planted))
+    samples = ["a1B2c3D4e5EXAMPLEf6G7h8", "01234567-k9J8h7G6f5D4", "Dummy/0a9b8c7d6e5f4g3H", "----------a1b2c3d4e5f6g7H8", "x1" * 9 + "q8W7e6R5t4Y3"]
+    df = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string")
+    assert [row.spans for row in secrets.scan(df).collect()] == [""] * len(samples)
+
+
 def test_many_matches_in_one_text(spark):
     text = " ".join(f"token={i:06d}abc" for i in range(2000))
     row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
