@@ -10,8 +10,8 @@ reaches one half.
 
 Cases: a null address, or one without ``://``, has empty host and path, fits no
 rule, and is judged by the whole table's share; repeated rows count each; empty
-segments are skipped; segments beyond ``DEPTH`` are one wildcard; without
-labelled addresses everything is allowed.
+segments are skipped; paths of any depth are judged to their last segment;
+without labelled addresses everything is allowed.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm.common import stored
+from paperlake.session import fresh_folder
 
+#: Levels that are judged one by one in any case. From then on, where fewer than
+#: ``VALUES`` paths are left no segment can be variable, and they end as they are.
 DEPTH = 4
 #: A segment is variable if it has so many values at least, none above this share.
 VALUES, TOP_SHARE = 8, 0.5
@@ -63,43 +66,57 @@ def _variable(values: Column, top: Column, total: Column) -> Column:
     return (values >= VALUES) & (top <= TOP_SHARE * total)
 
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path, n, ...) with its template, level by level down the tree of each host.
 
     A level groups by host and the template so far, so a host with a third of
     all addresses is counted in every task before its counts meet. A level is
-    written out, as the next one reads it more than once.
+    written out, as the next one reads it more than once; it has only the paths
+    that have a further segment. The others go to one folder.
     """
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = paths.withColumn("parts", parts).withColumn("template", F.substring("path", 1, 0))  # empty, yet no literal
-    for level in range(depth):
-        segment = F.get("parts", F.lit(level))
-        rows = rows.withColumn("segment", segment)
-        by_value = rows.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(
-            F.sum("n").alias("times")
+    rows = paths.withColumn("template", F.substring("path", 1, 0)).withColumn("parts", parts)  # empty, yet no literal
+    ended, names = fresh_folder(paths.sparkSession, "templates"), [*paths.columns, "template"]
+    rows.where(F.size("parts") == 0).select(names).write.parquet(ended)
+    rows, level = rows.where(F.size("parts") > 0), 0
+    while not rows.isEmpty():
+        rows = rows.withColumn("segment", F.get("parts", F.lit(level)))
+        by_value = rows.groupBy("host", "template", "segment").agg(
+            F.sum("n").alias("times"), F.count("*").alias("paths")
         )
         nodes = by_value.groupBy("host", "template").agg(
             F.count("*").alias("values"), F.max("times").alias("top"), F.sum("times").alias("all")
         )
-        wide = by_value.groupBy("template", "segment").agg(F.sum("times").alias("times"))
+        wide = by_value.groupBy("template", "segment").agg(
+            F.sum("times").alias("times"), F.sum("paths").alias("paths")
+        )
         wide = wide.groupBy(F.col("template").alias("wide_template")).agg(
-            _variable(F.count("*"), F.max("times"), F.sum("times")).alias("wide_variable")
+            _variable(F.count("*"), F.max("times"), F.sum("times")).alias("wide_variable"),
+            (F.sum("paths") < VALUES).alias("few"),
         )
         # A host with too few addresses at a node is judged as all hosts there.
         nodes = nodes.join(wide, F.col("template") == F.col("wide_template")).select(
             F.col("host").alias("node_host"), F.col("template").alias("node_template"),
             F.when(F.col("all") < VALUES, F.col("wide_variable"))
             .otherwise(_variable(F.col("values"), F.col("top"), F.col("all"))).alias("variable"),
+            (F.col("few") if level >= DEPTH else F.lit(False)).alias("few"),
         )
         rows = rows.join(
-            nodes, (F.col("host") == F.col("node_host")) & (F.col("template") == F.col("node_template")), "left"
+            nodes, (F.col("host") == F.col("node_host")) & (F.col("template") == F.col("node_template"))
         ).drop("node_host", "node_template")
-        step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
-            F.concat(F.lit("/"), F.when(F.col("variable"), F.lit("*")).otherwise(F.col("segment")))
-        )
-        rows = stored(rows.withColumn("template", F.concat("template", step)).drop("segment", "variable"), "tree")
-    rest = F.when(F.size("parts") > depth, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("template", rest)).drop("parts")
+        rest = F.array_join(F.slice("parts", level + 1, F.size("parts")), "/")
+        step = F.when(F.col("few"), rest).otherwise(F.when(F.col("variable"), F.lit("*")).otherwise(F.col("segment")))
+        level += 1
+        rows = stored(
+            rows.select(
+                *paths.columns, F.concat("template", F.lit("/"), step).alias("template"), "parts",
+                (F.col("few") | (F.size("parts") == level)).alias("ends"),
+            ),
+            "tree",
+        )
+        rows.where("ends").select(names).write.mode("append").parquet(ended)
+        rows = rows.where("NOT ends").drop("ends")
+    return paths.sparkSession.read.schema(rows.select(names).schema).parquet(ended)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

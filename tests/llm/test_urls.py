@@ -95,6 +95,29 @@ def test_against_brute_force(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_segments_far_down_decide(spark):
+    pages = [(i, f"http://example.org/en/{100 + i}/a/b/c/print") for i in range(30)]
+    pages += [(100 + i, f"http://example.org/en/{200 + i}/a/b/c/view") for i in range(30)]
+    pages += [(200, "http://d.net/en/150/a/b/c/print"), (201, "http://d.net/en/150/a/b/c/view")]
+    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string")).where("page_id >= 200")
+    assert {r.page_id: (r.rule, r.verdict) for r in found.collect()} == {200: (None, "block"), 201: (None, "allow")}
+
+
+def test_deep_paths_against_brute_force(spark, monkeypatch):
+    draw = random.Random(8)
+    hosts = ["example.org", "a.example.org", "b.com", "c.b.com", "d.net", "x.d.net"]
+    pages = []
+    for i in range(600):
+        segments = [draw.choice(["en", "es", "fr", "de"]), str(draw.randint(90, 250))]
+        segments += [draw.choice(["a", "a", "b", str(draw.randint(0, 30))]) for _ in range(draw.randint(0, 9))]
+        pages.append((i, f"http://{draw.choice(hosts)}/{'/'.join(segments)}/{draw.choice(['print', 'view', ''])}"))
+    pages += [(1000 + i, f"http://b.com/fr/{'x/' * 60}{i}") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    found = rows(urls.judge(df.repartition(3)))
+    monkeypatch.setattr(urls, "DEPTH", 70)  # beyond all of these
+    assert found == brute(pages)
+
+
 def test_no_python_on_the_way(spark):
     plan = QUERIES["op6_url_filter"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
