@@ -87,11 +87,15 @@ def windows(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, gram: in
         marks = _once(chosen, _grams(F.col("item"), size).alias("item_grams"))
         marks = marks.select("item_id", "item", "item_grams", F.explode(_kept(F.col("item_grams"), reach)).alias("mark"))
         marks = marks.withColumn("item_places", _places(F.col("item_grams"), F.col("mark"))).drop("item_grams")
-        if fits(marks, BROADCAST_ROWS):
-            marks = F.broadcast(marks)
         grams = _once(read, _grams(F.col("words"), size).alias("grams"))
-        hits = grams.select("key", "words", "grams", F.explode(_kept(F.col("grams"), reach)).alias("hit"))
-        hits = hits.join(marks, F.col("hit") == F.col("mark"))
+        kept = F.explode(_kept(F.col("grams"), reach)).alias("hit")
+        if fits(marks, BROADCAST_ROWS):
+            hits = grams.select("key", "words", "grams", kept).join(F.broadcast(marks), F.col("hit") == F.col("mark"))
+        else:
+            # Only keys and hashes meet the marks; a text's words move once, however many it has.
+            met = grams.select(F.col("key").alias("met_key"), kept).distinct().join(marks, F.col("hit") == F.col("mark"))
+            grams = _once(read.dropDuplicates(["key"]), _grams(F.col("words"), size).alias("grams"))
+            hits = grams.join(met, F.col("key") == F.col("met_key")).drop("met_key")
         # Every place of the hash in the text with every place in the item, and
         # from there back to each window that would hold both.
         hits = hits.withColumn("place", F.explode(_places(F.col("grams"), F.col("hit"))))

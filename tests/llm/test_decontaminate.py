@@ -72,6 +72,19 @@ def test_shuffled_marks_give_the_same(spark, small, monkeypatch):
     assert rows(QUERIES["op5_benchmark_decontamination"](spark, SMALL)) == wanted
 
 
+def test_words_do_not_move_with_each_hash(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    docs = [(1, " ".join(f"w{i}" for i in range(3000))), (2, "x y"), (3, " ".join(f"w{i}" for i in range(3000)))]
+    items = [(1, " ".join(f"w{i}" for i in range(100, 160))), (2, "x y")]
+    found = decontaminate.measure(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any("hit#" in row and "words#" in row for row in moved)
+    assert rows(found) == brute(docs, items)
+
+
 def test_odd_documents(spark, odd_docs):
     items = spark.createDataFrame(
         [(1, "three FOUR"), (2, None), (3, ""), (None, "mot mot"), (1, "three FOUR")], "item_id long, text string"
