@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.llm import (
     decontaminate,
+    infill,
     jaccard,
     language,
     nearest,
@@ -28,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": oracles.DECONTAMINATION,
     "op8_ngram_jaccard_join": oracles.JACCARD,
     "op10_exact_top_k": oracles.TOP_K,
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
 
 
@@ -91,3 +93,8 @@ def op9_sharding(spark, sf_dir):
 @query
 def op10_exact_top_k(spark, sf_dir):
     return nearest.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    return infill.measure(table(spark, sf_dir, "documents"))
