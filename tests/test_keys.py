@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from paperlake.operators import ingest as ing
 from paperlake.operators.keys import assign_ids, place_in_group
-from paperlake.operators.lookups import lookup
+from paperlake.operators.lookups import hot_keys, lookup, salted
 from paperlake.operators.topics import topic_catalogue, upsert_topics
 
 
@@ -39,6 +40,35 @@ def test_lookup_is_the_same_broadcast_or_salted(spark, most, how):
     assert got.columns == want.columns
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
+def test_hot_keys_are_dealt_over_tasks(spark, how):
+    """A third of the rows has one key, a tenth none; no task gets more than the bound."""
+    rows = spark.range(6000).selectExpr(
+        "if(id % 3 = 0, 'hot', if(id % 10 = 1, null, concat('k', id % 700))) AS k", "id AS n"
+    )
+    table = spark.range(500).selectExpr("if(id = 0, 'hot', concat('k', id)) AS k", "id * 10 AS v")
+    got = salted(rows, table, "k", how, hot_rows=100)
+    want = rows.join(table, "k", how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.columns == want.columns
+    assert hot_keys(rows, "k", 100) == [("hot", 20)]
+
+
+def test_rows_of_a_hot_key_reach_many_tasks(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id AS n")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted(rows, spark.range(100).selectExpr("id AS k", "id AS v"), "k", hot_rows=50)
+        most = joined.where("k = 7").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_topics_are_made_once(spark):
     stored = spark.createDataFrame([(4, "B", "old")], "id long, name string, description string")
     names = spark.createDataFrame([("C",), ("A",), ("B",), ("A",), (None,)], "name string")
