@@ -18,6 +18,7 @@ from paperlake.llm import (
     quality,
     secrets,
     sharding,
+    spelling,
     suffixes,
     urls,
 )
@@ -98,3 +99,8 @@ def op10_exact_top_k(spark, sf_dir):
 @query
 def op11_fill_in_middle(spark, sf_dir):
     return infill.measure(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.measure(table(spark, sf_dir, "documents"))
