@@ -12,6 +12,7 @@ from paperlake.llm import (
     infill,
     jaccard,
     language,
+    multiindex,
     nearest,
     oracles,
     packing,
@@ -104,3 +105,8 @@ def op11_fill_in_middle(spark, sf_dir):
 @query
 def op13_spelling_variants(spark, sf_dir):
     return spelling.measure(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_approximate_nearest(spark, sf_dir):
+    return multiindex.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
