@@ -2,18 +2,22 @@
 
 Only built-in expressions. Places of matches come from what ``split`` leaves
 between them. A candidate is a run of 20 or more characters of the base-64
-alphabets; a window of 20 characters slides over it, and each step adds one
-character and takes one away, so the sum of c * log2(c) over the character
-counts, and the counts by character class, change by what these two contribute.
-Windows of few enough classes and high enough entropy are joined to spans;
-candidates on the allow-list and spans inside a pattern's span are left out. A
+alphabets; a window of 20 characters slides over it. The counts of its characters
+are kept as five-bit counters packed into seven numbers: each step takes one from
+a counter and adds one to another, and the sum of c * log2(c), and the counts by
+character class, change by what these two contribute. The entropy a window needs
+depends on its class: hexadecimal digits, letters with digits, or letters of both
+cases without them. Windows that have it are joined to spans; candidates on the
+allow-list and spans inside a pattern's span are left out. A
 span is a sample, and left out too, if each of its windows has a character of a
 sample word or of a repetition that begins the candidate; one window clear of
 them keeps the whole span.
 
 Cases: a null or empty text has no spans; places are in code points, ends
 exclusive; overlaps between kinds stay, except as said; repeated rows get equal
-results; candidates without two digits and two letters in a window have none.
+results; windows without two digits and two letters count only if they hold six
+letters of either case; runs of any length are scanned whole; other columns keep
+their names and values; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,22 +30,25 @@ from pyspark.sql import functions as F
 from paperlake.llm.common import set_aside
 
 WINDOW = 20
-#: Least entropy, in bits a character, of a window of hexadecimal digits and of any other.
-HEX_BITS, MIXED_BITS = 3.0, 3.6
+#: Least entropy, in bits a character, of a window of hexadecimal digits, of letters and digits, and of letters.
+HEX_BITS, MIXED_BITS, LETTER_BITS = 3.0, 3.6, 3.9
+#: Letters of each case that a window without two digits must have.
+EACH_CASE = 6
 KINDS = ("assign", "access", "hex", "entropy")
 
 # The patterns, and what a text must contain for the first.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-# Candidates that are known not to be secrets: UUIDs, paths of
-# plain words, names of words or numbers joined by signs.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/*([a-z]+|[0-9]+)([/_=-]+([a-z]+|[0-9]+))*[/_=-]*$",
-)
+# Candidates that are known not to be secrets: UUIDs, and names or
+# paths of plain words or numbers joined by signs. The second says what such a
+# name cannot have: another character, a letter beside a digit, a sign other
+# than a slash in front, or nothing but slashes.
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+NO_PLAIN_NAME = r"[^a-z0-9/_=-]|[a-z][0-9]|[0-9][a-z]|^/*[_=-]|^/*$"
 # Fixed value: parts of candidates that are known not to be secrets, a repetition at the beginning and samples.
 SAMPLE = r"^(.{1,4})\1{4,}|(?i:example|sample|dummy|placeholder|x{4,}|abcdefgh|012345678?|12345678)"
 
@@ -101,40 +108,58 @@ def _entropy_spans(candidate: Column) -> Column:
     grow = F.array(F.lit(0.0), *[
         F.lit((c * log2(c)) - ((c - 1) * log2(c - 1) if c > 1 else 0.0)) for c in range(1, WINDOW + 2)
     ])
+    # Character codes from "+" (43) to "z" (122): twelve counters of five bits to a number.
+    code = lambda c: F.ascii(c) - 43
     described = lambda c, shown: F.struct(
         c.alias("c"),
+        F.floor(code(c) / 12).cast("int").alias("at"),
+        (5 * (code(c) % 12)).alias("bit"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), 5 * (code(c) % 12)).alias("unit"),
         (shown == " ").alias("sample"),
         c.between("0", "9").cast("int").alias("digit"),
-        (c.between("a", "z") | c.between("A", "Z")).cast("int").alias("letter"),
+        c.between("A", "Z").cast("int").alias("upper"),
+        c.between("a", "z").cast("int").alias("lower"),
         (~(c.between("0", "9") | c.between("a", "f") | c.between("A", "F"))).cast("int").alias("other"),
     )
+    classes = {"digits": "digit", "uppers": "upper", "lowers": "lower", "others": "other"}
     start = F.struct(
-        F.lit(0.0).alias("sum"), F.lit(0).alias("digits"), F.lit(0).alias("letters"), F.lit(0).alias("others"),
+        F.lit(0.0).alias("sum"), F.array_repeat(F.lit(0).cast("long"), 7).alias("counts"),
+        *[F.lit(0).alias(of) for of in classes],
         F.lit(-1).alias("sample"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(False).alias("clear"),
         F.array().cast("array<struct<s:int,e:int>>").alias("spans"),
     )
     gone = F.struct(
-        F.lit(None).cast("string").alias("c"), F.lit(False).alias("sample"), F.lit(0).alias("digit"), F.lit(0).alias("letter"), F.lit(0).alias("other")
-    )
+        F.lit(None).cast("string").alias("c"), F.lit(0).alias("at"), F.lit(0).alias("bit"), F.lit(0).cast("long").alias("unit"),
+        F.lit(False).alias("sample"), *[F.lit(0).alias(name) for name in classes.values()],
+    )
 
     def moved(state: Column, m: Column, i: Column) -> Column:
         """The state after one character came and, in a full window, one went."""
-        n_out = F.size(F.filter(m["before"], lambda x: x["c"] == m["out"]["c"]))
-        n_in = F.size(F.filter(m["before"], lambda x: x["c"] == m["now"]["c"])) + 1
-        n_in = n_in - F.coalesce(m["out"]["c"] == m["now"]["c"], F.lit(False)).cast("int")
-        count = lambda of, name: (state[of] + m["now"][name] - m["out"][name]).alias(of)
+        held = lambda x: F.call_function(
+            "shiftright", F.get(state["counts"], x["at"]), x["bit"]
+        ).bitwiseAND(F.lit(31)).cast("int")
+        n_out = F.when(m["out"]["c"].isNull(), F.lit(0)).otherwise(held(m["out"]))
+        n_in = held(m["now"]) + 1 - F.coalesce(m["out"]["c"] == m["now"]["c"], F.lit(False)).cast("int")
+        counts = F.transform(
+            state["counts"],
+            lambda x, k: x
+            + F.when(m["now"]["at"] == k, m["now"]["unit"]).otherwise(F.lit(0))
+            - F.when(m["out"]["at"] == k, m["out"]["unit"]).otherwise(F.lit(0)),
+        )
         return F.struct(
-            (state["sum"] - grow[n_out] + grow[n_in]).alias("sum"),
-            count("digits", "digit"), count("letters", "letter"), count("others", "other"),
+            (state["sum"] - grow[n_out] + grow[n_in]).alias("sum"), counts.alias("counts"),
+            *[(state[of] + m["now"][name] - m["out"][name]).alias(of) for of, name in classes.items()],
             F.when(m["now"]["sample"], i).otherwise(state["sample"]).alias("sample"),
         )
 
     def judged(state: Column, now: Column, i: Column) -> Column:
         bits = F.lit(log2(WINDOW)) - now["sum"] / WINDOW
-        counts = (
-            (i >= WINDOW - 1) & (now["digits"] >= 2) & (now["letters"] >= 2)
-            & (bits >= F.when(now["others"] == 0, F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS)))
-        )
+        keyed = (now["digits"] >= 2) & (now["uppers"] + now["lowers"] >= 2)
+        spelt = (now["uppers"] >= EACH_CASE) & (now["lowers"] >= EACH_CASE)
+        least = (
+            F.when(keyed & (now["others"] == 0), F.lit(HEX_BITS)).when(keyed, F.lit(MIXED_BITS)).when(spelt, F.lit(LETTER_BITS))
+        )
+        counts = (i >= WINDOW - 1) & F.coalesce(bits >= least, F.lit(False))
         return F.struct(
             counts.alias("counts"), (i - (WINDOW - 1)).alias("first"),
             (counts & (now["sample"] < i - (WINDOW - 1))).alias("clear"),
@@ -145,8 +170,8 @@ def _entropy_spans(candidate: Column) -> Column:
         begins = j["counts"] & ~j["joins"]
         closed = F.array(F.struct(state["s"].alias("s"), state["e"].alias("e")))
         return F.struct(
-            now["sum"].alias("sum"), now["digits"].alias("digits"),
-            now["letters"].alias("letters"), now["others"].alias("others"), now["sample"].alias("sample"),
+            now["sum"].alias("sum"), now["counts"].alias("counts"), *[now[of].alias(of) for of in classes],
+            now["sample"].alias("sample"),
             F.when(begins, j["first"]).otherwise(state["s"]).alias("s"),
             F.when(j["counts"], i + 1).otherwise(state["e"]).alias("e"),
             F.when(begins, j["clear"]).otherwise(state["clear"] | j["clear"]).alias("clear"),
@@ -157,7 +182,6 @@ def _entropy_spans(candidate: Column) -> Column:
         change = F.struct(
             F.get(chars, i).alias("now"),
             F.when(i >= WINDOW, F.get(chars, i - WINDOW)).otherwise(gone).alias("out"),
-            F.slice(chars, F.greatest(F.lit(1), i - WINDOW + 1), F.least(i, F.lit(WINDOW))).alias("before"),
         )
         return _let(
             _let(change, lambda m: moved(state, m, i)),
@@ -213,10 +237,10 @@ def with_spans(docs: DataFrame, column: str = "spans") -> DataFrame:
         F.filter("access_at", lambda x: F.length(x["m"]) >= 20),
         F.filter("hex_at", lambda x: F.length(x["m"]) >= 24),
     ]
-    allowed = lambda x: F.exists(F.array(*[F.lit(p) for p in ALLOWED]), lambda p: F.rlike(x["m"], p))
-    likely = F.filter(
-        "runs_at", lambda x: x["m"].rlike("[0-9].*[0-9]") & x["m"].rlike("[A-Za-z].*[A-Za-z]") & ~allowed(x)
-    )
+    allowed = lambda x: x["m"].rlike(UUID) | ~x["m"].rlike(NO_PLAIN_NAME)
+    keyed = lambda x: x["m"].rlike("[0-9].*[0-9]") & x["m"].rlike("[A-Za-z].*[A-Za-z]")
+    many = lambda x, of: F.length(F.translate(x["m"], of, "")) <= F.length(x["m"]) - EACH_CASE
+    likely = F.filter("runs_at", lambda x: (keyed(x) | (many(x, UPPER) & many(x, LOWER))) & ~allowed(x))
     entropy = F.flatten(F.transform(
         likely,
         lambda x: F.transform(
