@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from . import answers, cells, ingesting, nested, requests, searching, streams, text, topics
+from . import answers, cells, corpus, ingesting, nested, requests, searching, streams, text, topics
 from .base import ORACLES, QUERIES
 
 # Models used by the queries travel with the job, like the package's functions.
@@ -15,6 +15,7 @@ __all__ = [
     "QUERIES",
     "answers",
     "cells",
+    "corpus",
     "ingesting",
     "nested",
     "requests",
