@@ -12,7 +12,8 @@ metadata: the bin of the stated character count and whether it fits the text.
 Cases: a null or empty text has no words and the lowest bins, and gets a score
 like any other; a null character count is its own feature; repeated rows get
 equal scores; labels other than 0 and 1, and null ids, are not learned from;
-with no label of one class every score is the smoothed share of label 1.
+with no label of one class every score is the smoothed share of label 1; very
+long texts are described whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ BINS = 10
 RANK = 8
 #: Learned from at most so many documents of each label (lowest hash of the id).
 SAMPLE_PER_LABEL = 4000
+#: Texts that a task turns into Python strings at a time.
+TEXTS = 256
 
 STATISTICS = (
     "words", "word_length", "upper", "digit", "punctuation", "space", "beyond_ascii",
@@ -43,7 +47,6 @@ STATISTICS = (
 SIZE = WORDS + len(STATISTICS) * BINS + 2
 
 
-@lru_cache(maxsize=400_000)
 def _place(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass")) % WORDS
 
@@ -126,14 +129,19 @@ class Machine:
         share = np.full(len(bins), 1.0 / np.sqrt(len(STATISTICS)), np.float32)
         return np.concatenate([places, bins]), np.concatenate([values, share])
 
-    def score(self, text, stated) -> float:
-        return float(_sigmoid(self.raw(*self.features(text, stated))))
+    def scores(self, texts: list, stated: list) -> np.ndarray:
+        """Scores of some texts, all in one array operation over their features."""
+        return _sigmoid(self.raw([self.features(t, s) for t, s in zip(texts, stated)]))
 
-    def raw(self, places: np.ndarray, values: np.ndarray) -> float:
+    def raw(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The sums under the sigmoid of some rows (places, values); a row has one feature at least."""
+        first = np.cumsum([0] + [len(places) for places, _ in rows[:-1]])
+        places = np.concatenate([places for places, _ in rows])
+        values = np.concatenate([values for _, values in rows]).astype(float)
         spread = self.factors[places] * values[:, None]
-        total = spread.sum(axis=0)
-        pairs = 0.5 * (total @ total - np.square(spread).sum())
-        return float(self.bias + self.linear[places] @ values + pairs)
+        total = np.add.reduceat(spread, first)
+        pairs = 0.5 * (np.square(total) - np.add.reduceat(np.square(spread), first)).sum(axis=1)
+        return self.bias + np.add.reduceat(self.linear[places] * values, first) + pairs
 
 
 def _sigmoid(z):
@@ -247,9 +255,13 @@ def train(
 def with_score(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score (0 to 1) of each whole text."""
 
-    @F.pandas_udf("double")
-    def scored(text: pd.Series, stated: pd.Series) -> pd.Series:
-        return pd.Series([machine.score(t, s) for t, s in zip(text, stated)], dtype="float64")
+    @F.arrow_udf("double")
+    def scored(text: pa.Array, stated: pa.Array) -> pa.Array:
+        made = [
+            machine.scores(text.slice(first, TEXTS).to_pylist(), stated.slice(first, TEXTS).to_pylist())
+            for first in range(0, len(text), TEXTS)
+        ]
+        return pa.array(np.concatenate(made) if made else np.zeros(0), pa.float64())
 
     stated = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     return docs.withColumn(column, scored(F.col("text"), stated))

@@ -39,7 +39,7 @@ def test_stage_by_stage(spark):
         assert len(rows) == docs.count()
         pairs = [(i, r.text) for i, r in now.items()]
         if name.startswith("quality"):
-            wanted = {i for i, r in now.items() if machine.score(r.text, r.n_chars) >= 0.5}
+            wanted = {i for i, r in now.items() if machine.scores([r.text], [r.n_chars])[0] >= 0.5}
         elif name.startswith("ngram"):
             wanted = {component for _, _, component in near_copies(pairs, 5, 80)}
         elif name.startswith("benchmark"):
