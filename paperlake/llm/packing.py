@@ -44,6 +44,8 @@ _SIGNS = '.,;:!?|()"-'
 _PLAIN = re.compile(r"[^\W\d_]*[" + re.escape(_SIGNS) + "]+")
 #: Words and other runs whose ids a Python worker keeps at most, and the longest of them.
 WORDS_KEPT, SIGNED_KEPT, LONGEST = 600_000, 150_000, 40
+#: Bits that remember what was met once; a run is kept from its second meeting on.
+MET_BITS = 1 << 24
 #: Texts that a task turns into Python strings at a time.
 TEXTS = 256
 
@@ -56,7 +58,10 @@ def _byte_signs() -> dict[int, str]:
 
 
 class Runs(dict):
-    """Ids by lower-case run (what stands between two blanks); the first ones met are kept."""
+    """Ids by lower-case run (what stands between two blanks), kept if it is met again.
+
+    Most runs occur once and would fill the place of those that come back.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -67,23 +72,34 @@ class Runs(dict):
         self.pieces = self.tokenizer.model.tokenize
         self.bytes = _byte_signs()
         self.signed = 0
+        self.met = bytearray(MET_BITS // 8)
+
+    def _again(self, run: str) -> bool:
+        """Whether the run (or, rarely, another of equal hash) was met before; short enough ones are remembered."""
+        if len(run) > LONGEST:
+            return False
+        at = hash(run) % MET_BITS
+        bit = 1 << (at & 7)
+        seen = self.met[at >> 3] & bit
+        self.met[at >> 3] |= bit
+        return bool(seen)
 
     def __missing__(self, run: str) -> bytes:
         if run.isalpha():
             shown = run if run.isascii() else "".join(map(self.bytes.__getitem__, run.encode()))
             ids = _as_bytes([piece.id for piece in self.pieces(shown)])
-            if len(self) - self.signed < WORDS_KEPT and len(run) <= LONGEST:
+            if self._again(run) and len(self) - self.signed < WORDS_KEPT:
                 self[run] = ids
         elif _PLAIN.fullmatch(run):
             word = run.rstrip(_SIGNS)
             signs = run[len(word) :]
             ids = self[word] + self[signs] if word else _as_bytes([piece.id for piece in self.pieces(run)])
-            if self.signed < SIGNED_KEPT and len(run) <= LONGEST:
+            if self._again(run) and self.signed < SIGNED_KEPT:
                 self.signed += 1
                 self[run] = ids
         else:
             ids = self.whole(run)
-            if self.signed < SIGNED_KEPT and len(run) <= LONGEST:
+            if self._again(run) and self.signed < SIGNED_KEPT:
                 self.signed += 1
                 self[run] = ids
         return ids
