@@ -149,8 +149,8 @@ def routed_join(
 ) -> DataFrame:
     """Candidates for questions that were sent to cells.
 
-    ``routed``: qid, vector, topic, k, cell; ``papers``: arxiv_id, embedding, topic,
-    cell. A cell is cut into blocks of papers and groups of questions, so no
+    ``routed``: qid, vector, topic, k, cell, and reach, a distance its last hit
+    cannot exceed, where one is known; ``papers``: arxiv_id, embedding, topic, cell. A cell is cut into blocks of papers and groups of questions, so no
     task gets a cell whole however many rows it has. Rows are shuffled once by
     (cell, block, group) and sorted there, papers first; a task then holds one
     block of papers and streams the questions past it, emitting at most ``k``
@@ -190,8 +190,10 @@ def routed_join(
         "arxiv_id",
         "topic",
         F.lit(None).cast("int").alias("k"),
+        F.lit(None).cast("double").alias("reach"),
         F.col("embedding").cast("array<double>").alias("v"),
     )
+    reach = F.col("reach") if "reach" in routed.columns else F.lit(None)
     question_side = routed.join(plan, "cell").select(
         "cell",
         F.explode(numbers("n_blocks")).alias("block"),
@@ -201,6 +203,7 @@ def routed_join(
         null_id.alias("arxiv_id"),
         "topic",
         "k",
+        F.coalesce(reach.cast("double"), F.lit(float("inf"))).alias("reach"),
         F.col("vector").cast("array<double>").alias("v"),
     )
     key = ["cell", "block", "grp"]
@@ -230,10 +233,11 @@ def routed_join(
                 rows, unit = blocks.unit_matrix(part.column("v"), dim)
                 topics = blocks.topic_array(part.column("topic"))[rows]
                 wanted = part.column("k").to_numpy()[rows]
+                reaches = part.column("reach").to_numpy()[rows]
                 asked = part.column("qid").take(pa.array(rows))
                 for at in range(0, len(rows), blocks.STRIP):
                     some = slice(at, at + blocks.STRIP)
-                    searches = blocks.Searches(wanted[some], unit[some], topics[some])
+                    searches = blocks.Searches(wanted[some], unit[some], topics[some], reaches[some])
                     for papers_of_block in block:
                         searches.add(*papers_of_block)
                     found = searches.found(asked.slice(at, blocks.STRIP), out)
@@ -317,7 +321,6 @@ def exact_join(
         .withColumn(
             "cell", F.explode(other_cells(F.col("vector"), F.col("reach"), F.col("cell")))
         )
-        .drop("reach")
     )
     return rank_hits(first.drop("rk").unionByName(routed_join(rest, placed, dim)), most)
 

@@ -91,16 +91,17 @@ def paper_block(
 class Nearest:
     """The ``k`` nearest papers seen so far for each of a strip of questions.
 
-    Products in single precision, widened by their greatest possible error,
+    What is farther than the ``reach`` of its question is not kept. Products in single precision, widened by their greatest possible error,
     leave few candidates; the distances of those are taken in double.
     """
 
-    def __init__(self, k: int, questions: np.ndarray):
+    def __init__(self, k: int, questions: np.ndarray, reach: np.ndarray):
         self.k = k
+        self.reach = reach
         self.questions = questions
         self.single = questions.astype(np.float32)
         self.slack = 2.5e-7 * (questions.shape[1] + 4)
-        self.least = np.full(len(questions), -np.inf)  # cosine of the k-th hit
+        self.least = 1.0 - reach  # cosine of the k-th hit; -inf while it is unknown
         self.kept = None
 
     def _kth_cosine(self, cosines: np.ndarray) -> np.ndarray:
@@ -123,14 +124,15 @@ class Nearest:
         away = pair_distances(self.questions, q, papers, row)
         order = np.lexsort((away, q))
         q, row, away = q[order], row[order], away[order]
-        wanted = away <= self._kth_distance(q, away)
+        wanted = away <= np.minimum(self._kth_distance(q, away), self.reach[q])
         q, row, away = q[wanted], row[wanted], away[wanted]
         new = pd.DataFrame({"q": q, "distance": away, "id": ids.take(pa.array(row)).to_pylist()})
         both = new if self.kept is None else pd.concat([self.kept, new])
         both = both.sort_values(["q", "distance", "id"], kind="stable")
         self.kept = both[both.groupby("q").cumcount() < self.k].reset_index(drop=True)
         last = self.kept[self.kept.groupby("q").cumcount() == self.k - 1]
-        self.least[last["q"].to_numpy()] = 1.0 - last["distance"].to_numpy()
+        q, away = last["q"].to_numpy(), last["distance"].to_numpy()
+        self.least[q] = np.maximum(self.least[q], 1.0 - away)
 
     def _kth_distance(self, q: np.ndarray, away: np.ndarray) -> np.ndarray:
         """Per pair, the ``k``-th distance of its question; pairs are in that order."""
@@ -155,11 +157,15 @@ def pair_distances(
 class Searches:
     """Searches for a set of questions, each in all papers or in those of its topic.
 
-    ``wanted`` is the number of hits per question; ``topics`` is NO_TOPIC for all papers.
+    ``wanted`` is the number of hits per question; ``topics`` is NO_TOPIC for all
+    papers; ``reach`` is a distance that its last hit is known not to exceed.
     """
 
-    def __init__(self, wanted: np.ndarray, questions: np.ndarray, topics: np.ndarray):
+    def __init__(
+        self, wanted: np.ndarray, questions: np.ndarray, topics: np.ndarray, reach: np.ndarray | None = None
+    ):
         self.wanted = wanted
+        self.reach = np.full(len(wanted), np.inf) if reach is None else reach
         self.everywhere = self._strips(questions, np.flatnonzero(topics == NO_TOPIC))
         self.in_topic = {
             topic: self._strips(questions, np.flatnonzero(topics == topic))
@@ -173,7 +179,7 @@ class Searches:
             alike = numbers[self.wanted[numbers] == k]
             for at in range(0, len(alike), STRIP):
                 some = alike[at : at + STRIP]
-                strips.append((some, Nearest(int(k), questions[some])))
+                strips.append((some, Nearest(int(k), questions[some], self.reach[some])))
         return strips
 
     def add(self, ids: pa.Array, papers: np.ndarray, topics: np.ndarray) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,11 @@ QUESTION_BYTES = 64 * 1024 * 1024
 # A task of that scan holds the hits of all questions, at most this many.
 TASK_HITS = 5_000_000
 
+# Where more hits than this are wanted, one in so many tasks is scanned first:
+# the k-th hit there bounds what all tasks emit.
+BOUND_HITS = 20_000
+BOUND_STRIDE = 32
+
 # Up to this many hits are broadcast to fetch their texts.
 HIT_ROWS = 200_000
 
@@ -120,22 +126,15 @@ def greatest_k(asked: DataFrame) -> int:
     return asked.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
 
 
-def _scan_join(questions: DataFrame, papers: DataFrame, dim: int) -> DataFrame:
-    """One pass over the papers with all (few) question vectors in every task."""
-    spark = papers.sparkSession
-    schema = pair_schema(questions, papers)
+def _scan(papers: DataFrame, shared, schema: T.StructType, dim: int, stride: int) -> DataFrame:
+    """Hits of all questions in each task; with a ``stride`` above 1 in one of so many tasks."""
     out = arrow_schema(schema)
-    table = questions.toArrow().combine_chunks()
-    vectors = table.column("vector").combine_chunks()
-    usable, matrix = blocks.unit_matrix(vectors, dim)
-    topics = blocks.topic_array(table.column("topic").combine_chunks())[usable]
-    wanted = table.column("k").to_numpy()[usable]
-    question_ids = table.column("qid").combine_chunks().take(pa.array(usable))
-    shared = spark.sparkContext.broadcast((question_ids, matrix, topics, wanted))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit, limits, counts = shared.value
-        searches = blocks.Searches(counts, unit, limits)
+        if TaskContext.get().partitionId() % stride:
+            return
+        ids, unit, limits, counts, reach = shared.value
+        searches = blocks.Searches(counts, unit, limits, reach)
         most = int(counts.max(initial=1))
         for batch in batches:
             searches.add(*blocks.paper_block(*batch.columns, dim, most))
@@ -146,6 +145,34 @@ def _scan_join(questions: DataFrame, papers: DataFrame, dim: int) -> DataFrame:
     return papers.mapInArrow(nearest, schema)
 
 
+def _scan_join(questions: DataFrame, papers: DataFrame, dim: int, bounded: bool = False) -> DataFrame:
+    """One pass over the papers with all (few) question vectors in every task.
+
+    ``bounded`` looks at a part of the papers first. The distance of a
+    question's k-th hit there cannot be less than that of its k-th hit overall,
+    so it goes with the question, and a task emits only what is not farther:
+    about ``BOUND_STRIDE`` times ``k`` rows a question in all, however many
+    tasks there are, beside those of the first look. No paper is left out.
+    """
+    spark = papers.sparkSession
+    schema = pair_schema(questions, papers)
+    table = questions.toArrow().combine_chunks()
+    vectors = table.column("vector").combine_chunks()
+    usable, matrix = blocks.unit_matrix(vectors, dim)
+    topics = blocks.topic_array(table.column("topic").combine_chunks())[usable]
+    wanted = table.column("k").to_numpy()[usable]
+    question_ids = table.column("qid").combine_chunks().take(pa.array(usable))
+    parts = (question_ids, matrix, topics, wanted)
+    reach = None
+    if bounded:
+        first = _scan(papers, spark.sparkContext.broadcast((*parts, None)), schema, dim, BOUND_STRIDE)
+        last = Window.partitionBy("qid").orderBy("distance", "arxiv_id")
+        kth = first.withColumn("rk", F.row_number().over(last)).where(F.col("rk") == F.col("k"))
+        known = {row["qid"]: row["distance"] for row in kth.select("qid", "distance").collect()}  # a row a question
+        reach = np.array([known.get(qid, np.inf) for qid in question_ids.to_pylist()], float)
+    return _scan(papers, spark.sparkContext.broadcast((*parts, reach)), schema, dim, 1)
+
+
 def vector_dim(df: DataFrame, column: str) -> int | None:
     """The commonest length of the vectors of a column, the greater one of equally common.
 
@@ -182,7 +209,8 @@ def knn_join(
 
     Where the question vectors are proven to be few they go to the paper scan,
     and papers are neither shuffled nor paired one by one: a task emits at most
-    ``k`` rows per question. Otherwise questions are routed to the cells of
+    ``k`` rows per question, and where many hits are wanted none that a first
+    look at some papers rules out. Otherwise questions are routed to the cells of
     papers that can hold one of their neighbours; see ``ann.exact_join``. Both
     ways give the same, exact rows, as both take vectors in double precision.
     The questions are materialised once.
@@ -203,7 +231,9 @@ def knn_join(
         F.count("*").alias("rows"), F.sum("k").alias("hits"), F.max("k").alias("most")
     ).first()
     if size["rows"] * 8 * dim <= QUESTION_BYTES and size["hits"] <= TASK_HITS:
-        pairs = _scan_join(asked, known.select("arxiv_id", "embedding", "topic"), dim)
+        pairs = _scan_join(
+            asked, known.select("arxiv_id", "embedding", "topic"), dim, size["hits"] > BOUND_HITS
+        )
         ranked = rank_hits(pairs, size["most"])
     else:
         from .ann import exact_join

@@ -100,6 +100,21 @@ def test_each_question_has_its_own_k(rows, frames, monkeypatch, way):
     same(got, {q: hits[: q % 6] for q, hits in full.items()})
 
 
+@pytest.mark.parametrize("topics", [False, True])
+def test_a_first_look_bounds_what_tasks_emit(rows, frames, monkeypatch, topics):
+    """Sixty-four tasks, of which eight are looked at first: same hits, a fraction of the rows."""
+    papers, questions = frames
+    monkeypatch.setattr(sr, "BOUND_STRIDE", 8)
+    dealt = papers.repartition(64).select("arxiv_id", "embedding", F.col("topic_id").alias("topic"))
+    asked = sr.asked_of(questions, K, "topic_id" if topics else None)
+    free, bounded = (sr._scan_join(asked, dealt, 8, way) for way in (False, True))
+    same(collected(sr.rank_hits(bounded, K)), brute_force(*rows, topics=topics))
+    emitted = free.count(), bounded.count()
+    assert emitted[1] < emitted[0] / (2 if topics else 3), emitted
+    monkeypatch.setattr(sr, "BOUND_HITS", 0)
+    same(collected(sr.knn_join(questions, papers, K, "topic_id" if topics else None)), brute_force(*rows, topics=topics))
+
+
 def test_approximate_with_all_cells_is_exact(rows, frames, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
     papers, questions = frames
