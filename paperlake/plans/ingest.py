@@ -27,6 +27,7 @@ from ..session import cut
 from ..sources.feeds import papers_from_feed
 from ..sources.quarantine import paper_rules, quarantine, topic_rules, vector_rules
 from ..sources.tables import append_papers, append_topics, load_table
+from .journal import Journal, fingerprint
 
 
 @dataclass
@@ -36,6 +37,9 @@ class IngestResult:
     responses: DataFrame  # one row per request
 
 
+PARTS = ("written", "rejected", "responses")
+
+
 def _entry_key() -> list[str]:
     return ["request_id", "feed", "position"]
 
@@ -48,6 +52,7 @@ def ingest(
     load_embedder: Callable[[], Embedder],
     dim: int = EMBEDDING_DIM,
     used: DataFrame | None = None,
+    journal: str | None = None,
 ) -> IngestResult:
     """Store the papers of saved feeds that are not stored yet.
 
@@ -58,8 +63,38 @@ def ingest(
     what the first one left out. The model sees only rows that will be stored.
     ``used`` (request_id, used) says how many entries of a request earlier runs
     took; they count towards its ``max_results``.
+
+    With a ``journal``, a folder for this batch alone, the new rows, the rows set
+    aside and the responses are written there before any paper is stored. A run
+    repeated with the same requests and entries then stores what the first one
+    did not get to, and returns the first one's rows and responses; a journal of
+    other input, or one that was not finished, is written anew.
     """
     spark = entries.sparkSession
+    if journal is None:
+        result = _prepared(requests, entries, papers_table, topics_table, load_embedder, dim, used)
+        append_papers(result.written, papers_table)
+        return result
+    book = Journal(spark, journal, fingerprint(requests, entries))
+    if not book.is_written():
+        result = _prepared(requests, entries, papers_table, topics_table, load_embedder, dim, used)
+        book.write({name: getattr(result, name) for name in PARTS})
+    written, rejected, responses = (book.read(name) for name in PARTS)
+    append_papers(cut(new_papers(written, load_table(spark, papers_table, PAPERS))), papers_table)
+    return IngestResult(written, rejected, responses)
+
+
+def _prepared(
+    requests: DataFrame,
+    entries: DataFrame,
+    papers_table: str,
+    topics_table: str,
+    load_embedder: Callable[[], Embedder],
+    dim: int,
+    used: DataFrame | None,
+) -> IngestResult:
+    """Topics made, papers cleaned, checked, embedded and numbered; all but storing them."""
+    spark = entries.sparkSession
     asked = cut(normalize_requests(requests, "ingest"))
     named, misnamed = quarantine(
         asked.withColumn("name", F.col("topic_name")), topic_rules()
@@ -95,7 +130,6 @@ def ingest(
         lookup(made, topics, "topic_name"), greatest_id(stored), list(order)
     )
     written = cut(keyed)
-    append_papers(written, papers_table)
 
     reason = F.array_join("reasons", "; ")
     failed = broken.select(*_entry_key(), reason.alias("reason")).unionByName(

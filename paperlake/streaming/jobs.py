@@ -1,8 +1,9 @@
 """File streams: each micro-batch runs the whole job, then its files are done.
 
-Neither job keeps streaming state. What was ingested is known from the papers
-table, so a micro-batch that is run again adds nothing; answers are written to
-a folder of their micro-batch, which a repeat replaces.
+Neither job keeps streaming state. A micro-batch of papers writes what it will
+store and report to a journal before it stores any paper, so one that is run
+again after a failure stores the rest and reports what the first run would have;
+answers are written to a folder of their micro-batch, which a repeat replaces.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ def ingest_stream(
     ``requests`` say which feeds belong to which topic, as in ``plans.ingest``.
     Each micro-batch writes under ``account_path`` (default: beside the state)
     its responses, the rows it set aside, and the entries it took of each
-    request, which count towards ``max_results`` in the batches after it. A
-    repeated micro-batch replaces what it wrote.
+    request, which count towards ``max_results`` in the batches after it, and
+    before all that a journal. A repeated micro-batch replaces what it wrote by
+    the same.
     """
     account = (account_path or f"{state_path.rstrip('/')}-account").rstrip("/")
 
@@ -52,8 +54,9 @@ def ingest_stream(
         placed = with_position(entries)
         before = load_table(spark, f"{account}/used", USED).where(F.col("batch") < batch_id)
         used = before.groupBy("request_id").agg(F.sum("used").alias("used"))
-        result = ingest(requests, placed, papers_table, topics_table, load_embedder, dim, used)
-        responses = cut(result.responses)
+        journal = f"{account}/journal/batch={batch_id}"
+        result = ingest(requests, placed, papers_table, topics_table, load_embedder, dim, used, journal)
+        responses = result.responses
         write_responses(responses, f"{account}/responses/batch={batch_id}", mode="overwrite")
         write_responses(result.rejected, f"{account}/rejected/batch={batch_id}", mode="overwrite")
         took = responses.select("request_id", F.col("total_papers_fetched").cast("long").alias("used"))

@@ -1,3 +1,4 @@
+import importlib
 import json
 
 import pytest
@@ -15,6 +16,9 @@ from paperlake.streaming import chat_stream, ingest_stream
 from .test_sources import entry, write_feed
 
 DIM = 16
+# Their names in the packages are those of the functions.
+ingesting = importlib.import_module("paperlake.plans.ingest")
+streaming_jobs = importlib.import_module("paperlake.streaming.jobs")
 
 
 def feed_requests(spark, *rows):
@@ -217,6 +221,52 @@ def test_ingest_stream_restarts(spark, feeds, tmp_path):
     assert stored.count() == 6 and stored.select("id").distinct().count() == 6
 
 
+@pytest.mark.parametrize("at", ["append_papers", "write_responses"])
+def test_a_failed_batch_is_repeated_with_the_same_account(spark, feeds, tmp_path, monkeypatch, at):
+    """A failure before or after papers are stored: the repeat reports what the first run would have."""
+    asked = feed_requests(spark, *((f, "q", None, f.upper(), f) for f in ("a.xml", "b.xml", "c.xml")))
+
+    def stream(name):
+        ingest_stream(
+            spark, feeds, asked, str(tmp_path / name / "p"), str(tmp_path / name / "t"), str(tmp_path / name / "state"),
+            lambda: hash_model(DIM), DIM,
+        ).awaitTermination()
+
+    def account(name):
+        rows = spark.read.json(str(tmp_path / name / "state-account" / "responses"))
+        return sorted((r["request_id"], r["status"], r["processed_count"], r["skipped"]) for r in rows.collect())
+
+    stream("whole")
+    module = {"append_papers": ingesting, "write_responses": streaming_jobs}[at]
+    real, calls = getattr(module, at), []
+
+    def failing(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("planted")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(module, at, failing)
+    with pytest.raises(Exception, match="planted"):
+        stream("broken")
+    stream("broken")
+    assert account("broken") == account("whole") and sum(row[2] for row in account("whole")) > 0
+    ids = [{(r["arxiv_id"]) for r in load_table(spark, str(tmp_path / n / "p"), PAPERS).collect()} for n in ("whole", "broken")]
+    assert ids[0] == ids[1] and load_table(spark, str(tmp_path / "broken" / "p"), PAPERS).count() == len(ids[1])
+
+
+def test_a_journal_of_other_input_is_written_anew(spark, feeds, tmp_path):
+    stored, topics, journal = (str(tmp_path / x) for x in ("p", "t", "journal"))
+    for feed, processed in (("a.xml", None), ("b.xml", None), ("b.xml", None)):
+        asked = feed_requests(spark, ("r", "q", None, None, feed))
+        entries = read_feed(spark, f"{feeds}/{feed}")
+        result = ingesting.ingest(asked, entries, stored, topics, lambda: hash_model(DIM), DIM, journal=journal)
+        mine = {r["arxiv_id"] for r in result.written.collect()}
+        kept = {r["arxiv_id"] for r in load_table(spark, stored, PAPERS).collect()}
+        assert mine and mine <= kept
+        assert result.responses.first()["processed_count"] == len(mine)
+
+
 def test_chat_stream(spark, library, tmp_path):
     rows, topics = library
     papers, names, asked, out, state = (
