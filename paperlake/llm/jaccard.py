@@ -47,15 +47,20 @@ BANDS = 100
 QUERY_ROWS = 1024
 #: Buckets in which the frequency of shingles is counted; only their order depends on it.
 BUCKETS = 1 << 18
-BATCH_BYTES = 4_000_000
+#: Bytes that are hashed at a time, and texts that a task takes from Arrow at a time.
+BATCH_BYTES, TEXTS = 1_000_000, 256
 #: Representatives up to which their ids are sent to the scan of the texts.
 BROADCAST_ROWS = 300_000
 
 
-def _sets(texts, words: int):
-    """(first row, last row, text number, hash) for stretches of a column of texts."""
+def _sets(texts: pa.Array, words: int):
+    """(first row, rows, text number, hash) for stretches of a column of texts."""
     done = 0
-    encoded = ((t or "").encode("utf-8", "surrogatepass") for t in texts)
+    encoded = (
+        text or b""
+        for first in range(0, len(texts), TEXTS)
+        for text in texts.slice(first, TEXTS).cast(pa.binary()).to_pylist()
+    )
     for some in chunks(encoded, len, BATCH_BYTES):
         text, token = shingles(some, words)
         yield done, len(some), text, token
@@ -85,7 +90,7 @@ def _read(docs: DataFrame, words: int) -> DataFrame:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             ids = batch.column("doc_id")
-            for start, count, text, token in _sets(batch.column("text").to_pylist(), words):
+            for start, count, text, token in _sets(batch.column("text"), words):
                 s1, s2, n = _signatures(count, text, token)
                 counts += np.bincount((token >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
                 yield pa.RecordBatch.from_arrays(
@@ -121,7 +126,7 @@ def _representatives(docs: DataFrame, ranks: np.ndarray, words: int, percent: in
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for start, count, text, token in _sets(batch.column("text").to_pylist(), words):
+            for start, count, text, token in _sets(batch.column("text"), words):
                 s1, s2, n = _signatures(count, text, token)
                 order = np.lexsort((token, ranks[(token >> np.uint64(46)).astype(np.int64)], text))
                 bounds = np.searchsorted(text, np.arange(count))
@@ -165,7 +170,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -
     def run(batches):
         for batch in batches:
             ids, of1, of2 = batch.column("id"), batch.column("of_s1").to_numpy(), batch.column("of_s2").to_numpy()
-            for start, count, text, token in _sets(batch.column("text").to_pylist(), words):
+            for start, count, text, token in _sets(batch.column("text"), words):
                 s1, s2, n = _signatures(count, text, token)
                 same = (s1 == of1[start : start + count]) & (s2 == of2[start : start + count])
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -372,11 +377,11 @@ def _rows_of(docs: DataFrame, kept: DataFrame, words: int) -> DataFrame:
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     rows, names = set_aside(docs)
 
-    @F.pandas_udf("s1 long, s2 long, n long")
-    def signature(text: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("s1 long, s2 long, n long")
+    def signature(text: pa.Array) -> pa.Array:
         found = [_signatures(count, t, token) for _, count, t, token in _sets(text, words)]
-        s1, s2, n = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        return pd.DataFrame({"s1": s1, "s2": s2, "n": n})
+        sums = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in sums], ["s1", "s2", "n"])
 
     rows = rows.withColumn("set", signature(F.col(f"_in{text_at}").cast("string")))
     found = rows.join(
