@@ -38,13 +38,14 @@ END = 0
 _NOT_PLAIN = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]|<\\|")
 _CONTROLS = "\x0b\x0c\x1c\x1d\x1e\x1f"
 _BLANKS = re.compile(r"[ \t\r\n]+")
-#: Fixed value: signs after a word that the vocabulary's splitting rule takes as one run;
-#: anything else between blanks but letters and these goes through the whole tokenizer.
-_SIGNS = '.,;:!?|()"-'
+#: Fixed value: signs after a word that the vocabulary's splitting rule takes as one run,
+#: all of ASCII but the apostrophe; anything else between blanks but letters and these
+#: goes through the whole tokenizer.
+_SIGNS = '.,;:!?|()"-*$%&#@^~+=/\\[]{}_`<>'
 _PLAIN = re.compile(r"[^\W\d_]*[" + re.escape(_SIGNS) + "]+")
 #: Words and other runs whose ids a Python worker keeps at most, and the longest of them.
 WORDS_KEPT, SIGNED_KEPT, LONGEST = 600_000, 150_000, 40
-#: Bits that remember what was met once; a run is kept from its second meeting on.
+#: Bits that remember what was met once. Once half of the room is taken, a run is kept from its second meeting on.
 MET_BITS = 1 << 24
 #: Texts that a task turns into Python strings at a time.
 TEXTS = 256
@@ -58,9 +59,10 @@ def _byte_signs() -> dict[int, str]:
 
 
 class Runs(dict):
-    """Ids by lower-case run (what stands between two blanks), kept if it is met again.
+    """Ids by lower-case run (what stands between two blanks), kept for the next time.
 
-    Most runs occur once and would fill the place of those that come back.
+    Most runs occur once. So that they don't take all the room, the second half
+    of it is for runs that come back.
     """
 
     def __init__(self, path: str):
@@ -74,10 +76,11 @@ class Runs(dict):
         self.signed = 0
         self.met = bytearray(MET_BITS // 8)
 
-    def _again(self, run: str) -> bool:
-        """Whether the run (or, rarely, another of equal hash) was met before; short enough ones are remembered."""
-        if len(run) > LONGEST:
+    def _worth_keeping(self, run: str, held: int, most: int) -> bool:
+        if len(run) > LONGEST or held >= most:
             return False
+        if held < most // 2:
+            return True
         at = hash(run) % MET_BITS
         bit = 1 << (at & 7)
         seen = self.met[at >> 3] & bit
@@ -88,18 +91,18 @@ class Runs(dict):
         if run.isalpha():
             shown = run if run.isascii() else "".join(map(self.bytes.__getitem__, run.encode()))
             ids = _as_bytes([piece.id for piece in self.pieces(shown)])
-            if self._again(run) and len(self) - self.signed < WORDS_KEPT:
+            if self._worth_keeping(run, len(self) - self.signed, WORDS_KEPT):
                 self[run] = ids
         elif _PLAIN.fullmatch(run):
             word = run.rstrip(_SIGNS)
             signs = run[len(word) :]
             ids = self[word] + self[signs] if word else _as_bytes([piece.id for piece in self.pieces(run)])
-            if self._again(run) and self.signed < SIGNED_KEPT:
+            if self._worth_keeping(run, self.signed, SIGNED_KEPT):
                 self.signed += 1
                 self[run] = ids
         else:
             ids = self.whole(run)
-            if self._again(run) and self.signed < SIGNED_KEPT:
+            if self._worth_keeping(run, self.signed, SIGNED_KEPT):
                 self.signed += 1
                 self[run] = ids
         return ids

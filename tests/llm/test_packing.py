@@ -65,7 +65,7 @@ def test_capacities_against_a_scan():
 ODD = [
     "<|ENDOFTEXT|> x <|endoftext|>", "Don'T A.B, c,, ..., x.", "ÉÀ, Ÿ. ÿ,", ".", "don't we'll 'S x's", "İstanbul ΣΑΣ ς",
     "é café́", "a² ªº ½ 12 3a", "--- \"(x)\" |", "x\x1cy \x85 z", "　日本語 テスト", "ß!!! Straße,", "a" * 300 + " é" * 90,
-    "\x0b\x0c a", "¨ ̈a ̈", "aaaa aaaaaaaa abababab", "", "   ", "µ\nµ",
+    "\x0b\x0c a", "¨ ̈a ̈", "word*** a%%% x_y z_ $$$ #& {a} [b]] `c` ~d~ <e> a<b f<> g|h + i+= j/\\ k^@ été*=_", "aaaa aaaaaaaa abababab", "", "   ", "µ\nµ",
 ]
 
 
