@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
-The script of a word narrows the candidate languages, the log probabilities of
-its character trigrams score them, and Viterbi with a penalty for each change of
+The script of a word leaves as candidates the languages that use it; the log
+probabilities of its character trigrams score those alone, and Viterbi with a penalty for each change of
 language labels the words. Runs of one label are the spans; the language with
 most letters is the document's.
 
@@ -81,7 +81,7 @@ def _trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Log probabilities by slot and language, and the scripts of each language."""
+    """Log probabilities by language and slot, and whether a script (row) is used by a language."""
 
     names: list[str]
     logs: np.ndarray
@@ -103,10 +103,14 @@ class Model:
         first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         begin = at[first]
         length = np.diff(np.append(first, len(at)))
-        score = np.empty((len(first), len(self.names)), np.float32)
-        for k in range(len(self.names)):
-            score[:, k] = np.add.reduceat(self.logs[k][slots], first)
-        score += self.scripts[_letters()[1][codes[begin]]] * length[:, None]
+        score = np.full((len(first), len(self.names)), -np.inf, np.float32)
+        script = _letters()[1][codes[begin]]
+        for one in np.unique(script):
+            mine = np.flatnonzero(script == one)
+            own = slots if len(mine) == len(first) else slots[np.repeat(script == one, length)]
+            ends = np.cumsum(length[mine])
+            for k in np.flatnonzero(self.scripts[one]):
+                score[mine, k] = np.add.reduceat(self.logs[k][own], ends - length[mine])
         bounds = np.searchsorted(begin, np.append(base, len(codes)))
         path = viterbi(score, bounds, SWITCH)
         return [
@@ -119,7 +123,7 @@ class Model:
             return UNKNOWN, 0.0, []
         letters = np.bincount(path, weights=length, minlength=len(self.names))
         best = int(letters.argmax())
-        edge = np.flatnonzero(np.diff(path.astype(np.int16), prepend=-1))
+        edge = np.flatnonzero(np.diff(path.astype(np.int64), prepend=-1))
         ends = (begin + length)[np.append(edge[1:] - 1, len(path) - 1)]
         spans = [(int(a), int(b), self.names[path[i]]) for a, b, i in zip(begin[edge], ends, edge)]
         return self.names[best], float(letters[best] / letters.sum()), spans
@@ -135,8 +139,9 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
     order = np.argsort(-lengths, kind="stable")
     start, lengths = bounds[:-1][order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left") if len(lengths) else []
-    came = np.empty(score.shape, np.uint8)
-    own = np.arange(score.shape[1], dtype=np.uint8)
+    kind = np.min_scalar_type(max(0, score.shape[1] - 1))
+    came = np.empty(score.shape, kind)
+    own = np.arange(score.shape[1], dtype=kind)
     best = np.zeros((len(lengths), score.shape[1]), np.float32)
     for step, n in enumerate(active):
         rows = start[:n] + step
@@ -146,7 +151,7 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
         stay = now >= changed
         came[rows] = np.where(stay, own, top[:, None])
         best[:n] = np.where(stay, now, changed) + score[rows]
-    path = np.empty(len(score), np.uint8)
+    path = np.empty(len(score), kind)
     state = best.argmax(1) if len(lengths) else None
     for step in range(len(active) - 1, -1, -1):
         n = active[step]
@@ -192,15 +197,15 @@ def train(docs: DataFrame, *, learn_from: Column | None = None) -> Model:
     )
     names = sorted(counted["lang"].unique())
     logs = np.zeros((len(names), SLOTS), np.float32)
-    scripts = np.zeros((len(NAMES), len(names)), np.float32)
+    scripts = np.zeros((len(NAMES), len(names)), bool)
     for k, name in enumerate(names):
         mine = counted[counted["lang"] == name]
         total = np.zeros(SLOTS + len(NAMES))
         total[mine["slot"].to_numpy()] = mine["n"].to_numpy()
         logs[k] = np.log((total[:SLOTS] + 0.1) / (total[:SLOTS].sum() + 0.1 * SLOTS))
         used = total[SLOTS:] >= 0.01 * max(1.0, total[SLOTS:].sum())
-        scripts[:, k] = np.where(used, 0.0, -50.0)
-    scripts[(scripts < 0).all(axis=1)] = 0.0
+        scripts[:, k] = used
+    scripts[~scripts.any(axis=1)] = True
     return Model(names, logs, scripts)
 
 

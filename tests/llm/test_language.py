@@ -50,5 +50,28 @@ def test_odd_documents(spark, odd_docs):
     assert by[2].lang_pred == by[3].lang_pred == by[5].lang_pred == "und" and by[2].score == 0
     assert all(r.held_out is not None for r in rows)
     assert language.identify(odd_docs.limit(0)).count() == 0
-    unlearned = language.with_language(odd_docs, language.Model([], np.zeros((0, 1)), np.zeros((1, 0))))
+    unlearned = language.with_language(odd_docs, language.Model([], np.zeros((0, 1)), np.zeros((1, 0), bool)))
     assert {r.language.lang for r in unlearned.collect()} == {"und"}
+
+
+def test_three_hundred_languages(spark):
+    """Each with words of its own; labels beyond 256 are told apart."""
+    draw = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = {k: ["".join(draw.choice(letters, 8)) for _ in range(6)] for k in range(300)}
+    rows = [(k, " ".join(words[k] * 5), f"l{k:03d}") for k in range(300)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = model.label([" ".join(words[k][:4] * 3) for k in range(300)] + [" ".join(words[299] * 3 + words[7] * 3)])
+    assert [lang for lang, _, _ in found[:300]] == [f"l{k:03d}" for k in range(300)]
+    assert [name for _, _, name in found[300][2]] == ["l299", "l007"]
+
+
+def test_scripts_leave_out_languages(spark):
+    rows = [(1, "the cat and dog " * 20, "en"), (2, "кот и собака дома " * 20, "ru"), (3, "le chat et le chien " * 20, "fr")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    used = {name: model.scripts[language.NAMES.index(name)].tolist() for name in ("latin", "cyrillic", "greek")}
+    assert model.names == ["en", "fr", "ru"]
+    assert used == {"latin": [True, True, False], "cyrillic": [False, False, True], "greek": [True] * 3}
+    # A Cyrillic word is never English, whatever its neighbours.
+    _, _, spans = model.label(["the cat and dog кот the dog and cat"])[0]
+    assert [name for _, _, name in spans] == ["en", "ru", "en"]
