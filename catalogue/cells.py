@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperlake.operators import ann
 from paperlake.operators import search as sr
+from paperlake.operators.cell_index import CellIndex
 from paperlake.session import cut, fresh_folder
 
 from .base import DIM, HITS_SQL, papers, plain_distance, query, questions, table
@@ -116,3 +117,20 @@ def knn_join_by_cells(spark, folder):
     placed = known.select("arxiv_id", "embedding", F.lit(None).cast("long").alias("topic"))
     found = ann.exact_join(asked, placed, DIM, label_means(spark, folder))
     return found.select("qid", "arxiv_id", F.col("rk").cast("long").alias("rk"), plain_distance())
+
+
+@query("WITH " + HITS_SQL + """
+SELECT qid, arxiv_id, CAST(rk AS BIGINT) AS rk, round(distance, 6) + 0.0 AS distance FROM ranked WHERE rk <= 5""")
+def knn_join_by_index(spark, folder):
+    """The exact join over an index whose number of cells follows the papers, written in two appends and split."""
+    known = cut(papers(spark, folder).where(F.col("embedding").isNotNull()).select("arxiv_id", "embedding"))
+    first = F.pmod(F.xxhash64("arxiv_id"), F.lit(2)) == 0
+    index = CellIndex.create(known.where(first), fresh_folder(spark, "index"), dim=DIM)
+    index.append(known.where(~first))
+    index.split(200)
+    asked = questions(spark, folder).select(
+        "qid", "vector", F.lit(None).cast("long").alias("topic"), F.lit(5).alias("k")
+    )
+    placed = index.papers().select("arxiv_id", "embedding", F.lit(None).cast("long").alias("topic"), "cell", "angle")
+    found = ann.exact_join(asked, placed, DIM, index.centroids())
+    return found.select("qid", "arxiv_id", F.col("rk").cast("long").alias("rk"), plain_distance())

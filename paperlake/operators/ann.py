@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import CELL_COUNT
 from ..session import cut, fits
 from ..sources.quarantine import quarantine, vector_rules
 from . import blocks
@@ -24,8 +24,20 @@ from .search import (
     with_topic_column,
 )
 
-# The centroids go to every task, so their number is checked against this.
-MAX_CELLS = 65_536
+# The centroids go to every task, so their size is checked against this.
+CENTROID_BYTES = 1024 * 1024 * 1024
+
+# Papers of a cell on average, where the number of cells is not given.
+CELL_PAPERS = 2_000
+
+# More cells than this are trained in two levels: branches, then the cells of each.
+FLAT_CELLS = 1_024
+
+# Vectors that one k-means learns from at most; a fraction of all by the hash of their id.
+TRAIN_ROWS = 200_000
+
+# Distances to centroids that are held at a time.
+STRIP_NUMBERS = 16_000_000
 
 # A cell with more papers is split into blocks of about this size, and one with
 # more questions into groups of about that size.
@@ -39,53 +51,145 @@ GROUPS_IN_TASK = 8
 ANGLE_SLACK = 1e-5
 
 
+def _some(rows: DataFrame, most: int, n: int) -> DataFrame:
+    """About ``most`` of ``n`` rows, chosen by the hash of their vector: equal rows in, equal rows out."""
+    step = -(-n // most)
+    return rows if step <= 1 else rows.where(F.pmod(F.xxhash64("embedding"), F.lit(step)) == 0)
+
+
+def _k_means(vectors: DataFrame, n: int, seed: int) -> np.ndarray:
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    features = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = KMeans(k=n, distanceMeasure="cosine", seed=seed, maxIter=10).fit(features)
+    return np.array(model.clusterCenters())
+
+
+def small_k_means(unit: np.ndarray, n: int, turns: int = 10) -> np.ndarray:
+    """Up to ``n`` centroids of some unit vectors, by the angle; the same rows give the same ones."""
+    distinct = np.unique(unit, axis=0)
+    picked = np.random.default_rng(17).permutation(len(distinct))[:n]
+    centers = distinct[picked]
+    for _ in range(turns):
+        nearest = (unit @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, nearest, unit)
+        norms = np.linalg.norm(sums, axis=1)
+        centers = np.where(norms[:, None] > 0, sums / np.maximum(norms, 1e-300)[:, None], centers)
+    return centers
+
+
 def train_cells(
-    papers: DataFrame, n: int = CELL_COUNT, seed: int = 17, dim: int | None = None
+    papers: DataFrame, n: int | None = None, seed: int = 17, dim: int | None = None
 ) -> DataFrame:
-    """Centroids of ``n`` cells (cell, centroid), by k-means on the angle.
+    """Centroids of cells (cell, centroid, branch, branch_centroid), by k-means on the angle.
 
     Only usable vectors of length ``dim`` (default: the commonest length) count.
+    ``n`` is by default as many as give a cell ``CELL_PAPERS`` papers. Up to
+    ``FLAT_CELLS`` cells are one branch. More are trained in two levels: about
+    the square root of ``n`` branches over all, then the cells of each branch
+    by its own papers and in proportion to them, in a task of its own. Every
+    k-means learns from ``TRAIN_ROWS`` vectors or fewer.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    spark = papers.sparkSession
     usable, _ = quarantine(papers, vector_rules(dim=dim or vector_dim(papers, "embedding")))
-    vectors = usable.select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    vectors = usable.select("embedding")
+    count = vectors.count()
+    n = n or max(2, -(-count // CELL_PAPERS))
+    layout = "cell int, centroid array<double>, branch int, branch_centroid array<double>"
+    if n <= FLAT_CELLS:
+        centers = _k_means(_some(vectors, TRAIN_ROWS, count), n, seed).tolist()
+        return spark.createDataFrame([(i, c, 0, centers[0]) for i, c in enumerate(centers)], layout)
+    branches = _k_means(_some(vectors, TRAIN_ROWS, count), round(n**0.5), seed)
+    top = spark.createDataFrame([(i, c) for i, c in enumerate(branches.tolist())], "cell int, centroid array<double>")
+    placed = cut(assign_cells(vectors, top).select("embedding", F.col("cell").alias("branch")))
+    sizes = placed.groupBy("branch").agg(F.count("*").alias("papers"))
+    shares = {r["branch"]: max(1, round(n * r["papers"] / max(1, count))) for r in sizes.collect()}
+    steps = spark.createDataFrame(
+        [(r["branch"], -(-r["papers"] // TRAIN_ROWS)) for r in sizes.collect()], "branch int, step long"
     )
-    model = KMeans(k=n, distanceMeasure="cosine", seed=seed, maxIter=10).fit(vectors)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return papers.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
-
-
-def _centroid_arrays(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    if not fits(centroids, MAX_CELLS):
-        raise ValueError(f"more than {MAX_CELLS} cells")
-    table = centroids.select("cell", "centroid").orderBy("cell").toArrow().combine_chunks()
-    rows, unit = blocks.unit_matrix(table.column("centroid").combine_chunks())
-    return table.column("cell").to_numpy()[rows].astype(np.int32), unit
+    some = placed.join(F.broadcast(steps), "branch").where(F.pmod(F.xxhash64("embedding"), "step") == 0)
+
+    def fine(rows):
+        branch = int(rows["branch"].iloc[0])
+        _, unit = blocks.unit_matrix(pa.array(rows["embedding"]))
+        return pd.DataFrame({"branch": branch, "centroid": small_k_means(unit, shares[branch]).tolist()})
+
+    cells = some.groupBy("branch").applyInPandas(fine, "branch int, centroid array<double>")
+    numbered = cut(cells).withColumn("cell", F.row_number().over(Window.orderBy("branch", "centroid")) - 1)
+    named = top.select(F.col("cell").alias("branch"), F.col("centroid").alias("branch_centroid"))
+    return numbered.join(F.broadcast(named), "branch").select("cell", "centroid", "branch", "branch_centroid")
+
+
+class Centroids:
+    """Names and unit centroids of cells in every task, by branch where they have branches."""
+
+    def __init__(self, centroids: DataFrame):
+        dim = vector_dim(centroids, "centroid") or 1
+        most = CENTROID_BYTES // (8 * dim)
+        if not fits(centroids, most):
+            raise ValueError(f"more than {most} centroids of length {dim}")
+        has_branches = "branch" in centroids.columns
+        order = ["branch", "cell"] if has_branches else ["cell"]
+        table = centroids.orderBy(*order).toArrow().combine_chunks()
+        rows, self.unit = blocks.unit_matrix(table.column("centroid").combine_chunks(), dim)
+        self.names = table.column("cell").to_numpy()[rows].astype(np.int32)
+        self.branches = None
+        if has_branches:
+            branch = table.column("branch").to_numpy()[rows]
+            self.first = np.flatnonzero(np.r_[True, branch[1:] != branch[:-1]]) if len(branch) else np.zeros(0, int)
+            self.last = np.append(self.first[1:], len(branch))
+            tops = table.column("branch_centroid").combine_chunks().take(pa.array(rows[self.first]))
+            _, self.branches = blocks.unit_matrix(tops, dim)
+
+    @property
+    def dim(self) -> int:
+        return self.unit.shape[1]
+
+    def strips(self, rows: int) -> Iterator[slice]:
+        """Rows whose distances to all centroids are held at a time."""
+        step = max(1, STRIP_NUMBERS // max(1, len(self.unit)))
+        return (slice(at, at + step) for at in range(0, rows, step))
+
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and distance of the nearest centroid in the nearest branch of each vector."""
+        place, away = np.zeros(len(unit), int), np.zeros(len(unit))
+        if self.branches is None or len(self.branches) == 1:
+            for some in self.strips(len(unit)):
+                all_of = blocks.distances(unit[some], self.unit)
+                place[some] = all_of.argmin(axis=1)
+                away[some] = all_of.min(axis=1)
+            return place, away
+        branch = np.zeros(len(unit), int)
+        for some in self.strips(len(unit)):
+            branch[some] = blocks.distances(unit[some], self.branches).argmin(axis=1)
+        for one in np.unique(branch):
+            mine, first, last = np.flatnonzero(branch == one), self.first[one], self.last[one]
+            all_of = blocks.distances(unit[mine], self.unit[first:last])
+            place[mine] = first + all_of.argmin(axis=1)
+            away[mine] = all_of.min(axis=1)
+        return place, away
 
 
 def assign_cells(papers: DataFrame, centroids: DataFrame, column: str = "embedding") -> DataFrame:
     """Add the nearest cell and the angle to its centroid; null without a vector.
 
-    Only the vector goes to Python; all other columns stay in the JVM.
+    Of cells with branches it is the nearest of the nearest branch. Only the
+    vector goes to Python; all other columns stay in the JVM.
     """
-    names, unit = _centroid_arrays(centroids)
-    shared = papers.sparkSession.sparkContext.broadcast((names, unit))
-    dim = unit.shape[1]
+    shared = papers.sparkSession.sparkContext.broadcast(Centroids(centroids))
     kind = pa.struct([("cell", pa.int32()), ("angle", pa.float64())])
 
     @F.arrow_udf("cell int, angle double")
     def nearest_cell(vectors: pa.Array) -> pa.Array:
-        cells, centers = shared.value
-        rows, block = blocks.unit_matrix(vectors, dim)
-        away = blocks.distances(block, centers)
-        best = away.argmin(axis=1)
+        known = shared.value
+        rows, block = blocks.unit_matrix(vectors, known.dim)
+        best, away = known.nearest(block)
         cell = np.full(len(vectors), -1, np.int32)
         angle = np.full(len(vectors), np.nan)
-        cell[rows] = cells[best]
-        angle[rows] = np.arccos(1.0 - away[np.arange(len(rows)), best])
+        cell[rows] = known.names[best]
+        angle[rows] = np.arccos(1.0 - away)
         gone = cell < 0
         return pa.StructArray.from_arrays(
             [pa.array(cell, mask=gone), pa.array(angle, mask=gone)], fields=list(kind)
@@ -99,7 +203,9 @@ def assign_cells(papers: DataFrame, centroids: DataFrame, column: str = "embeddi
     )
 
 
-def write_cells(papers: DataFrame, centroids: DataFrame, path: str) -> DataFrame:
+def write_cells(
+    papers: DataFrame, centroids: DataFrame, path: str, mode: str = "errorifexists"
+) -> DataFrame:
     """Store the papers that have a vector by cell, and read them back.
 
     A search of few cells then reads only their folders. Rows are ranged by cell
@@ -110,6 +216,7 @@ def write_cells(papers: DataFrame, centroids: DataFrame, path: str) -> DataFrame
     (
         placed.repartitionByRange("cell", F.xxhash64("arxiv_id"))
         .write.partitionBy("cell")
+        .mode(mode)
         .parquet(path)
     )
     stored = T.StructType([*(f for f in placed.schema if f.name != "cell"), placed.schema["cell"]])
@@ -118,20 +225,20 @@ def write_cells(papers: DataFrame, centroids: DataFrame, path: str) -> DataFrame
 
 def probe_cells(questions: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
     """One row per question and each of its ``probes`` nearest cells."""
-    names, unit = _centroid_arrays(centroids)
-    shared = questions.sparkSession.sparkContext.broadcast((names, unit))
-    dim = unit.shape[1]
-    count = min(probes, len(names))
+    shared = questions.sparkSession.sparkContext.broadcast(Centroids(centroids))
 
     @F.arrow_udf("array<int>")
     def nearest_cells(vectors: pa.Array) -> pa.Array:
-        cells, centers = shared.value
-        rows, block = blocks.unit_matrix(vectors, dim)
-        # stable, so that the lower cell number wins a tie
-        order = blocks.distances(block, centers).argsort(axis=1, kind="stable")[:, :count]
+        known = shared.value
+        count = min(probes, len(known.names))
+        rows, block = blocks.unit_matrix(vectors, known.dim)
         picked: list = [None] * len(vectors)
-        for row, best in zip(rows, order):
-            picked[row] = cells[best].tolist()
+        for some in known.strips(len(rows)):
+            away = blocks.distances(block[some], known.unit)
+            for row, own in zip(rows[some], away):
+                # the nearest ones and all that tie with the last; the lower cell number wins a tie
+                near = np.flatnonzero(own <= np.partition(own, count - 1)[count - 1])
+                picked[row] = known.names[near[np.lexsort((known.names[near], own[near]))[:count]]].tolist()
         return pa.array(picked, pa.list_(pa.int32()))
 
     return questions.withColumn("cell", F.explode(nearest_cells(F.col("vector"))))
@@ -279,41 +386,48 @@ def exact_join(
     there bounds the search. Another cell can hold a nearer paper only if the
     triangle inequality on angles lets it, given the least and greatest angle of
     its papers to its centroid; the question is sent to those cells alone.
+    Papers that carry ``cell`` and ``angle`` by these ``centroids``, as those of
+    a ``CellIndex`` do, are searched as they are stored.
     """
     if centroids is None:
         centroids = train_cells(known, dim=dim)
+        known = known.drop("cell", "angle")
     # used for the cell sizes, the bounds and both searches
-    placed = cut(assign_cells(known, centroids).where(F.col("cell").isNotNull()))
+    if {"cell", "angle"} <= set(known.columns):
+        placed = known.where(F.col("cell").isNotNull())
+    else:
+        placed = cut(assign_cells(known, centroids).where(F.col("cell").isNotNull()))
     routed = cut(probe_cells(asked, centroids, 1))
     most = greatest_k(asked)
     ranked = rank_hits(routed_join(routed, placed, dim), most).drop("similarity")
     first = cut(ranked.join(asked.select("qid", "k"), "qid"))
     # the distance of the k-th hit, null where the cell had fewer
     reach = first.where(F.col("rk") == F.col("k")).select("qid", F.col("distance").alias("reach"))
-    names, unit = _centroid_arrays(centroids)
+    tree = Centroids(centroids)
     bounds = (
         placed.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
         .toPandas()  # one row per cell
         .set_index("cell")
-        .reindex(names)
+        .reindex(tree.names)
     )
     low, high = bounds["low"].to_numpy(), bounds["high"].to_numpy()
-    shared = asked.sparkSession.sparkContext.broadcast((names, unit, low, high))
+    shared = asked.sparkSession.sparkContext.broadcast((tree, low, high))
 
     @F.arrow_udf("array<int>")
     def other_cells(vectors: pa.Array, reaches: pa.Array, done: pa.Array) -> pa.Array:
-        cells, centers, nearest, farthest = shared.value
+        known, nearest, farthest = shared.value
         rows, block = blocks.unit_matrix(vectors, dim)
-        angle = np.arccos(1.0 - blocks.distances(block, centers))
-        least = np.maximum(angle - farthest[None, :], nearest[None, :] - angle)
         limit = reaches.to_numpy(zero_copy_only=False)[rows].astype(float)
-        limit = np.where(np.isnan(limit), np.pi, np.arccos(1.0 - np.nan_to_num(limit)))
-        open_cells = least <= limit[:, None] + ANGLE_SLACK  # an empty cell compares false
+        limit = np.where(np.isnan(limit), np.pi, np.arccos(1.0 - np.nan_to_num(limit))) + ANGLE_SLACK
         searched = done.to_numpy(zero_copy_only=False)[rows]
         picked: list = [[]] * len(vectors)
-        for at, row in enumerate(rows):
-            chosen = cells[open_cells[at]]
-            picked[row] = chosen[chosen != searched[at]].tolist()
+        for some in known.strips(len(rows)):
+            angle = np.arccos(1.0 - blocks.distances(block[some], known.unit))
+            least = np.maximum(angle - farthest[None, :], nearest[None, :] - angle)
+            open_cells = least <= limit[some, None]  # an empty cell compares false
+            for row, own, is_open in zip(rows[some], searched[some], open_cells):
+                chosen = known.names[is_open]
+                picked[row] = chosen[chosen != own].tolist()
         return pa.array(picked, pa.list_(pa.int32()))
 
     rest = (

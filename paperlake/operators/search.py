@@ -221,7 +221,7 @@ def knn_join(
         "arxiv_id",
         "embedding",
         with_topic_column(papers, topic_col).alias("topic"),
-        *(c for c in ("cell",) if c in papers.columns),
+        *(c for c in ("cell", "angle") if centroids is not None and c in papers.columns),
     ).where(F.col("embedding").isNotNull())
     dim = dim or vector_dim(asked, "vector")
     if dim is None:

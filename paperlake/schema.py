@@ -7,7 +7,6 @@ DEFAULT_QUERY = "machine learning"
 DEFAULT_MAX_RESULTS = 10
 DEFAULT_TOP_K = 5
 EMBEDDING_DIM = 1024
-CELL_COUNT = 100
 BATCH_BOUNDS = (1, 50)
 NAME_LENGTH = 255
 PAPER_ID_LENGTH = 50
