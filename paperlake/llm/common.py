@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Rows that go to Python at a time where they carry whole texts; Spark's own default is 10,000.
+TEXT_ROWS = 1_000
+_ROWS_AT_A_TIME = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """What is executed inside sends at most ``rows`` rows to Python at a time; the setting is put back after it."""
+    if rows is None:
+        yield
+        return
+    before = spark.conf.get(_ROWS_AT_A_TIME, None)
+    spark.conf.set(_ROWS_AT_A_TIME, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ROWS_AT_A_TIME)
+        else:
+            spark.conf.set(_ROWS_AT_A_TIME, before)
+
+
+def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once, as Parquet in the shared folder, and read back.
 
     The rows are then the same for every reader and survive lost executors.
+    ``batch_rows`` bounds the rows that go to Python at a time.
     """
     path = fresh_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch_rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

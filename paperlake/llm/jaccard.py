@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from paperlake.llm.common import chunks, set_aside, stored
+from paperlake.llm.common import TEXT_ROWS, chunks, set_aside, stored
 from paperlake.llm.components import components
 from paperlake.llm.hashing import mixed, shingles
 from paperlake.session import fits
@@ -65,6 +65,7 @@ def _sets(texts: pa.Array, words: int):
         text, token = shingles(some, words)
         yield done, len(some), text, token
         done += len(some)
+    pa.default_memory_pool().release_unused()
 
 
 def _signatures(count: int, text: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +150,7 @@ def _representatives(docs: DataFrame, ranks: np.ndarray, words: int, percent: in
         F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("first").alias("first")
     )
     named = one.select("row.doc_id", "row.text_hash", "s1", "s2", "n", "first", F.monotonically_increasing_id().alias("id"))
-    return stored(named, "representatives")
+    return stored(named, "representatives", TEXT_ROWS)
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
@@ -243,7 +244,7 @@ def _compare(percent: int):
 
 def link(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, s1, s2 and n of every document, with id of its representative; links of ids."""
-    read = stored(_read(docs, words), "shingle-counts")
+    read = stored(_read(docs, words), "shingle-counts", TEXT_ROWS)
     ranks = _ranks(read)
     representatives = _representatives(docs, ranks, words, percent)
     first = representatives.select(F.explode("first").alias("token"), "id")
@@ -301,7 +302,7 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple[DataFra
     wanted = placing.select(F.col("member").alias("id")).unionByName(opened.select(F.col("query").alias("id"))).distinct()
     known = read.where(F.col("bucket").isNull()).groupBy("doc_id", "s1", "s2").agg(F.count("*").alias("rows"))
     repeats = not known.where("rows > 1").isEmpty()
-    sets = stored(_whole_sets(docs, grouped.join(wanted, "id", "left_semi"), words, repeats), "sets")
+    sets = stored(_whole_sets(docs, grouped.join(wanted, "id", "left_semi"), words, repeats), "sets", TEXT_ROWS)
     members = placing.join(sets, F.col("member") == F.col("id")).select(
         "member", "in_group", "in_part", F.col("tokens").alias("own")
     )

@@ -64,7 +64,7 @@ def test_few_rows_to_the_driver_with_a_large_group(spark, monkeypatch, part):
     n = 60_000
     groups = spark.range(n).selectExpr(
         "md5(cast(id AS string)) AS key", f"CASE WHEN id = 5 THEN {n * 100 // (part - 1)} ELSE 50 + id % 101 END AS size"
-    ).localCheckpoint()
+    )
     taken, units = [], sharding._units
     monkeypatch.setattr(sharding, "_units", lambda *of: [taken.append(len(found := units(*of))), found][1])
     cuts = sharding.minimax_cuts(groups, 16)
