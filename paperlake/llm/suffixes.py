@@ -24,7 +24,7 @@ Equal texts have equal results, so places are kept by text (80 bits of hash).
 
 Cases: a null text is an empty one; a text shorter than ``length`` loses
 nothing; matches don't cross documents; a repeated row is an occurrence of its
-own; an empty table gives no rows.
+own; equally long repeats are removed alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ LENGTH = 400
 REACHES = (128, 16, 1)
 GRAM = 16
 SEGMENT_BYTES = 1_000_000
+#: Suffixes that a task sorts, about; more of them make more buckets.
+BUCKET_SUFFIXES = 1_000_000
 #: Starts between two open runs up to which their bytes are kept as one piece.
 GAP = 32
 SUFFIXES = "k long, c long, h long, pos long, width int"
@@ -74,7 +76,7 @@ def runs(texts: list[bytes], length: int, reach: int):
     starts = np.flatnonzero(np.cumsum(valid[:n]))
     if not len(starts):
         return (np.zeros(0, np.int64),) * 5
-    one = Substrings(data)
+    one = Substrings(data, by_word=True)
     if reach == 1:
         first, last, anchor = starts, starts, starts
     else:
@@ -88,7 +90,7 @@ def runs(texts: list[bytes], length: int, reach: int):
         first, last, anchor = starts[begin], starts[end], least[begin]
     head = one.of(anchor, anchor + length - reach + 1)
     if reach == 1:
-        around = Substrings(data, 2).of(first, last + length)
+        around = Substrings(data, 2, by_word=True).of(first, last + length)
     else:
         shape = ((anchor - first) * 1024 + (last - first)).astype(np.uint64)
         around = mixed(one.of(first, last + length) ^ shape * np.uint64(0x9E3779B97F4A7C15))
@@ -188,8 +190,16 @@ def _bucket(last_round: bool):
     return run
 
 
-def _sorted(suffixes: DataFrame, last_round: bool, label: str) -> DataFrame:
-    parted = suffixes.repartitionByRange("k", "c", "h", "pos")
+def _buckets(pieces: DataFrame, reach: int) -> int:
+    """How many buckets the suffixes ask for: an anchor lasts about half of its reach."""
+    size = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    return -(-2 * size // ((reach + 1) * BUCKET_SUFFIXES))
+
+
+def _sorted(suffixes: DataFrame, buckets: int, last_round: bool, label: str) -> DataFrame:
+    usual = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ("k", "c", "h", "pos")
+    parted = suffixes.repartitionByRange(buckets, *key) if buckets > usual else suffixes.repartitionByRange(*key)
     return stored(
         parted.mapInArrow(_bucket(last_round), SUFFIXES + ", whole boolean, open boolean, edge boolean"), label
     )
@@ -250,7 +260,7 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, reaches: tuple[int, ...]
     covered = None
     for turn, reach in enumerate(reaches):
         last_round = reach == 1
-        found = _sorted(_suffixes(pieces, length, reach), last_round, f"suffixes-{reach}")
+        found = _sorted(_suffixes(pieces, length, reach), _buckets(pieces, reach), last_round, f"suffixes-{reach}")
         whole = found.where("whole")
         if last_round:
             edges = found.where("edge").groupBy(F.col("k").alias("edge_k"), F.col("c").alias("edge_c")).agg(
@@ -309,6 +319,8 @@ def removed(docs: DataFrame, *, length: int = LENGTH, column: str = "kept", byte
 
 
 def measure(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeated (anything removed) of every document."""
     found = removed(docs.select("doc_id", "text"), length=length, column="cut", bytes_too=False)
-    return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
+    return found.select(
+        "doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256", (F.col("cut.n_removed") > 0).alias("repeated")
+    )

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from paperlake.llm import suffixes
+from paperlake.llm.hashing import Substrings
 from paperlake.llm.queries import QUERIES
 
 from .conftest import SMALL, invented
@@ -44,6 +45,30 @@ def test_production_query(spark, small):
     assert found(rows) == brute(texts, 400)
 
 
+def test_texts_of_two_letters(spark):
+    """Thue-Morse texts and their opposites, whose sums by single bytes are equal though they differ."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [(1, "x" * 50 + one[:1024]), (2, other[:1024] + "y" * 50), (3, one[512:1536] + "z"), (4, other[100:600])]
+    rows = suffixes.measure(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert found(rows) == brute([t.encode() for _, t in texts], 400)
+    data = np.frombuffer((one[:1024] + other[:1024]).encode(), np.uint8)
+    starts, ends = np.array([0, 1024]), np.array([1024, 2048])
+    assert len(set(Substrings(data).of(starts, ends).tolist())) == 1
+    assert len(set(Substrings(data, by_word=True).of(starts, ends).tolist())) == 2
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_SUFFIXES", 60)
+    texts = invented(9, 40)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = suffixes.measure(docs, length=300).orderBy("doc_id").collect()
+    assert found(rows) == brute([t.encode() for _, t in texts], 300)
+    assert all(r.repeated == (r.n_removed > 0) for r in rows)
+
+
 def test_long_text_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT_BYTES", 700)
     texts = invented(5, 30)
