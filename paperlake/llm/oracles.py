@@ -84,3 +84,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
        sha256(text) AS restored_sha256
 FROM p
 """
+
+SUFFIXES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (
+  SELECT r, k, substr(x, 800 * k + 1, 1600) AS y, least(400, len(x) // 2 - 399 - 400 * k) AS m
+  FROM d, unnest(range(0, (len(x) // 2) // 400 + 1)) AS t(k)),
+hashed AS (SELECT r, k, list_transform(range(0, m), lambda i: hash(substr(y, 2 * i + 1, 800))) AS hs FROM blocks WHERE m > 0),
+starts AS (SELECT r, 400 * k + unnest(range(0, len(hs))) AS p, unnest(hs) AS h FROM hashed),
+many AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, p FROM starts JOIN many USING (h)),
+marked AS (
+  SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM hit),
+numbered AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS s FROM marked),
+spans AS (SELECT r, s, min(p) AS a, max(p) + 400 AS e FROM numbered GROUP BY r, s),
+parts AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS b FROM spans),
+kept AS (
+  SELECT r, CAST(sum(e - a) AS BIGINT) AS gone, count(*) AS n, max(e) AS last,
+         string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS front
+  FROM parts JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(front || substr(x, 2 * last + 1), x))) AS kept_sha256, coalesce(gone, 0) > 0 AS repeated
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -28,6 +28,7 @@ from paperlake.llm.common import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The other queries are beyond SQL, or draw on what it lacks; tests hold them against brute force.
 ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": oracles.SUFFIXES,
     "op5_benchmark_decontamination": oracles.DECONTAMINATION,
     "op8_ngram_jaccard_join": oracles.JACCARD,
     "op10_exact_top_k": oracles.TOP_K,
