@@ -48,7 +48,7 @@ QUERY_ROWS = 1024
 #: Buckets in which the frequency of shingles is counted; only their order depends on it.
 BUCKETS = 1 << 18
 #: Bytes that are hashed at a time, and texts that a task takes from Arrow at a time.
-BATCH_BYTES, TEXTS = 1_000_000, 256
+BATCH_BYTES, TEXTS = 256_000, 64
 #: Representatives up to which their ids are sent to the scan of the texts.
 BROADCAST_ROWS = 300_000
 

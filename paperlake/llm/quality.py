@@ -37,7 +37,7 @@ RANK = 8
 #: Learned from at most so many documents of each label (lowest hash of the id).
 SAMPLE_PER_LABEL = 4000
 #: Texts that a task turns into Python strings at a time.
-TEXTS = 256
+TEXTS = 64
 
 STATISTICS = (
     "words", "word_length", "upper", "digit", "punctuation", "space", "beyond_ascii",
@@ -261,6 +261,7 @@ def with_score(docs: DataFrame, machine: Machine, column: str = "score") -> Data
             machine.scores(text.slice(first, TEXTS).to_pylist(), stated.slice(first, TEXTS).to_pylist())
             for first in range(0, len(text), TEXTS)
         ]
+        pa.default_memory_pool().release_unused()
         return pa.array(np.concatenate(made) if made else np.zeros(0), pa.float64())
 
     stated = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
