@@ -36,8 +36,8 @@ FLAT_CELLS = 1_024
 # Vectors that one k-means learns from at most; a fraction of all by the hash of their id.
 TRAIN_ROWS = 200_000
 
-# Distances to centroids that are held at a time.
-STRIP_NUMBERS = 16_000_000
+# Distances to centroids that are held at a time, in several copies.
+STRIP_NUMBERS = 1_000_000
 
 # A cell with more papers is split into blocks of about this size, and one with
 # more questions into groups of about that size.
@@ -47,6 +47,13 @@ QUESTION_ROWS = 100_000
 # Such groups that a task of the join takes one after the other, about.
 GROUPS_IN_TASK = 8
 
+# Regions of topics for each block of papers there is; a topic is in one region.
+TOPIC_REGIONS = 8
+
+# A region with more than this share of the papers, and more than so many blocks,
+# is not searched by its topics.
+TOPIC_SHARE, TOPIC_BLOCKS = 0.25, 4
+
 # Added to an angle bound, for the rounding of distances.
 ANGLE_SLACK = 1e-5
 
@@ -285,6 +292,10 @@ def routed_join(
     null_qid = F.lit(None).cast(schema["qid"].dataType)
     null_id = F.lit(None).cast(schema["arxiv_id"].dataType)
 
+    # vectors that are all single travel so; tasks take them in double
+    kinds = {routed.schema["vector"].dataType.simpleString(), papers.schema["embedding"].dataType.simpleString()}
+    number = "array<float>" if kinds == {"array<float>"} else "array<double>"
+
     def numbers(upto: str):
         return F.sequence(F.lit(0), F.col(upto) - 1)
 
@@ -298,7 +309,7 @@ def routed_join(
         "topic",
         F.lit(None).cast("int").alias("k"),
         F.lit(None).cast("double").alias("reach"),
-        F.col("embedding").cast("array<double>").alias("v"),
+        F.col("embedding").cast(number).alias("v"),
     )
     reach = F.col("reach") if "reach" in routed.columns else F.lit(None)
     question_side = routed.join(plan, "cell").select(
@@ -311,7 +322,7 @@ def routed_join(
         "topic",
         "k",
         F.coalesce(reach.cast("double"), F.lit(float("inf"))).alias("reach"),
-        F.col("vector").cast("array<double>").alias("v"),
+        F.col("vector").cast(number).alias("v"),
     )
     key = ["cell", "block", "grp"]
     # the number of groups is known, so no task has to sort very many of them
@@ -377,6 +388,71 @@ def ann_join(
     return rank_hits(pairs, greatest_k(asked))
 
 
+def topic_split(asked: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions searched by their topic, the other questions, and the papers, these by region of topics.
+
+    A region (``cell``) holds all papers of some topics, chosen by hash, so its
+    papers are the only ones that a question of these topics can find. Questions
+    without a topic, and those of a region that holds a large share of the
+    papers, are the others.
+    """
+    count = known.count()
+    regions = max(1, -(-count // BLOCK_ROWS)) * TOPIC_REGIONS
+    region = F.pmod(F.xxhash64("topic"), F.lit(regions)).cast("int")
+    placed = known.where(F.col("topic").isNotNull()).drop("cell", "angle").withColumn("cell", region)
+    most = max(count * TOPIC_SHARE, BLOCK_ROWS * TOPIC_BLOCKS)
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("papers"))
+    wide = [r["cell"] for r in sizes.where(F.col("papers") > most).collect()]  # few: each has a share
+    apart = F.col("topic").isNotNull() & ~region.isin(wide) if wide else F.col("topic").isNotNull()
+    return asked.where(apart).withColumn("cell", region), asked.where(~apart), placed
+
+
+def topic_join(asked: DataFrame, placed: DataFrame, dim: int) -> DataFrame:
+    """The exact nearest papers of questions that ``topic_split`` gave to regions."""
+    return rank_hits(routed_join(asked, placed, dim), greatest_k(asked))
+
+
+class Regions:
+    """Neighbouring cells taken together, of about ``BLOCK_ROWS`` papers each.
+
+    ``low`` and ``high`` are the least and greatest angle of a cell's papers to
+    its centroid, ``papers`` their number.
+    """
+
+    def __init__(self, tree: Centroids, bounds: pd.DataFrame):
+        bounds = bounds.reindex(tree.names)
+        used = np.flatnonzero(bounds["papers"].to_numpy() > 0)  # an empty cell compares false
+        near = np.zeros(len(used), int)
+        if tree.branches is None or len(tree.branches) == 1:
+            some = tree.unit[used[:: max(1, round(len(used) ** 0.5))]]
+            for rows in tree.strips(len(used)):
+                near[rows] = blocks.distances(tree.unit[used[rows]], some).argmin(axis=1)
+        used = used[np.argsort(near, kind="stable")]
+        papers = bounds["papers"].to_numpy()[used]
+        turn = (np.cumsum(papers) - papers) // BLOCK_ROWS
+        self.unit, self.names = tree.unit[used], tree.names[used]
+        self.low, self.high = bounds["low"].to_numpy()[used], bounds["high"].to_numpy()[used]
+        self.first = np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]]) if len(used) else np.zeros(0, int)
+        self.of_cell = np.searchsorted(self.first, np.arange(len(used)), side="right") - 1
+        self.order = np.argsort(self.names)
+
+    def strips(self, rows: int) -> Iterator[slice]:
+        step = max(1, STRIP_NUMBERS // max(1, len(self.unit)))
+        return (slice(at, at + step) for at in range(0, rows, step))
+
+    def open(self, unit: np.ndarray, limit: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which regions have a cell, other than the one ``done``, within ``limit``; whether the own region has."""
+        angle = np.arccos(1.0 - blocks.distances(unit, self.unit))
+        cells = np.maximum(angle - self.high, self.low - angle) <= limit[:, None]
+        at = self.order[np.minimum(np.searchsorted(self.names, done, sorter=self.order), len(self.names) - 1)]
+        rows = np.flatnonzero(self.names[at] == done)  # an empty cell is in no region
+        cells[rows, at[rows]] = False
+        regions = np.logical_or.reduceat(cells, self.first, axis=1)
+        again = np.zeros(len(unit), bool)
+        again[rows] = regions[rows, self.of_cell[at[rows]]]
+        return regions, again
+
+
 def exact_join(
     asked: DataFrame, known: DataFrame, dim: int, centroids: DataFrame | None = None
 ) -> DataFrame:
@@ -385,7 +461,10 @@ def exact_join(
     The nearest cell of a question is searched first; the angle of its k-th hit
     there bounds the search. Another cell can hold a nearer paper only if the
     triangle inequality on angles lets it, given the least and greatest angle of
-    its papers to its centroid; the question is sent to those cells alone.
+    its papers to its centroid; the question is sent to the regions of those
+    cells alone, so the copies of a question follow the blocks of papers, however
+    many cells there are. Where its own region is one of them, that search
+    replaces the first.
     Papers that carry ``cell`` and ``angle`` by these ``centroids``, as those of
     a ``CellIndex`` do, are searched as they are stored.
     """
@@ -403,40 +482,46 @@ def exact_join(
     first = cut(ranked.join(asked.select("qid", "k"), "qid"))
     # the distance of the k-th hit, null where the cell had fewer
     reach = first.where(F.col("rk") == F.col("k")).select("qid", F.col("distance").alias("reach"))
-    tree = Centroids(centroids)
     bounds = (
-        placed.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+        placed.groupBy("cell")
+        .agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("papers"))
         .toPandas()  # one row per cell
         .set_index("cell")
-        .reindex(tree.names)
     )
-    low, high = bounds["low"].to_numpy(), bounds["high"].to_numpy()
-    shared = asked.sparkSession.sparkContext.broadcast((tree, low, high))
-
-    @F.arrow_udf("array<int>")
-    def other_cells(vectors: pa.Array, reaches: pa.Array, done: pa.Array) -> pa.Array:
-        known, nearest, farthest = shared.value
+    regions = Regions(Centroids(centroids), bounds)
+    if not len(regions.first):
+        return rank_hits(first.drop("rk"), most)
+    shared = asked.sparkSession.sparkContext.broadcast(regions)
+    kind = pa.struct([("regions", pa.list_(pa.int32())), ("again", pa.bool_())])
+
+    @F.arrow_udf("regions array<int>, again boolean")
+    def open_regions(vectors: pa.Array, reaches: pa.Array, done: pa.Array) -> pa.Array:
+        known = shared.value
         rows, block = blocks.unit_matrix(vectors, dim)
         limit = reaches.to_numpy(zero_copy_only=False)[rows].astype(float)
         limit = np.where(np.isnan(limit), np.pi, np.arccos(1.0 - np.nan_to_num(limit))) + ANGLE_SLACK
         searched = done.to_numpy(zero_copy_only=False)[rows]
-        picked: list = [[]] * len(vectors)
+        counts, again, found = np.zeros(len(vectors), np.int32), np.zeros(len(vectors), bool), [np.zeros(0, np.int32)]
         for some in known.strips(len(rows)):
-            angle = np.arccos(1.0 - blocks.distances(block[some], known.unit))
-            least = np.maximum(angle - farthest[None, :], nearest[None, :] - angle)
-            open_cells = least <= limit[some, None]  # an empty cell compares false
-            for row, own, is_open in zip(rows[some], searched[some], open_cells):
-                chosen = known.names[is_open]
-                picked[row] = chosen[chosen != own].tolist()
-        return pa.array(picked, pa.list_(pa.int32()))
-
-    rest = (
+            opened, own = known.open(block[some], limit[some], searched[some])
+            counts[rows[some]], again[rows[some]] = opened.sum(axis=1), own
+            found.append(np.nonzero(opened)[1].astype(np.int32))
+        ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+        return pa.StructArray.from_arrays([lists, pa.array(again)], fields=list(kind))
+
+    opened = cut(
         routed.join(reach, "qid", "left")
-        .withColumn(
-            "cell", F.explode(other_cells(F.col("vector"), F.col("reach"), F.col("cell")))
-        )
+        .withColumn("_open", open_regions.asNondeterministic()(F.col("vector"), F.col("reach"), F.col("cell")))
+        .select("qid", "vector", "topic", "k", "reach", "_open.*")
+    )
+    rest = opened.select("qid", "vector", "topic", "k", "reach", F.explode("regions").alias("cell"))
+    of_cell = asked.sparkSession.createDataFrame(
+        pd.DataFrame({"cell": regions.names, "region": regions.of_cell.astype(np.int32)}), "cell int, region int"
     )
-    return rank_hits(first.drop("rk").unionByName(routed_join(rest, placed, dim)), most)
+    by_region = placed.join(F.broadcast(of_cell), "cell").drop("cell").withColumnRenamed("region", "cell")
+    kept = first.drop("rk").join(opened.where("again").select("qid"), "qid", "left_anti")
+    return rank_hits(kept.unionByName(routed_join(rest, by_region, dim)), most)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

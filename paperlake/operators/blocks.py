@@ -25,7 +25,7 @@ STRIP = 512
 FIRST_LOOK = 1024
 
 # Candidate pairs of one step beyond which the bound is tightened over all papers.
-MANY_PAIRS = 2_000_000
+MANY_PAIRS = 250_000
 
 
 def unit_matrix(vectors: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +147,7 @@ def pair_distances(
 ) -> np.ndarray:
     """Distances of the given pairs, some at a time."""
     found = np.empty(len(q))
-    step = max(1, 4_000_000 // papers.shape[1])
+    step = max(1, 1_000_000 // papers.shape[1])
     for at in range(0, len(q), step):
         part = slice(at, at + step)
         found[part] = np.einsum("ij,ij->i", questions[q[part]], papers[row[part]])

@@ -18,12 +18,13 @@ from ..session import cut, fits
 from . import blocks
 from .topics import filter_topic
 
-# Up to this many bytes of question vectors are sent to every task. Beyond it
-# questions are routed to the papers near them instead.
-QUESTION_BYTES = 64 * 1024 * 1024
+# Up to this many bytes of question vectors are sent to every task, which holds
+# them in several copies. Beyond it questions are routed to the papers that they
+# can find instead.
+QUESTION_BYTES = 8 * 1024 * 1024
 
 # A task of that scan holds the hits of all questions, at most this many.
-TASK_HITS = 5_000_000
+TASK_HITS = 500_000
 
 # Where more hits than this are wanted, one in so many tasks is scanned first:
 # the k-th hit there bounds what all tasks emit.
@@ -173,6 +174,22 @@ def _scan_join(questions: DataFrame, papers: DataFrame, dim: int, bounded: bool
     return _scan(papers, spark.sparkContext.broadcast((*parts, reach)), schema, dim, 1)
 
 
+def _size(asked: DataFrame):
+    return asked.agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("hits"), F.max("k").alias("most")
+    ).first()
+
+
+def _few(size, dim: int) -> bool:
+    """True if every task can hold the questions and their hits."""
+    return size["rows"] * 8 * dim <= QUESTION_BYTES and size["hits"] <= TASK_HITS
+
+
+def _scan_ranked(asked: DataFrame, known: DataFrame, dim: int, size) -> DataFrame:
+    scanned = known.select("arxiv_id", "embedding", "topic")
+    return rank_hits(_scan_join(asked, scanned, dim, size["hits"] > BOUND_HITS), size["most"] or 1)
+
+
 def vector_dim(df: DataFrame, column: str) -> int | None:
     """The commonest length of the vectors of a column, the greater one of equally common.
 
@@ -227,18 +244,21 @@ def knn_join(
     if dim is None:
         nothing = papers.sparkSession.createDataFrame([], pair_schema(questions, papers))
         return rank_hits(nothing, 1)
-    size = asked.agg(
-        F.count("*").alias("rows"), F.sum("k").alias("hits"), F.max("k").alias("most")
-    ).first()
-    if size["rows"] * 8 * dim <= QUESTION_BYTES and size["hits"] <= TASK_HITS:
-        pairs = _scan_join(
-            asked, known.select("arxiv_id", "embedding", "topic"), dim, size["hits"] > BOUND_HITS
-        )
-        ranked = rank_hits(pairs, size["most"])
+    size = _size(asked)
+    if _few(size, dim):
+        ranked = _scan_ranked(asked, known, dim, size)
     else:
-        from .ann import exact_join
-
-        ranked = exact_join(asked, known, dim, centroids)
+        from .ann import exact_join, topic_join, topic_split
+
+        parts = []
+        if topic_col is not None:
+            by_topic, asked, placed = topic_split(asked, known)
+            parts.append(topic_join(by_topic, placed, dim))
+        rest = _size(asked) if parts else size
+        if not parts or rest["rows"]:
+            few = _few(rest, dim)
+            parts.append(_scan_ranked(asked, known, dim, rest) if few else exact_join(asked, known, dim, centroids))
+        ranked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     names = named.select("_key", F.col("qid").alias("_qid"))
     if size["rows"] <= HIT_ROWS:
         names = F.broadcast(names)

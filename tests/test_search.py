@@ -203,3 +203,35 @@ def test_both_ways_agree_on_odd_vectors(spark, monkeypatch):
     assert sum(r[0] == "q" for r in scan) == 6 and not any(r[0] == "x" for r in scan)
     assert {r[1] for r in scan if r[0] == "q" and r[3] == 1} == {"a", "c"}
     assert all(r[1] != "c" for r in scan if r[0] == "t")
+
+
+def test_topics_are_searched_without_cells(rows, frames, monkeypatch):
+    """Questions with a topic meet the papers of some topics; no cells are made of all papers."""
+    def no_cells(*_, **__):
+        raise AssertionError("cells are trained")
+
+    papers, questions = frames
+    monkeypatch.setattr(ann, "train_cells", no_cells)
+    monkeypatch.setattr(sr, "QUESTION_BYTES", 0)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    asked = questions.where("topic_id IS NOT NULL")
+    want = brute_force(rows[0], [q for q in rows[1] if q[2] is not None], topics=True)
+    same(collected(sr.knn_join(asked, papers, K, "topic_id")), want)
+
+
+def test_a_question_is_copied_by_regions_not_by_cells(rows, frames, monkeypatch):
+    """Forty cells in two regions: a question is sent to its cell, then to two regions at most."""
+    sent, routed_join = [], ann.routed_join
+
+    def counted(routed, *more):
+        sent.append(routed.count())
+        return routed_join(routed, *more)
+
+    papers, questions = frames
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 250)
+    centroids = ann.cut(ann.train_cells(papers, 40, dim=8))
+    monkeypatch.setattr(ann, "routed_join", counted)
+    asked = questions.select("qid", "vector", F.lit(None).cast("long").alias("topic"), F.lit(200).alias("k"))
+    known = papers.select("arxiv_id", "embedding", F.lit(None).cast("long").alias("topic"))
+    same(collected(ann.exact_join(asked, known, 8, centroids)), brute_force(*rows, k=200))
+    assert sent[0] == len(rows[1]) and sent[1] <= 2 * len(rows[1])
