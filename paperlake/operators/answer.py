@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,17 +105,19 @@ def answer(
     Materialise the result before using it twice, or the model is called twice.
     """
 
-    @F.pandas_udf("answer string, error string")
-    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("answer", pa.string()), ("error", pa.string())])
+
+    @F.arrow_udf("answer string, error string")
+    def answers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load_model()
         for batch in batches:
             made = []
-            for asked in batch:
+            for asked in batch:  # one prompt at a time becomes Python's
                 try:
-                    made.append((model([dict(m) for m in asked]), None))
+                    made.append({"answer": model(asked.as_py()), "error": None})
                 except Exception as error:  # whatever the user's model raises
-                    made.append((None, str(error) or type(error).__name__))
-            yield pd.DataFrame(made, columns=["answer", "error"])
+                    made.append({"answer": None, "error": str(error) or type(error).__name__})
+            yield pa.array(made, kind)
 
     return (
         prompts.withColumn("_made", answers.asNondeterministic()(F.col(column)))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +58,28 @@ def embed(
             return [(v, None) for v in vectors]
         return [one(model, t) for t in texts]
 
-    @F.pandas_udf("embedding array<float>, error string")
-    def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("embedding", pa.list_(pa.float32())), ("error", pa.string())])
+
+    @F.arrow_udf("embedding array<float>, error string")
+    def vectors_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load_model()
         for batch in batches:
-            made: list[tuple] = [(None, None)] * len(batch)
-            present = [i for i, t in enumerate(batch) if t is not None]
+            # texts and numbers are Python's for one call only
+            vectors, made = np.zeros((len(batch), dim), np.float32), np.zeros(len(batch), bool)
+            errors: list[str | None] = [None] * len(batch)
+            present = np.flatnonzero(batch.is_valid().to_numpy(zero_copy_only=False))
             for at in range(0, len(present), call_rows):
                 rows = present[at : at + call_rows]
-                for row, result in zip(rows, call(model, [batch.iloc[i] for i in rows])):
-                    made[row] = result
-            yield pd.DataFrame(made, columns=["embedding", "error"])
+                for row, (vector, error) in zip(rows, call(model, batch.take(pa.array(rows)).to_pylist())):
+                    errors[row] = error
+                    if vector is not None:
+                        vectors[row], made[row] = vector, True
+            numbers = vectors[made].ravel()
+            ends = np.r_[0, np.cumsum(made * dim)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(
+                pa.array(ends), pa.array(numbers, mask=np.isnan(numbers)), mask=pa.array(~made)
+            )
+            yield pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], fields=list(kind))
 
     # a model may answer differently twice, and must not be asked twice
     return (

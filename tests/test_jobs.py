@@ -301,3 +301,34 @@ def test_stream_counts_entries_of_all_files(spark, feeds, tmp_path):
         account = spark.read.json(str(tmp_path / "account" / "responses"))
         assert account.where("request_id = 'r1'").agg({"total_papers_fetched": "sum"}).first()[0] == 2
     assert load_table(spark, str(tmp_path / "p"), PAPERS).count() <= 2
+
+
+def test_embedding_holds_the_numbers_of_one_call(spark):
+    """A batch of 8,000 vectors of 512 numbers is not gathered as Python numbers, some 130 MB."""
+    def load():
+        import os
+
+        def resident():
+            with open("/proc/self/statm") as f:
+                return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+        return lambda texts: [[resident(), *(float(i + len(t)) for i in range(511))] for t in texts]
+
+    texts = spark.range(0, 8000, 1, 1).select(F.col("id").cast("string").alias("text"))
+    seen = embed(texts, "text", load, 512).agg(F.min(F.col("embedding")[0]), F.max(F.col("embedding")[0])).first()
+    assert seen[1] - seen[0] < 60, seen
+
+
+def test_embedding_keeps_nulls_errors_and_what_is_no_number(spark):
+    def load():
+        def model(texts):
+            if "bad" in texts:
+                raise ValueError("cannot")
+            return [[float("nan"), 1e300] if t == "odd" else [1.0, 2.0] if t != "long" else [1.0] for t in texts]
+
+        return model
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", None, "bad", "odd", "long", ""])], "i int, t string")
+    got = {r["i"]: (r["embedding"], r["embed_error"]) for r in embed(rows.coalesce(1), "t", load, 2).collect()}
+    assert got[0] == ([1.0, 2.0], None) and got[1] == (None, None) and got[2] == (None, "cannot")
+    assert got[3] == ([None, float("inf")], None) and got[4] == (None, "1 numbers instead of 2") and got[5] == got[0]
