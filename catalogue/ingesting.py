@@ -18,6 +18,10 @@ from .base import DIM, hash_embed_sql, papers, query, table
 from .models import FAILING_MARK, failing_hash_model, hash_model
 
 
+# Text in a feed file, about.
+FEED_BYTES = 32_000_000
+
+
 def atom_entries(spark, folder):
     """Documents in the shape of feed entries, the id being an address."""
     return table(spark, folder, "documents").select(
@@ -47,8 +51,18 @@ ENTRIES_SQL = """entries AS (
   FROM documents)"""
 
 
-def write_feed(entries, path):
+def write_feed(entries, path, least=None):
+    """Feed files, ``least`` or as many as keep them at some ``FEED_BYTES`` of text; their number.
+
+    A feed is read by one task. Without ``least`` they are as many as the entries have partitions.
+    """
+    files = None
+    if least is not None:
+        size = entries.agg(F.sum(F.octet_length("summary"))).first()[0] or 0
+        files = max(least, -(-size // FEED_BYTES))
+        entries = entries.repartition(files)
     entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)
+    return files
 
 
 @query(f"""
@@ -247,15 +261,15 @@ FROM entries JOIN norm_checks USING (arxiv_id)""")
 def ingested_papers(spark, folder):
     """Feeds through the whole ingest job, twice; the second run adds nothing."""
     feed, stored, names = (fresh_folder(spark, x) for x in ("feed", "papers", "topics"))
-    write_feed(atom_entries(spark, folder).repartition(8), feed)
+    write_feed(atom_entries(spark, folder), feed, 8)
     entries = read_feed(spark, feed)
-    asked = entries.select("feed").distinct().select(
+    asked = cut(entries.select("feed").distinct().select(
         F.col("feed").alias("request_id"),
         F.lit("documents").alias("query"),
         F.lit(2**31 - 1).alias("max_results"),
         F.lit(None).cast("string").alias("topic_name"),
         "feed",
-    )
+    ))
     for _ in range(2):
         ingest(asked, entries, stored, names, lambda: hash_model(DIM), DIM)
     weight = F.aggregate(
@@ -275,15 +289,15 @@ def ingested_papers(spark, folder):
 def _with_failures(spark, folder, journal=None, runs=1):
     """The whole job over feeds with bad dates and a model that fails on some texts."""
     feed, stored, names = (fresh_folder(spark, x) for x in ("feed", "papers", "topics"))
-    write_feed(broken_entries(spark, folder).repartition(4), feed)
+    write_feed(broken_entries(spark, folder), feed, 4)
     entries = read_feed(spark, feed)
-    asked = entries.select("feed").distinct().select(
+    asked = cut(entries.select("feed").distinct().select(
         F.lit("all").alias("request_id"),
         F.lit("documents").alias("query"),
         F.lit(2**31 - 1).alias("max_results"),
         F.lit(None).cast("string").alias("topic_name"),
         "feed",
-    )
+    ))
     for _ in range(runs):
         result = ingest(asked, entries, stored, names, lambda: failing_hash_model(DIM), DIM, journal=journal)
     return result

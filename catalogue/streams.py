@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperlake.schema import PAPERS
-from paperlake.session import fresh_folder
+from paperlake.session import cut, fresh_folder
 from paperlake.sources import append_papers, append_topics, load_table, read_feed
 from paperlake.streaming import chat_stream, ingest_stream
 
@@ -21,16 +21,16 @@ def streamed_papers(spark, folder):
     feed, stored, names, state = (
         fresh_folder(spark, x) for x in ("feed", "papers", "topics", "state")
     )
-    write_feed(atom_entries(spark, folder).repartition(4), feed)
-    asked = read_feed(spark, feed).select("feed").distinct().select(
+    files = write_feed(atom_entries(spark, folder), feed, 4)
+    asked = cut(read_feed(spark, feed).select("feed").distinct().select(
         F.col("feed").alias("request_id"),
         F.lit(None).cast("string").alias("query"),
         F.lit(2**31 - 1).alias("max_results"),
         F.lit(None).cast("string").alias("topic_name"),
         "feed",
-    )
+    ))
     ingest_stream(
-        spark, feed, asked, stored, names, state, lambda: hash_model(DIM), DIM, files_per_batch=2
+        spark, feed, asked, stored, names, state, lambda: hash_model(DIM), DIM, files_per_batch=-(-files // 2)
     ).awaitTermination()
     return load_table(spark, stored, PAPERS).select("arxiv_id", "title", "abstract")
 
@@ -69,15 +69,15 @@ def _feed_requests(spark, feed, request, most):
 
 @query("""SELECT 'all' AS request_id, least(count(*), 50) AS fetched, least(count(*), 50) AS stored FROM documents""")
 def streamed_ingest_limits(spark, folder):
-    """A request whose files come one a micro-batch keeps its limit over all of them."""
+    """A request whose files come in three micro-batches keeps its limit over all of them."""
     feed, stored, names, state, account = (
         fresh_folder(spark, x) for x in ("feed", "papers", "topics", "state", "account")
     )
-    write_feed(atom_entries(spark, folder).repartition(3), feed)
-    asked = _feed_requests(spark, feed, "all", 50)
+    files = write_feed(atom_entries(spark, folder), feed, 3)
+    asked = cut(_feed_requests(spark, feed, "all", 50))
     ingest_stream(
         spark, feed, asked, stored, names, state, lambda: hash_model(DIM), DIM,
-        files_per_batch=1, account_path=account,
+        files_per_batch=-(-files // 3), account_path=account,
     ).awaitTermination()
     fetched = spark.read.schema("request_id string, total_papers_fetched long").json(f"{account}/responses")
     kept = load_table(spark, stored, PAPERS).agg(F.count("*").alias("stored"))
@@ -90,11 +90,11 @@ def streamed_rejects(spark, folder):
     feed, stored, names, state, account = (
         fresh_folder(spark, x) for x in ("feed", "papers", "topics", "state", "account")
     )
-    write_feed(broken_entries(spark, folder).repartition(4), feed)
-    asked = _feed_requests(spark, feed, "all", 2**31 - 1)
+    files = write_feed(broken_entries(spark, folder), feed, 4)
+    asked = cut(_feed_requests(spark, feed, "all", 2**31 - 1))
     ingest_stream(
         spark, feed, asked, stored, names, state, lambda: hash_model(DIM), DIM,
-        files_per_batch=2, account_path=account,
+        files_per_batch=-(-files // 2), account_path=account,
     ).awaitTermination()
     rows = spark.read.schema("arxiv_id string, reasons array<string>").json(f"{account}/rejected")
     return rows.select("arxiv_id", F.array_join("reasons", "; ").alias("reason"))
