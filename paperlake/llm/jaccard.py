@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -49,6 +49,8 @@ QUERY_ROWS = 1024
 BUCKETS = 1 << 18
 #: Bytes that are hashed at a time, and texts that a task takes from Arrow at a time.
 BATCH_BYTES, TEXTS = 256_000, 64
+#: A text has a word, and so a shingle, if this is found in it.
+A_WORD = r"[^\x20\x09-\x0D]"
 #: Representatives up to which their ids are sent to the scan of the texts.
 BROADCAST_ROWS = 300_000
 
@@ -84,8 +86,13 @@ def _first(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a text."""
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")
+
+
 def _read(docs: DataFrame, words: int) -> DataFrame:
-    """One pass: doc_id, signature and size of each document, and bucket counts of each task."""
+    """One pass: doc_id, text hashes, signature and size of each document, and bucket counts of each task."""
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
@@ -95,21 +102,24 @@ def _read(docs: DataFrame, words: int) -> DataFrame:
                 s1, s2, n = _signatures(count, text, token)
                 counts += np.bincount((token >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, count), pa.array(s1), pa.array(s2), pa.array(n.astype(np.int64)),
-                     pa.nulls(count, pa.int32())],
-                    ["doc_id", "s1", "s2", "n", "bucket"],
+                    [ids.slice(start, count), *(batch.column(t).slice(start, count) for t in ("t1", "t2")),
+                     pa.array(s1), pa.array(s2), pa.array(n.astype(np.int64)), pa.nulls(count, pa.int32())],
+                    ["doc_id", "t1", "t2", "s1", "s2", "n", "bucket"],
                 )
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(at), id_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()),
+            [pa.nulls(len(at), id_type), *(pa.nulls(len(at), pa.int64()) for _ in range(4)),
              pa.array(counts[at]), pa.array(at.astype(np.int32))],
-            ["doc_id", "s1", "s2", "n", "bucket"],
+            ["doc_id", "t1", "t2", "s1", "s2", "n", "bucket"],
         )
 
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    narrow = docs.select("doc_id", text.alias("text"), *_text_hashes(text))
     kind = narrow.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
-    return narrow.mapInArrow(run, f"doc_id {kind.simpleString()}, s1 long, s2 long, n long, bucket int")
+    return narrow.mapInArrow(
+        run, f"doc_id {kind.simpleString()}, t1 long, t2 long, s1 long, s2 long, n long, bucket int"
+    )
 
 
 def _ranks(read: DataFrame) -> np.ndarray:
@@ -243,7 +253,7 @@ def _compare(percent: int):
 
 
 def link(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, s1, s2 and n of every document, with id of its representative; links of ids."""
+    """(documents, roots): doc_id, text hashes, s1, s2 and n of every document; s1, s2 and root of the linked ones."""
     read = stored(_read(docs, words), "shingle-counts", TEXT_ROWS)
     ranks = _ranks(read)
     representatives = _representatives(docs, ranks, words, percent)
@@ -363,35 +373,46 @@ def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     grouped = full.groupBy(
         F.coalesce(F.col("root"), F.col("s1")).alias("x"), F.when(F.col("root").isNull(), F.col("s2")).alias("y")
     )
-    least = grouped.agg(F.min(F.struct("doc_id", "s1", "s2")).alias("keep"), F.count("*").alias("copies"))
+    least = grouped.agg(F.min(F.struct("doc_id", "s1", "s2")).alias("keep")).select(
+        F.col("keep.doc_id").alias("keep_id"), F.col("keep.s1").alias("keep_s1"), F.col("keep.s2").alias("keep_s2")
+    )
+    # All texts with that id and set, as a row is found again by its text.
     kept = stored(
-        least.select(
-            F.col("keep.doc_id").alias("keep_id"), F.col("keep.s1").alias("keep_s1"), F.col("keep.s2").alias("keep_s2"), "copies"
-        ),
+        full.select("doc_id", "s1", "s2", "t1", "t2")
+        .join(
+            least,
+            F.col("doc_id").eqNullSafe(F.col("keep_id"))
+            & (F.col("s1") == F.col("keep_s1"))
+            & (F.col("s2") == F.col("keep_s2")),
+        )
+        .groupBy("keep_id", "keep_s1", "keep_s2", F.col("t1").alias("keep_t1"), F.col("t2").alias("keep_t2"))
+        .agg(F.count("*").alias("copies")),
         "kept",
     )
-    return _rows_of(docs, kept, words)
+    return _rows_of(docs, kept)
 
 
-def _rows_of(docs: DataFrame, kept: DataFrame, words: int) -> DataFrame:
-    """The rows of ``docs`` with an empty set, and one row for each of ``kept`` (id and signature)."""
+def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with an empty set, and one row for each id and set of ``kept`` (id, set, text hashes).
+
+    No text goes to Python here, and where no id and set has several rows none is shuffled.
+    """
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     rows, names = set_aside(docs)
-
-    @F.arrow_udf("s1 long, s2 long, n long")
-    def signature(text: pa.Array) -> pa.Array:
-        found = [_signatures(count, t, token) for _, count, t, token in _sets(text, words)]
-        sums = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in sums], ["s1", "s2", "n"])
-
-    rows = rows.withColumn("set", signature(F.col(f"_in{text_at}").cast("string")))
+    text = F.col(f"_in{text_at}").cast("string")
+    one = ("keep_id", "keep_s1", "keep_s2")
+    repeats = not kept.groupBy(*one).agg(F.sum("copies").alias("rows")).where("rows > 1").isEmpty()
+    rows = rows.withColumn("empty", ~F.coalesce(text.rlike(A_WORD), F.lit(False))).select("*", *_text_hashes(text))
+    kept = kept.drop("copies")
     found = rows.join(
-        kept,
+        F.broadcast(kept) if fits(kept, BROADCAST_ROWS) else kept,
         F.col(f"_in{id_at}").eqNullSafe(F.col("keep_id"))
-        & (F.col("set.s1") == F.col("keep_s1"))
-        & (F.col("set.s2") == F.col("keep_s2")),
+        & (F.col("t1") == F.col("keep_t1"))
+        & (F.col("t2") == F.col("keep_t2")),
         "left",
-    ).where((F.col("set.n") == 0) | F.col("keep_s1").isNotNull())
-    empty = F.when(F.col("set.n") == 0, F.monotonically_increasing_id())
-    within = Window.partitionBy(f"_in{id_at}", "set.s1", "set.s2", empty).orderBy(f"_in{text_at}")
-    return found.withColumn("turn", F.row_number().over(within)).where(F.col("turn") == 1).select(*names)
+    ).where(F.col("empty") | F.col("keep_s1").isNotNull())
+    if repeats:
+        each = F.when(F.col("empty"), F.monotonically_increasing_id())
+        within = Window.partitionBy(f"_in{id_at}", "keep_s1", "keep_s2", each).orderBy(f"_in{text_at}")
+        found = found.withColumn("turn", F.row_number().over(within)).where(F.col("turn") == 1)
+    return found.select(*names)

@@ -6,6 +6,7 @@ from paperlake.llm import jaccard
 from paperlake.llm.components import components
 from paperlake.llm.queries import QUERIES
 
+from ..conftest import plan_of
 from .conftest import SMALL, invented
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -81,3 +82,19 @@ def test_odd_documents(spark, odd_docs):
         (5, "…  12 34"), (6, "mot " * 40_000),
     ])
     assert jaccard.joined(odd_docs.limit(0)).count() == 0 and jaccard.one_of_each(odd_docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_kept_rows_are_found_without_python(spark, monkeypatch, repeats):
+    docs = [(i, t) for i, t in invented(11, 60)] + [(700, None), (701, " \t\x0b"), (702, "\u00a0"), (703, "two words")]
+    docs += [(703, "Two  words"), (703, "two words"), (701, "")] * repeats
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept = jaccard.one_of_each(table)
+    plan = plan_of(kept)
+    assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
+    assert ("Window" in plan) == repeats and "BroadcastHashJoin" in plan
+    least = {component for _, _, component in brute([(i, t or "") for i, t in docs if i < 700], 5, 80)}
+    wanted = [(i, t) for i, t in docs if i in least or i in (700, 701, 702)] + [(703, "Two  words" if repeats else "two words")]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, wanted))
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    assert sorted(map(repr, map(tuple, jaccard.one_of_each(table).collect()))) == sorted(map(repr, wanted))
