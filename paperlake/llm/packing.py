@@ -42,9 +42,12 @@ _BLANKS = re.compile(r"[ \t\r\n]+")
 #: all of ASCII but the apostrophe; anything else between blanks but letters and these
 #: goes through the whole tokenizer.
 _SIGNS = '.,;:!?|()"-*$%&#@^~+=/\\[]{}_`<>'
-_PLAIN = re.compile(r"[^\W\d_]*[" + re.escape(_SIGNS) + "]+")
+#: Signs that a text without neighbouring signs is split at before it is cut
+#: into runs, and what each ASCII byte is for that: a sign (,) or anything else.
+_SPLIT = [(sign, f" {sign} ") for sign in ",.;:!?"]
+_KINDS = bytes(ord(",") if 32 < b < 127 and not chr(b).isalnum() else ord("a") for b in range(256))
 #: Words and other runs whose ids a Python worker keeps at most, and the longest of them.
-WORDS_KEPT, SIGNED_KEPT, LONGEST = 600_000, 150_000, 40
+WORDS_KEPT, SIGNED_KEPT, LONGEST = 700_000, 50_000, 40
 #: Bits that remember what was met once. Once half of the room is taken, a run is kept from its second meeting on.
 MET_BITS = 1 << 24
 #: Texts that a task turns into Python strings at a time.
@@ -93,15 +96,15 @@ class Runs(dict):
             ids = _as_bytes([piece.id for piece in self.pieces(shown)])
             if self._worth_keeping(run, len(self) - self.signed, WORDS_KEPT):
                 self[run] = ids
-        elif _PLAIN.fullmatch(run):
+        else:
             word = run.rstrip(_SIGNS)
             signs = run[len(word) :]
-            ids = self[word] + self[signs] if word else _as_bytes([piece.id for piece in self.pieces(run)])
-            if self._worth_keeping(run, self.signed, SIGNED_KEPT):
-                self.signed += 1
-                self[run] = ids
-        else:
-            ids = self.whole(run)
+            if not signs or word and not word.isalpha():
+                ids = self.whole(run)
+            elif word:
+                ids = self[word] + self[signs]
+            else:
+                ids = _as_bytes([piece.id for piece in self.pieces(run)])
             if self._worth_keeping(run, self.signed, SIGNED_KEPT):
                 self.signed += 1
                 self[run] = ids
@@ -125,12 +128,31 @@ def _is_plain(text: str) -> bool:
     return _NOT_PLAIN.search(text) is None
 
 
+def _has_neighbouring_signs(text: str) -> bool:
+    """True if two signs stand together in a plain text, or may do so beyond ASCII."""
+    data = text.encode()
+    if len(data) > len(text) and (b"\xc2" in data or b"\xc3\x97" in data or b"\xc3\xb7" in data):
+        return True
+    return b",," in data.translate(_KINDS)
+
+
+def _runs_of(text: str) -> list[str]:
+    """Runs of a plain text. A sign without a sign beside it is one for itself, so words come without it."""
+    lower = text.lower()
+    if not _has_neighbouring_signs(lower):
+        for sign, apart in _SPLIT:
+            lower = lower.replace(sign, apart)
+    return lower.split()
+
+
 class Encoder:
     """Ids of a text, as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and case and splits at blanks, so what
     stands between two blanks can be encoded for itself: words of letters and
-    signs after them by the tokenizer's model, anything else by all of it.
+    signs after them by the tokenizer's model, anything else by all of it. A sign
+    that stands alone is split off first: words with it needn't be kept beside
+    those without.
     """
 
     def __init__(self, path: str):
@@ -138,7 +160,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if _is_plain(text):
-            return b"".join(map(self.runs.__getitem__, text.lower().split()))
+            return b"".join(map(self.runs.__getitem__, _runs_of(text)))
         return b"".join(map(self.runs.whole, filter(None, _BLANKS.split(text))))
 
 

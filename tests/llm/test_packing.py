@@ -84,6 +84,15 @@ def test_ids_beyond_the_kept_words(small, monkeypatch):
         assert np.frombuffer(mine(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_kept_without_single_signs():
+    whole, mine = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    texts = ["Onherth, tionwh. onherth; 3.14, don't, x's. Été! été?", "Onherth) tionwh: (tionwh) a.b,c", "onherth., tionwh!?", "«été», ¿qué? été.",
+             "2×3. été×.", "'s, 't. ,'s x.'s", "a. 's b, 't", "ª, ²."]
+    for text in texts:
+        assert np.frombuffer(mine(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert {"onherth", "tionwh", "été"} <= set(mine.runs) and not {"onherth,", "onherth;", "tionwh.", "été!"} & set(mine.runs)
+
+
 def checked(rows, texts: dict, capacity: int) -> int:
     whole = Tokenizer.from_file(PATH)
     for doc_id, group in rows.groupby("doc_id"):
