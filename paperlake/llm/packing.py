@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import stored
+from paperlake.llm.common import TEXT_ROWS, stored
 
 CAPACITY = 2048
 END = 0
@@ -170,7 +170,12 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length and ids_crc32 of every piece of every document.
+
+    A document has one piece at least, so the outer generator gives the inner one's
+    rows. For the inner one Spark filters empty arrays out first, and for that filter
+    tokenises every text a second time, in a second Python worker.
+    """
 
     @F.arrow_udf("array<struct<length: int, crc: long>>")
     def cut(text: pa.Array) -> pa.Array:
@@ -190,7 +195,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     return (
         docs.select("doc_id", cut(F.col("text")).alias("cut"))
-        .select("doc_id", F.posexplode("cut").alias("piece", "cut"))
+        .select("doc_id", F.posexplode_outer("cut").alias("piece", "cut"))
         .select(
             "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"),
             F.col("cut.length").cast("long").alias("length"), F.col("cut.crc").alias("ids_crc32"),
@@ -270,7 +275,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int,
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    cut = stored(pieces(docs, tokenizer, capacity).withColumn("block", F.spark_partition_id()), "pieces")
+    cut = stored(pieces(docs, tokenizer, capacity).withColumn("block", F.spark_partition_id()), "pieces", TEXT_ROWS)
     counts = cut.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from paperlake.llm import packing
 from paperlake.llm.queries import QUERIES, tokenizer_path
 
+from ..conftest import plan_of
 from .conftest import SMALL
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -114,6 +115,10 @@ def test_production_query(spark, small):
     assert checked(rows, dict(small.itertuples(index=False)), 2048) == plain_best_fit(rows.length.tolist(), 2048)
 
 
+def test_texts_are_tokenised_once(spark, odd_docs):
+    assert plan_of(packing.pieces(odd_docs, PATH, 64)).count("ArrowEvalPython [") == 1
+
+
 def test_odd_documents(spark, odd_docs):
     rows = packing.pack(odd_docs.where("doc_id <> 1"), PATH, 64).toPandas()
     texts = {r.doc_id: r.text for r in odd_docs.where("doc_id <> 1").collect()}
