@@ -47,7 +47,7 @@ _SIGNS = '.,;:!?|()"-*$%&#@^~+=/\\[]{}_`<>'
 _SPLIT = [(sign, f" {sign} ") for sign in ",.;:!?"]
 _KINDS = bytes(ord(",") if 32 < b < 127 and not chr(b).isalnum() else ord("a") for b in range(256))
 #: Words and other runs whose ids a Python worker keeps at most, and the longest of them.
-WORDS_KEPT, SIGNED_KEPT, LONGEST = 700_000, 50_000, 40
+WORDS_KEPT, SIGNED_KEPT, LONGEST = 100_000, 50_000, 40
 #: Bits that remember what was met once. Once half of the room is taken, a run is kept from its second meeting on.
 MET_BITS = 1 << 24
 #: Texts that a task turns into Python strings at a time.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import id_bucket, set_aside
+from paperlake.llm.common import TEXT_ROWS, batches_of, id_bucket, set_aside, stored
 
 WORDS = 4096
 BINS = 10
@@ -238,8 +238,9 @@ def train(
         .select("_label", F.xxhash64("_id", "text").alias("_order"), features("text", "_stated").alias("f"))
         .orderBy("_order", "_label")
         .limit(2 * sample_per_label)
-        .collect()
     )
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        examples = examples.collect()
     rows = [
         (np.array(r.f.places, np.int64), np.array(r.f.weights), np.array(r.f.statistics, np.float32), r.f.given, r.f.fits)
         for r in examples
@@ -269,11 +270,11 @@ def with_score(docs: DataFrame, machine: Machine, column: str = "score") -> Data
 
 
 def keep(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
-    """The documents, all columns, whose score is ``least`` or more."""
+    """The documents, all columns, whose score is ``least`` or more; stored, as texts go to Python in small batches."""
     rows, names = set_aside(docs)
     inputs = [F.col(f"_in{docs.columns.index(name)}").alias(name) for name in ("text", "n_chars") if name in docs.columns]
     scored = with_score(rows.select(*rows.columns, *inputs), machine, "score")
-    return scored.where(F.col("score") >= least).select(*names)
+    return stored(scored.where(F.col("score") >= least).select(*rows.columns), "good", TEXT_ROWS).select(*names)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,9 +284,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     machine = train(docs, labels, learn_from=id_bucket("doc_id", 3) != 1)
     narrow = docs.select("doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else []))
-    return with_score(narrow, machine, "score").select(
+    scored = with_score(narrow, machine, "score").select(
         "doc_id",
         F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+    return stored(scored, "scores", TEXT_ROWS)

@@ -126,3 +126,11 @@ def test_odd_documents(spark, odd_docs):
     every = packing.pack(odd_docs, PATH, 64)
     assert every.where("piece = 0").count() == odd_docs.count()
     assert packing.pack(odd_docs.limit(0), PATH).count() == 0
+
+
+def test_words_that_occur_once_take_little_room():
+    encode = packing.Encoder(PATH)
+    words = ["".join(chr(97 + n // 26**i % 26) for i in range(4)) for n in range(160_000)]
+    ids = encode(" ".join(words))
+    assert len(encode.runs) < 100_000
+    assert encode(" ".join(words[::-1][:50])) == encode.runs.whole(" ".join(words[::-1][:50])) and len(ids) >= 4 * len(words)

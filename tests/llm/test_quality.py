@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paperlake.llm import quality
-from paperlake.llm.common import id_bucket
+from paperlake.llm.common import TEXT_ROWS, id_bucket
 from paperlake.llm.queries import QUERIES
 
 from .conftest import SMALL
@@ -56,3 +57,16 @@ def test_without_labels_or_documents(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.classify(odd_docs, none).collect()} == {0.5}
     assert quality.classify(odd_docs.limit(0), none).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    @F.arrow_udf("double")
+    def rows_at_a_time(text: pa.Array) -> pa.Array:
+        return pa.array([float(len(text))] * len(text))
+
+    monkeypatch.setattr(quality, "with_score", lambda docs, _, column: docs.withColumn(column, rows_at_a_time("text")))
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.keep(docs, None, 1.0).count() == 2000
+    assert quality.keep(docs, None, TEXT_ROWS + 1.0).count() == 0
+    assert max(r.score for r in quality.classify(docs, none).collect()) <= TEXT_ROWS
