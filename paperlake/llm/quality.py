@@ -188,6 +188,11 @@ def _fit_machine(rows: list[tuple], labels: np.ndarray, weights: np.ndarray, *,
     return machine
 
 
+def _arrays(lists: pa.ChunkedArray):
+    """The values of each list, without Python objects of them."""
+    return (one.values.to_numpy() for chunk in lists.chunks for one in chunk)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -240,12 +245,15 @@ def train(
         .limit(2 * sample_per_label)
     )
     with batches_of(docs.sparkSession, TEXT_ROWS):
-        examples = examples.collect()
+        examples = examples.select("_label", "f.*").toArrow()
     rows = [
-        (np.array(r.f.places, np.int64), np.array(r.f.weights), np.array(r.f.statistics, np.float32), r.f.given, r.f.fits)
-        for r in examples
+        (places.astype(np.int64), weights.astype(float), statistics, given, fits)
+        for places, weights, statistics, given, fits in zip(
+            *(_arrays(examples.column(name)) for name in ("places", "weights", "statistics")),
+            *(examples.column(name).to_pylist() for name in ("given", "fits")),
+        )
     ]
-    y = np.array([r["_label"] for r in examples], float)
+    y = examples.column("_label").to_numpy().astype(float)
     if len(set(y)) < 2:
         return train(docs, labels.limit(0))
     total = sum(shares.values())
