@@ -55,14 +55,17 @@ def write_feed(entries, path, least=None):
     """Feed files, ``least`` or as many as keep them at some ``FEED_BYTES`` of text; their number.
 
     A feed is read by one task. Without ``least`` they are as many as the entries have partitions.
+    Files are compressed, and cut by their number of entries, so no text is shuffled.
     """
-    files = None
-    if least is not None:
-        size = entries.agg(F.sum(F.octet_length("summary"))).first()[0] or 0
-        files = max(least, -(-size // FEED_BYTES))
-        entries = entries.repartition(files)
-    entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)
-    return files
+    writer = entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed")
+    writer = writer.option("compression", "gzip")
+    if least is None:
+        writer.save(path)
+        return None
+    size, rows = entries.agg(F.sum(F.octet_length("summary")), F.count("*")).first()
+    files = max(least, -(-(size or 0) // FEED_BYTES))
+    writer.option("maxRecordsPerFile", max(1, -(-rows // files))).save(path)
+    return max(1, len(read_feed(entries.sparkSession, path).inputFiles()))
 
 
 @query(f"""

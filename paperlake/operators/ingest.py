@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fits
+from ..session import cut, fits
 from .keys import place_in_group
 
 # Up to this many rows per group, Spark limits each task's groups before a shuffle
@@ -24,6 +26,7 @@ def limit_per_request(
     limit: str = "max_results",
     order: tuple[str, ...] = ARRIVAL,
     at_most: int | None = None,
+    store: Callable[[DataFrame], DataFrame] = cut,
 ) -> DataFrame:
     """The first rows of each request, as many as its ``limit`` column says.
 
@@ -32,11 +35,12 @@ def limit_per_request(
     many rows is not gathered whole. With a greater one rows are numbered by a
     range sort, which splits such a request over many tasks. Both ways keep the
     same rows, those without a request included, and ``place`` is a long.
+    ``store`` is what materialises the sorted rows.
     """
     if at_most is None:
         at_most = rows.agg(F.coalesce(F.max(limit), F.lit(0))).first()[0]
     if at_most > WINDOW_ROWS:
-        placed = place_in_group(rows, request, list(order))
+        placed = place_in_group(rows, request, list(order), store=store)
     else:
         place = F.row_number().over(Window.partitionBy(request).orderBy(*order))
         first = rows.withColumn("place", place).where(F.col("place") <= int(at_most))

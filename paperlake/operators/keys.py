@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..session import cut
 from .lookups import lookup
 
 # Layout of monotonically_increasing_id: partition number above, row number below.
-_ROW_BITS = 33
+ROW_BITS = 33
 
 
 def greatest_id(table: DataFrame, id_col: str = "id") -> int:
@@ -18,7 +20,11 @@ def greatest_id(table: DataFrame, id_col: str = "id") -> int:
 
 
 def assign_ids(
-    new: DataFrame, current_max: int, order_by: list[str], id_col: str = "id"
+    new: DataFrame,
+    current_max: int,
+    order_by: list[str],
+    id_col: str = "id",
+    store: Callable[[DataFrame], DataFrame] = cut,
 ) -> DataFrame:
     """Number rows from ``current_max + 1`` without gaps, in the given order.
 
@@ -26,10 +32,11 @@ def assign_ids(
     place in it, so a lost executor cannot shift a key. The rows before each
     partition are summed over one row per partition and joined back. No step
     gathers rows by a key, so the order may begin with a column of few values.
+    ``store`` is what materialises.
     """
-    tagged = cut(new.orderBy(*order_by).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _ROW_BITS)
-    place = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    tagged = store(new.orderBy(*order_by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", ROW_BITS)
+    place = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     sizes = tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -45,7 +52,11 @@ def assign_ids(
 
 
 def place_in_group(
-    rows: DataFrame, group: str, order_by: list[str], out: str = "place"
+    rows: DataFrame,
+    group: str,
+    order_by: list[str],
+    out: str = "place",
+    store: Callable[[DataFrame], DataFrame] = cut,
 ) -> DataFrame:
     """``row_number`` per group that stays distributed inside a hot group.
 
@@ -53,7 +64,7 @@ def place_in_group(
     of its group is taken off. Rows with a null group are a group too.
     """
     # a struct of a null is not null, so the join keeps that group
-    numbered = assign_ids(rows, 0, [group, *order_by], out).withColumn("_group", F.struct(group))
+    numbered = assign_ids(rows, 0, [group, *order_by], out, store).withColumn("_group", F.struct(group))
     first = numbered.groupBy("_group").agg(F.min(out).alias("_first"))
     return (
         lookup(numbered, first, "_group", "inner")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import embed_text
 from ..operators.embed import Embedder, embed
 from ..operators.ingest import (
     ARRIVAL,
+    WINDOW_ROWS,
     dedupe_batch,
     ingest_summary,
     limit_per_request,
@@ -21,20 +22,30 @@ from ..operators.ingest import (
 from ..operators.keys import assign_ids, greatest_id
 from ..operators.lookups import lookup
 from ..operators.requests import normalize_requests, with_status
+from ..operators.scratch import ROW, Scratch, in_slices, with_row
 from ..operators.topics import upsert_topics
 from ..schema import EMBEDDING_DIM, PAPERS, TOPICS
 from ..session import cut
 from ..sources.feeds import papers_from_feed
-from ..sources.quarantine import paper_rules, quarantine, topic_rules, vector_rules
-from ..sources.tables import append_papers, append_topics, load_table
+from ..sources.quarantine import paper_rules, quarantine, reasons_of, topic_rules, vector_rules
+from ..sources.tables import append_papers, append_topics, load_table, write_time
 from .journal import Journal, fingerprint
 
+# Fixed value: papers of a request that its response shows.
+PREVIEW_ROWS = 5
+
 
 @dataclass
 class IngestResult:
     written: DataFrame  # the new rows of the papers table
     rejected: DataFrame  # rows set aside, with their reasons
     responses: DataFrame  # one row per request
+    scratch: Scratch | None = None  # what the frames are read from
+
+    def release(self) -> None:
+        """Free the disk that the frames take; they can't be read after it."""
+        if self.scratch is not None:
+            self.scratch.drop()
 
 
 PARTS = ("written", "rejected", "responses")
@@ -64,6 +75,9 @@ def ingest(
     ``used`` (request_id, used) says how many entries of a request earlier runs
     took; they count towards its ``max_results``.
 
+    The frames of the result are read from scratch files, which stay until its
+    ``release`` is called.
+
     With a ``journal``, a folder for this batch alone, the new rows, the rows set
     aside and the responses are written there before any paper is stored. A run
     repeated with the same requests and entries then stores what the first one
@@ -71,17 +85,32 @@ def ingest(
     other input, or one that was not finished, is written anew.
     """
     spark = entries.sparkSession
-    if journal is None:
-        result = _prepared(requests, entries, papers_table, topics_table, load_embedder, dim, used)
-        append_papers(result.written, papers_table)
-        return result
-    book = Journal(spark, journal, fingerprint(requests, entries))
-    if not book.is_written():
-        result = _prepared(requests, entries, papers_table, topics_table, load_embedder, dim, used)
-        book.write({name: getattr(result, name) for name in PARTS})
-    written, rejected, responses = (book.read(name) for name in PARTS)
-    append_papers(cut(new_papers(written, load_table(spark, papers_table, PAPERS))), papers_table)
-    return IngestResult(written, rejected, responses)
+    scratch = Scratch(spark)
+    try:
+        if journal is None:
+            result, parts = _prepared(requests, entries, papers_table, topics_table, load_embedder, dim, used, scratch)
+            _append_parts(spark, parts, papers_table)
+            return result
+        book = Journal(spark, journal, fingerprint(requests, entries))
+        if not book.is_written():
+            result, parts = _prepared(requests, entries, papers_table, topics_table, load_embedder, dim, used, scratch)
+            book.write({"written": parts, "rejected": [result.rejected], "responses": [result.responses]})
+            scratch.drop()
+        written, rejected, responses = (book.read(name) for name in PARTS)
+        stored = load_table(spark, papers_table, PAPERS)
+        left = scratch.keep("left", new_papers(written.select(ROW, "arxiv_id"), stored).select(ROW))
+        _append_parts(spark, in_slices(written, book.folder("written"), left), papers_table)
+    except BaseException:
+        scratch.drop()
+        raise
+    scratch.drop()
+    return IngestResult(written.drop(ROW), rejected, responses)
+
+
+def _append_parts(spark: SparkSession, parts: list[DataFrame], papers_table: str) -> None:
+    now = write_time(spark)
+    for part in parts:
+        append_papers(part, papers_table, now)
 
 
 def _prepared(
@@ -92,8 +121,14 @@ def _prepared(
     load_embedder: Callable[[], Embedder],
     dim: int,
     used: DataFrame | None,
-) -> IngestResult:
-    """Topics made, papers cleaned, checked, embedded and numbered; all but storing them."""
+    scratch: Scratch,
+) -> tuple[IngestResult, list[DataFrame]]:
+    """Topics made, papers cleaned, checked, embedded and numbered; all but storing them.
+
+    Texts are kept twice at most, as read and with their vectors, and not
+    shuffled but where small limits are cut: all steps between move keys and the
+    numbers of rows. The new rows also come in slices, to be stored in turn.
+    """
     spark = entries.sparkSession
     asked = cut(normalize_requests(requests, "ingest"))
     named, misnamed = quarantine(
@@ -105,11 +140,32 @@ def _prepared(
         wanted = lookup(wanted, used, "request_id").select(
             "request_id", "feed", F.greatest(left, F.lit(0)).cast("int").alias("max_results"), "topic_name"
         )
-    # positions are fixed here: reading the files again could number them anew
     most = wanted.agg(F.coalesce(F.max("max_results"), F.lit(0))).first()[0]
-    offered = lookup(papers_from_feed(entries), wanted, "feed", "inner")
-    batch = cut(limit_per_request(offered, at_most=most))
-    sound, broken = quarantine(batch, paper_rules())
+    papers = papers_from_feed(entries)
+    of_request = ["request_id", "max_results", "topic_name"]
+    columns = ["feed", *(c for c in papers.columns if c != "feed"), *of_request]
+
+    def keys(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(ROW, "feed", "position", "arxiv_id", *more, reasons_of(paper_rules()).alias("reasons"))
+
+    # positions are fixed here: reading the files again could number them anew
+    if most > WINDOW_ROWS:
+        feeds = wanted.select("feed").distinct()
+        texts = scratch.keep("texts", with_row(lookup(papers, feeds, "feed", "inner")))
+        offered = lookup(keys(texts), wanted, "feed", "inner")
+        batch = scratch.keep("batch", limit_per_request(offered, at_most=most, store=scratch.store))
+    else:
+        # few rows of each request are left, and only those are kept
+        offered = lookup(papers, wanted, "feed", "inner")
+        texts = scratch.keep("texts", with_row(limit_per_request(offered, at_most=most)))
+        batch = scratch.keep("batch", keys(texts, *of_request, "place"))
+
+    def with_texts(rows: DataFrame) -> list[DataFrame]:
+        own = [c for c in rows.columns if c == ROW or c not in texts.columns]
+        return in_slices(texts, scratch.folder("texts"), rows.select(own))
+
+    is_sound = F.size("reasons") == 0
+    sound, broken = batch.where(is_sound).drop("reasons"), batch.where(~is_sound)
     stored_topics = load_table(spark, topics_table, TOPICS)
     # a request without entries makes no topic
     names = batch.select(F.col("topic_name").alias("name"))
@@ -118,25 +174,45 @@ def _prepared(
     topics = load_table(spark, topics_table, TOPICS).select(
         F.col("name").alias("topic_name"), F.col("id").alias("topic_id")
     )
+    first = batch.where(F.col("place") <= PREVIEW_ROWS).select(ROW, *of_request[:1])
+    shown = texts.drop(*of_request).select(ROW, "feed", "position", "title", "authors", "arxiv_id", "published_date")
+    previews = scratch.keep("previews", preview(lookup(shown, first, ROW, "inner"), PREVIEW_ROWS))
 
     stored = load_table(spark, papers_table, PAPERS)
     # two requests may name one feed; the lesser id then has the paper
     order = (*ARRIVAL, "request_id")
-    fresh = cut(new_papers(dedupe_batch(sound, order=order), stored))
-    with_text = fresh.withColumn("_text", embed_text(F.col("title"), F.col("abstract")))
-    embedded = cut(embed(with_text, "_text", load_embedder, dim).drop("_text"))
-    made, unmade = quarantine(embedded, vector_rules(dim=dim))
+    fresh = scratch.keep("fresh", new_papers(dedupe_batch(sound, order=order), stored))
+
+    def embedded_part(rows: DataFrame) -> DataFrame:
+        with_text = rows.withColumn("_text", embed_text(F.col("title"), F.col("abstract")))
+        made = embed(with_text, "_text", load_embedder, dim)
+        return made.select(
+            ROW, *columns, "place", "embedding", "embed_error", reasons_of(vector_rules(dim=dim)).alias("reasons")
+        )
+
+    embedded = scratch.keep("embedded", *(embedded_part(part) for part in with_texts(fresh)))
+    made, unmade = embedded.where(is_sound).drop("reasons"), embedded.where(~is_sound)
+    aside = [
+        part.select(
+            *columns, "reasons", F.lit(None).cast("array<float>").alias("embedding"),
+            F.lit(None).cast("string").alias("embed_error"),
+        )
+        for part in with_texts(broken)
+    ]
+    rejected = scratch.keep("rejected", *aside, unmade.select(*columns, "reasons", "embedding", "embed_error"))
+    scratch.drop("texts")
     keyed = assign_ids(
-        lookup(made, topics, "topic_name"), greatest_id(stored), list(order)
-    )
-    written = cut(keyed)
+        lookup(made.select(ROW, *_entry_key(), "topic_name"), topics, "topic_name"),
+        greatest_id(stored), list(order), store=scratch.store,
+    )
+    ids = scratch.keep("ids", keyed.select(ROW, "topic_id", "id"))
 
     reason = F.array_join("reasons", "; ")
     failed = broken.select(*_entry_key(), reason.alias("reason")).unionByName(
         unmade.select(*_entry_key(), F.coalesce("embed_error", reason).alias("reason"))
     )
     marks = failed.withColumn("outcome", F.lit("failed")).unionByName(
-        written.select(*_entry_key())
+        made.select(*_entry_key())
         .withColumn("reason", F.lit(None).cast("string"))
         .withColumn("outcome", F.lit("stored"))
     )
@@ -145,19 +221,18 @@ def _prepared(
         .join(marks, _entry_key(), "left")
         .withColumn("outcome", F.coalesce("outcome", F.lit("skipped")))
     )
-    rejected = broken.drop("place").unionByName(
-        unmade.drop("place"), allowMissingColumns=True
-    )
-    return IngestResult(written, rejected, _responses(asked, misnamed, batch, outcomes))
+    responses = scratch.keep("responses", _responses(asked, misnamed, previews, outcomes))
+    parts = in_slices(made, scratch.folder("embedded"), ids)
+    return IngestResult(made.join(ids, ROW).drop(ROW), rejected, responses, scratch), parts
 
 
 def _responses(
-    asked: DataFrame, misnamed: DataFrame, batch: DataFrame, outcomes: DataFrame
+    asked: DataFrame, misnamed: DataFrame, previews: DataFrame, outcomes: DataFrame
 ) -> DataFrame:
     rows = (
         asked.select("request_id", F.col("topic_name").alias("topic")).distinct()
         .join(ingest_summary(outcomes), "request_id", "left")
-        .join(preview(batch, 5), "request_id", "left")
+        .join(previews, "request_id", "left")
         .join(
             misnamed.select("request_id", F.array_join("reasons", "; ").alias("error")).distinct(),
             "request_id",

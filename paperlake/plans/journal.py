@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import write_parts
 from ..sources.tables import load_table
 
 DONE = "print long, rows long"
 
+# Changed with the columns of the frames, so that a journal of older code is written anew.
+LAYOUT = 2
+
 
 def fingerprint(*frames: DataFrame) -> tuple[int, int]:
     """A number that depends on all rows of the frames, in any order, and how many there are."""
-    total, rows = 0, 0
+    total, rows = LAYOUT, 0
     for i, frame in enumerate(frames):
         found = frame.agg(
             F.coalesce(F.bit_xor(F.xxhash64(F.lit(i), *frame.columns)), F.lit(0)).alias("print"),
@@ -32,12 +36,16 @@ class Journal:
         done = load_table(self.spark, f"{self.path}/done", DONE).collect()
         return [tuple(row) for row in done] == [self.of]
 
-    def write(self, frames: dict[str, DataFrame]) -> None:
+    def folder(self, name: str) -> str:
+        return f"{self.path}/{name}"
+
+    def write(self, frames: dict[str, list[DataFrame]]) -> None:
+        """Each of the frames may come in parts."""
         # an older mark would vouch for a half-written journal
         self.spark.createDataFrame([], DONE).write.mode("overwrite").parquet(f"{self.path}/done")
-        for name, frame in frames.items():
-            frame.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        for name, parts in frames.items():
+            write_parts(self.folder(name), *parts)
         self.spark.createDataFrame([self.of], DONE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/done")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(self.folder(name))

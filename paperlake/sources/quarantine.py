@@ -9,20 +9,24 @@ from ..functions.vectors import l2_norm
 from ..schema import EMBEDDING_DIM, NAME_LENGTH, PAPER_ID_LENGTH
 
 
+def reasons_of(rules: dict[str, Column]) -> Column:
+    """The reasons of ``rules`` whose test says yes, in their order."""
+    return F.array_compact(
+        F.array(*(F.when(test, F.lit(reason)) for reason, test in rules.items()))
+    )
+
+
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Split ``df`` by ``rules``, a mapping of reason to the test for a bad row.
 
     Returns the good rows and the bad ones; the bad ones carry ``reasons`` in
     the order of the rules. A test that gives null counts as passed.
     """
-    reasons = F.array_compact(
-        F.array(*(F.when(test, F.lit(reason)) for reason, test in rules.items()))
-    )
     broken = F.lit(False)
     for test in rules.values():
         broken = broken | F.coalesce(test, F.lit(False))
     good = df.where(~broken)
-    bad = df.where(broken).withColumn("reasons", reasons)
+    bad = df.where(broken).withColumn("reasons", reasons_of(rules))
     return good, bad
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,17 @@ def load_table(
         return spark.createDataFrame([], schema)
 
 
-def _append(df: DataFrame, target: str, schema: T.StructType) -> DataFrame:
+def write_time(spark: SparkSession) -> datetime:
+    return spark.range(1).select(F.current_timestamp()).first()[0]
+
+
+def _append(
+    df: DataFrame, target: str, schema: T.StructType, at: datetime | None = None
+) -> DataFrame:
     # a repeated run adds nothing, and then should leave no empty files
     empty = df.isEmpty()
     # one time for all rows, and the same in the returned frame
-    now = df.sparkSession.range(1).select(F.current_timestamp()).first()[0]
+    now = at or write_time(df.sparkSession)
     rows = df.withColumn("created_at", F.lit(now)).select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)
     )
@@ -47,13 +55,14 @@ def _append(df: DataFrame, target: str, schema: T.StructType) -> DataFrame:
     return rows
 
 
-def append_papers(df: DataFrame, target: str) -> DataFrame:
+def append_papers(df: DataFrame, target: str, at: datetime | None = None) -> DataFrame:
     """Append rows that already passed ``new_papers``; returns what was written.
 
     Parquet has no unique columns, so ids stay unique for one writer at a time
     only. Hand in a frame whose lineage was cut: the returned one reads it again.
+    ``at`` is the time they carry, for rows that come in several frames.
     """
-    return _append(df, target, PAPERS)
+    return _append(df, target, PAPERS, at)
 
 
 def append_topics(df: DataFrame, target: str) -> DataFrame:

@@ -1,18 +1,23 @@
 import importlib
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import QUERIES
 from catalogue.models import counting_completer, failing_hash_model, hash_model
 from paperlake.functions import hash_embedding
 from paperlake.operators import answer as an
 from paperlake.operators.embed import embed, embed_only
+from paperlake.operators.scratch import ROW, in_slices, with_row, write_parts
 from paperlake.plans import chat, ingest
 from paperlake.schema import PAPERS, TOPICS
+from paperlake.session import shared_folder
 from paperlake.sources import append_papers, append_topics, load_table, read_feed
 from paperlake.streaming import chat_stream, ingest_stream
 
+from .conftest import plan_of
 from .test_sources import entry, write_feed
 
 DIM = 16
@@ -332,3 +337,63 @@ def test_embedding_keeps_nulls_errors_and_what_is_no_number(spark):
     got = {r["i"]: (r["embedding"], r["embed_error"]) for r in embed(rows.coalesce(1), "t", load, 2).collect()}
     assert got[0] == ([1.0, 2.0], None) and got[1] == (None, None) and got[2] == (None, "cannot")
     assert got[3] == ([None, float("inf")], None) and got[4] == (None, "1 numbers instead of 2") and got[5] == got[0]
+
+
+def size_of(folder):
+    return sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+
+
+@pytest.fixture
+def long_documents(spark, tmp_path):
+    """600 documents of 16 kB that compress to half of that, and the bytes of their texts."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(240)), lambda i: F.sha2(F.concat_ws("-", "id", i.cast("string")), 256)), " ")
+    docs = spark.range(0, 600, 1, 3).select(
+        F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source")
+    )
+    docs.write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    return str(tmp_path / "in"), 600 * (240 * 65 - 1)
+
+
+def disk_of(spark, query, folder):
+    """Rows of a query, what it left in the shared folder, and what its shuffles wrote, in bytes."""
+    shared = shared_folder(spark).removeprefix("file:")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    local = [str(d) for d in manager.localDirsString()]
+    kept, shuffled = size_of(shared), sum(size_of(d) for d in local)
+    rows = QUERIES[query](spark, folder).count()
+    return rows, size_of(shared) - kept, sum(size_of(d) for d in local) - shuffled
+
+
+def test_a_stream_keeps_its_texts_three_times(spark, long_documents):
+    """The feed, the papers and the journal, all compressed; shuffles and scratch files hold keys."""
+    folder, texts = long_documents
+    rows, kept, shuffled = disk_of(spark, "streamed_papers", folder)
+    assert rows == 600 and kept < 2.2 * texts and shuffled < 0.2 * texts, (kept / texts, shuffled / texts)
+
+
+@pytest.mark.parametrize("most", [1000, 70, 9])
+def test_kept_rows_are_met_in_slices_without_a_shuffle(spark, tmp_path, most):
+    """Slices hold all rows that are named, once for each name, also where one task wrote more than fit a slice."""
+    write_parts(path := str(tmp_path / "kept"), with_row(spark.range(200, numPartitions=5).withColumn("text", F.repeat("id", F.lit(2)))))
+    kept = spark.read.parquet(path)
+    names = kept.where("id % 2 = 0").select(ROW, F.lit("a").alias("who"))
+    names = names.union(kept.where("id % 10 = 0 or id > 150").select(ROW, F.lit("b").alias("who"))).localCheckpoint()
+    slices = in_slices(kept, path, names, most)
+    assert sum(s.count() for s in slices) == names.count() and (len(slices) > 2) == (most < 100)
+    got = sorted((r["id"], r["text"], r["who"]) for s in slices for r in s.collect())
+    assert got == sorted((r["id"], r["text"], r["who"]) for r in kept.join(names, ROW).collect())
+    assert all(s.join(names, ROW).count() and "BroadcastHashJoin" in plan_of(s) and "Exchange hashpartitioning" not in plan_of(s) for s in slices)
+    empty = in_slices(kept, path, names.where("who = 'c'"), most)
+    assert [s.count() for s in empty] == [0] and empty[0].columns == [ROW, "id", "text", "who"]
+
+
+def test_a_failed_ingest_leaves_no_scratch_files(spark, feeds, tmp_path, monkeypatch):
+    def failing(*_):
+        raise RuntimeError("planted")
+
+    monkeypatch.setattr(ingesting, "append_papers", failing)
+    scratch = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(scratch.glob("scratch-*"))
+    with pytest.raises(RuntimeError, match="planted"):
+        run(spark, feeds, tmp_path, feed_requests(spark, ("r", "q", None, None, "a.xml")))
+    assert set(scratch.glob("scratch-*")) == before
