@@ -274,7 +274,7 @@ def ingested_papers(spark, folder):
         "feed",
     ))
     for _ in range(2):
-        ingest(asked, entries, stored, names, lambda: hash_model(DIM), DIM)
+        ingest(asked, entries, stored, names, lambda: hash_model(DIM), DIM).release()
     weight = F.aggregate(
         F.transform("embedding", lambda x, i: x.cast("double") * i), F.lit(0.0), lambda s, x: s + x
     )

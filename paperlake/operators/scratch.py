@@ -11,8 +11,12 @@ from .keys import ROW_BITS
 # The number of a kept row, unique in its frame.
 ROW = "_row"
 
-# Up to this many rows that name kept ones are broadcast at a time.
-SLICE_ROWS = 500_000
+# Up to this many rows that name kept ones by numbers alone are broadcast at a time, and of those with texts.
+SLICE_ROWS = 1_000_000
+TEXT_SLICE_ROWS = 100_000
+
+# Rows of a file of kept ones, so that a slice is many tasks.
+FILE_ROWS = 20_000
 
 
 def with_row(df: DataFrame) -> DataFrame:
@@ -22,7 +26,8 @@ def with_row(df: DataFrame) -> DataFrame:
 def write_parts(path: str, *frames: DataFrame) -> None:
     """Frames of one layout as one compressed table, one frame after the other."""
     for i, frame in enumerate(frames):
-        frame.write.mode("append" if i else "overwrite").option("compression", "zstd").parquet(path)
+        writer = frame.write.mode("append" if i else "overwrite")
+        writer.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
 
 class Scratch:

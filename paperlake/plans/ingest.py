@@ -22,7 +22,7 @@ from ..operators.ingest import (
 from ..operators.keys import assign_ids, greatest_id
 from ..operators.lookups import lookup
 from ..operators.requests import normalize_requests, with_status
-from ..operators.scratch import ROW, Scratch, in_slices, with_row
+from ..operators.scratch import ROW, TEXT_SLICE_ROWS, Scratch, in_slices, with_row
 from ..operators.topics import upsert_topics
 from ..schema import EMBEDDING_DIM, PAPERS, TOPICS
 from ..session import cut
@@ -48,7 +48,7 @@ class IngestResult:
             self.scratch.drop()
 
 
-PARTS = ("written", "rejected", "responses")
+PARTS = ("written", "asked_by", "rejected", "responses")
 
 
 def _entry_key() -> list[str]:
@@ -88,15 +88,20 @@ def ingest(
     scratch = Scratch(spark)
     try:
         if journal is None:
-            result, parts = _prepared(requests, entries, papers_table, topics_table, load_embedder, dim, used, scratch)
+            result, parts, _ = _prepared(
+                requests, entries, papers_table, topics_table, load_embedder, dim, used, scratch
+            )
             _append_parts(spark, parts, papers_table)
             return result
         book = Journal(spark, journal, fingerprint(requests, entries))
         if not book.is_written():
-            result, parts = _prepared(requests, entries, papers_table, topics_table, load_embedder, dim, used, scratch)
-            book.write({"written": parts, "rejected": [result.rejected], "responses": [result.responses]})
+            result, parts, asked_by = _prepared(
+                requests, entries, papers_table, topics_table, load_embedder, dim, used, scratch
+            )
+            frames = (parts, [asked_by], [result.rejected], [result.responses])
+            book.write(dict(zip(PARTS, frames, strict=True)))
             scratch.drop()
-        written, rejected, responses = (book.read(name) for name in PARTS)
+        written, asked_by, rejected, responses = (book.read(name) for name in PARTS)
         stored = load_table(spark, papers_table, PAPERS)
         left = scratch.keep("left", new_papers(written.select(ROW, "arxiv_id"), stored).select(ROW))
         _append_parts(spark, in_slices(written, book.folder("written"), left), papers_table)
@@ -104,7 +109,11 @@ def ingest(
         scratch.drop()
         raise
     scratch.drop()
-    return IngestResult(written.drop(ROW), rejected, responses)
+    return IngestResult(_whole(written, asked_by), rejected, responses)
+
+
+def _whole(written: DataFrame, asked_by: DataFrame) -> DataFrame:
+    return written.join(asked_by, ROW).drop(ROW)
 
 
 def _append_parts(spark: SparkSession, parts: list[DataFrame], papers_table: str) -> None:
@@ -122,12 +131,13 @@ def _prepared(
     dim: int,
     used: DataFrame | None,
     scratch: Scratch,
-) -> tuple[IngestResult, list[DataFrame]]:
+) -> tuple[IngestResult, list[DataFrame], DataFrame]:
     """Topics made, papers cleaned, checked, embedded and numbered; all but storing them.
 
     Texts are kept twice at most, as read and with their vectors, and not
     shuffled but where small limits are cut: all steps between move keys and the
-    numbers of rows. The new rows also come in slices, to be stored in turn.
+    numbers of rows. The new rows also come in slices, to be stored in turn, and
+    what was asked for them apart.
     """
     spark = entries.sparkSession
     asked = cut(normalize_requests(requests, "ingest"))
@@ -160,10 +170,6 @@ def _prepared(
         texts = scratch.keep("texts", with_row(limit_per_request(offered, at_most=most)))
         batch = scratch.keep("batch", keys(texts, *of_request, "place"))
 
-    def with_texts(rows: DataFrame) -> list[DataFrame]:
-        own = [c for c in rows.columns if c == ROW or c not in texts.columns]
-        return in_slices(texts, scratch.folder("texts"), rows.select(own))
-
     is_sound = F.size("reasons") == 0
     sound, broken = batch.where(is_sound).drop("reasons"), batch.where(~is_sound)
     stored_topics = load_table(spark, topics_table, TOPICS)
@@ -185,21 +191,28 @@ def _prepared(
 
     def embedded_part(rows: DataFrame) -> DataFrame:
         with_text = rows.withColumn("_text", embed_text(F.col("title"), F.col("abstract")))
-        made = embed(with_text, "_text", load_embedder, dim)
-        return made.select(
-            ROW, *columns, "place", "embedding", "embed_error", reasons_of(vector_rules(dim=dim)).alias("reasons")
-        )
-
-    embedded = scratch.keep("embedded", *(embedded_part(part) for part in with_texts(fresh)))
-    made, unmade = embedded.where(is_sound).drop("reasons"), embedded.where(~is_sound)
+        made = embed(with_text, "_text", load_embedder, dim).drop("_text")
+        return made.withColumn("vector_reasons", reasons_of(vector_rules(dim=dim)))
+
+    plain = texts.drop(*of_request, "place")
+    chosen = in_slices(plain, scratch.folder("texts"), fresh.select(ROW))
+    embedded = scratch.keep("embedded", *(embedded_part(part) for part in chosen))
+    tried = embedded.select(ROW, "embed_error", F.col("vector_reasons").alias("reasons"))
+    tried = scratch.keep("tried", fresh.select(ROW, *_entry_key(), *of_request[1:], "place").join(tried, ROW))
+    made, unmade = tried.where(is_sound).drop("reasons"), tried.where(~is_sound)
+    vectorless = [F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embed_error")]
     aside = [
-        part.select(
-            *columns, "reasons", F.lit(None).cast("array<float>").alias("embedding"),
-            F.lit(None).cast("string").alias("embed_error"),
+        part.select(*columns, "reasons", *vectorless)
+        for part in in_slices(
+            plain, scratch.folder("texts"), broken.select(ROW, *of_request, "reasons"), TEXT_SLICE_ROWS
+        )
+    ] + [
+        part.select(*columns, "reasons", "embedding", "embed_error")
+        for part in in_slices(
+            embedded, scratch.folder("embedded"), unmade.select(ROW, *of_request, "reasons"), TEXT_SLICE_ROWS
         )
-        for part in with_texts(broken)
-    ]
-    rejected = scratch.keep("rejected", *aside, unmade.select(*columns, "reasons", "embedding", "embed_error"))
+    ]
+    rejected = scratch.keep("rejected", *aside)
     scratch.drop("texts")
     keyed = assign_ids(
         lookup(made.select(ROW, *_entry_key(), "topic_name"), topics, "topic_name"),
@@ -222,8 +235,11 @@ def _prepared(
         .withColumn("outcome", F.coalesce("outcome", F.lit("skipped")))
     )
     responses = scratch.keep("responses", _responses(asked, misnamed, previews, outcomes))
-    parts = in_slices(made, scratch.folder("embedded"), ids)
-    return IngestResult(made.join(ids, ROW).drop(ROW), rejected, responses, scratch), parts
+    parts = in_slices(embedded.drop("vector_reasons"), scratch.folder("embedded"), ids)
+    # request and place of the new rows; the rows themselves are broadcast numbers only
+    asked_by = scratch.keep("asked_by", made.select(ROW, *of_request, "place"))
+    written = embedded.drop("vector_reasons").join(ids, ROW)
+    return IngestResult(_whole(written, asked_by), rejected, responses, scratch), parts, asked_by
 
 
 def _responses(
